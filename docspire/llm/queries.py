@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, minhash, quality, rollup, secrets
+from . import bpe, decontaminate, html, langid, minhash, quality, rollup, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op6_quality_rules, op7_html_extraction, op8_token_counts, op9_bpe_encoding, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_html_extraction, op8_token_counts, op9_bpe_encoding, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
