@@ -44,7 +44,7 @@ def words(text: Column) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of `df`; reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, per_bucket: int = 12 << 20) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, minhash, quality, rollup, secrets
+from . import bpe, decontaminate, html, langid, minhash, quality, rollup, secrets, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +64,11 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op5_benchmark_decontamination, op6_quality_rules, op7_html_extraction, op8_token_counts, op9_bpe_encoding, op10_secret_scans)}
+    made = (
+        op1_language_id, op2_minhash_near_dedup, op3_substring_dedup, op4_suffix_array_dedup, op5_benchmark_decontamination,
+        op6_quality_rules, op7_html_extraction, op8_token_counts, op9_bpe_encoding, op10_secret_scans,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
