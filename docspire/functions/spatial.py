@@ -281,10 +281,10 @@ class Stored:
         return self._by_kind({"point": valid & close}, boxes)
 
     def box_distance(self, x: float, y: float) -> Column:
-        """From a point to the box."""
+        """From a point to the box; null without one, which `greatest` would pass over."""
         dx = F.greatest(self.min_x - x, F.lit(0.0), F.lit(x) - self.max_x)
         dy = F.greatest(self.min_y - y, F.lit(0.0), F.lit(y) - self.max_y)
-        return F.sqrt(dx * dx + dy * dy)
+        return F.when(self.min_x.isNotNull() & self.min_y.isNotNull(), F.sqrt(dx * dx + dy * dy))
 
 
 def hilbert_index(x: Column, y: Column, bounds_: tuple[float, float, float, float], order: int = 16) -> Column:
