@@ -151,7 +151,7 @@ def send(parts: Iterator[Entries | tuple[Entries, bool]], rule: Rule, buckets: i
         by = np.argsort(to, kind="stable")
         out, to = out.take(by), to[by]
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
-        for lo, hi in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        for lo, hi in zip(cuts, [*cuts[1:], len(to)], strict=False):
             rows.append(_packed(out.take(slice(lo, hi)), int(to[lo]), False))
         if len(done):
             done = done.take(np.lexsort((done.pos, done.ids)))
