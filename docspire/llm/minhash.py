@@ -7,12 +7,12 @@ Jaccard similarity. Bands of `ROWS` values are bucket keys; sets of similarity
 0.8 share none of `BANDS` buckets with a chance of 0.59 ** 20 = 3e-5.
 
 Texts of equal sets form a class; its smallest id stands for it, so copies cost
-one row each. In a bucket, classes are compared with a few hubs a round and not
-with each other: one hub in the first round, twice as many in each that follows,
-never within one component and never with a hub again. Rounds end when every
-bucket lies in one component or has no untested pair, so no link between
-components is lost and a large group of near copies takes one pass. Confirmation
-compares the full sets, by 64-bit hashes of their members.
+one row each. In a bucket, all classes are compared with the one of smallest id,
+which joins a large group of near copies in one pass. What is left are buckets of
+several components; their members are compared across components, each bucket in
+blocks of bounded size inside a task that only links leave, so no link between
+components is lost and no pairs are written. Confirmation compares the full
+sets, by 64-bit hashes of their members.
 
 Defined results: a text without words has no shingles and is its own component;
 a text of fewer than `k` words has one; rows of one id are taken for one
@@ -36,6 +36,8 @@ BANDS, ROWS = 20, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: Ids that may be broadcast to pick the texts of candidates: 16 bytes each.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket in one side of a block.
+BLOCK = 1000
 _A = H.ODD[:PERMUTATIONS]
 _S = H.mix(H.ODD[PERMUTATIONS : 2 * PERMUTATIONS])
 
@@ -132,15 +134,93 @@ def components(edges: DataFrame) -> DataFrame:
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = cut(edges.select("a", "b").filter("a <> b").distinct())
-    labels = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
+    labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         to = cut(least.select(F.col("a").alias("old"), F.least(F.col("m"), order("a"))["id"].alias("new")))
-        labels = cut(labels.join(to, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+        labels = labels.join(to, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
         moved = edges.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b").join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
         edges = cut(moved.filter("a <> b").distinct())
-    return labels
+    return cut(labels)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that the links join have become one."""
+    side = lambda end, name: labels.select(F.col("node").alias(end), F.col("root").alias(name))
+    merged = components(links.join(side("a", "ra"), "a").join(side("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    renamed = merged.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    return cut(labels.join(renamed, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root")))
+
+
+def _blocks(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components.
+
+    A bucket of `side * BLOCK` members is a grid of blocks, each of two shares of
+    its members: a task holds one block, and only links leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)) for c in (0, 1, 2)], 1)
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if at is not None and at != tuple(keys[lo]):
+                    yield _block_links(held, k, percent)
+                    held = []
+                at = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _block_links(held, k, percent)
+
+    share = rest.select("*", F.pmod(F.xxhash64("rep"), F.col("side")).cast("int").alias("share"))
+    dealt = share.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    dealt = dealt.select("bucket", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"), "share", "rep", "root")
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "share", "rep", "root", "text")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _block_links(held: list[pa.RecordBatch], k: int, percent: int) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).combine_chunks()
+    share, rep, root = (np.asarray(table.column(c).combine_chunks()) for c in (3, 4, 5))
+    i, j = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+    sets: list[np.ndarray] = []
+    for part in table.select(["text"]).to_batches():
+        for _, _, data, offsets in H.chunks(part, 0):
+            made, begin = shingles(data, offsets, k)
+            sets += np.split(made, begin[1:-1])
+    # Large components first: each member of another is held against all before its own.
+    _, group, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((group, -size[group]))
+    share, rep, group = share[order], rep[order], group[order]
+    sets = [sets[x] for x in order]
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, H.U)
+    starts = np.cumsum(n) - n
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    own = first[np.searchsorted(first, np.arange(len(n)), "right") - 1]
+    found = []
+    for x in range(len(n)):
+        top = own[x]
+        if not top:
+            continue
+        near = 100 * np.minimum(n[:top], n[x]) >= percent * np.maximum(n[:top], n[x])
+        if i != j:
+            near &= share[:top] != share[x]
+        if not near.any():
+            continue
+        value = flat[: starts[top]]
+        place = np.searchsorted(sets[x], value)
+        place[place == n[x]] = 0
+        shared = np.add.reduceat((sets[x][place] == value).astype(np.int64), starts[:top])
+        good = near & (100 * shared >= percent * (n[:top] + n[x] - shared))
+        found += [(int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))) for y in np.flatnonzero(good)]
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -155,29 +235,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(fit_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = cut(texts)
     labels = wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
-    links, hubs = None, 1
-    while True:
-        held = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "n_shingles", "root")
-        open_ = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-        held = cut(held.join(open_, "bucket"))
-        if held.isEmpty():
-            break
-        # At most `hubs` of a bucket: the smallest id of each share of its components.
-        picked = held.groupBy("bucket", F.pmod(F.xxhash64("root"), F.lit(hubs)).alias("share")).agg(F.min(F.struct("rep", "root", "n_shingles")).alias("hub")).select("bucket", "hub")
-        pairs = held.join(picked, "bucket").filter(
-            (F.col("root") != F.col("hub.root"))
-            & (100 * F.least("n_shingles", F.col("hub.n_shingles")) >= percent * F.greatest("n_shingles", F.col("hub.n_shingles")))
-        )
-        pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        found = cut(confirmed(full, k, percent))
-        links = found if links is None else links.unionByName(found)
-        # A hub was held against all of its bucket.
-        spent = picked.select("bucket", F.col("hub.rep").alias("rep"))
-        members = cut(held.select("bucket", "rep", "n_shingles").join(spent, ["bucket", "rep"], "left_anti"))
-        joined = components(links)
-        labels = wanted.join(joined, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "doc_id").alias("root"))
-        hubs *= 2
+    # First the member of smallest id of each bucket against the others: a large group of near copies joins here.
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"))
+    pairs = members.join(hubs, "bucket").filter(
+        (F.col("rep") != F.col("hub.rep"))
+        & (100 * F.least("n_shingles", F.col("hub.n_shingles")) >= percent * F.greatest("n_shingles", F.col("hub.n_shingles")))
+    )
+    pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    labels = _joined(labels, confirmed(full, k, percent))
+    # Then the rest of the buckets that hold several components, in blocks.
+    held = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "root")
+    rest = held.join(hubs.select(F.col("bucket"), F.col("hub.rep").alias("rep")), ["bucket", "rep"], "left_anti")
+    open_ = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
+    rest = cut(rest.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("side")), "bucket"))
+    if not rest.isEmpty():
+        labels = _joined(labels, _blocks(rest, texts, k, percent))
     least = labels.groupBy("root").agg(F.min("node").alias("component")).filter("root IS NOT NULL")
     named = labels.join(least, "root").select(F.col("node").alias("rep"), "component")
     by_class = classes.select("k1", "k2", F.col("n_shingles").alias("n"), "rep").join(named, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
