@@ -20,7 +20,7 @@ BASES = [int(x) | 1 for x in _RNG.integers(1, 2**63, 2)]
 ODD = _RNG.integers(1, 2**63, 512, dtype=U) | U(1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

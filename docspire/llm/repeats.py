@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 
 #: Entries that a worker compares and packs at once.
-FLUSH = 2_000_000
+FLUSH = 300_000
 ENTRY = "bucket int, done boolean, h binary, g binary, ids binary, pos binary, n binary"
 REPLY = "doc_id bigint, pos binary, n binary, whole boolean"
 _REPLY_FIELDS = [pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
@@ -147,7 +147,8 @@ def send(parts: Iterator[Entries | tuple[Entries, bool]], rule: Rule, buckets: i
         rows = []
         order = np.lexsort((out.pos, out.ids))
         out = out.take(order)
-        to = ((out.h >> H.U(32)) * H.U(buckets) >> H.U(32)).astype("i4")
+        # Chosen hashes are the least of many: mixed again, they spread evenly.
+        to = ((H.mix(out.h) >> H.U(32)) * H.U(buckets) >> H.U(32)).astype("i4")
         by = np.argsort(to, kind="stable")
         out, to = out.take(by), to[by]
         cuts = np.flatnonzero(np.diff(to, prepend=-1))
