@@ -49,7 +49,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def buckets_for(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     """How many hash buckets keep each one's share of `df` near `per_bucket` bytes."""
-    return max(48, min(200_000, -(-input_bytes(df) // per_bucket)))
+    return max(48, min(1_000_000, -(-input_bytes(df) // per_bucket)))
 
 
 def fit_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

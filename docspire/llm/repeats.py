@@ -22,21 +22,34 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 
-#: Entries that a worker compares and packs at once.
-FLUSH = 300_000
-ENTRY = "bucket int, done boolean, h binary, g binary, ids binary, pos binary, n binary"
-REPLY = "doc_id bigint, pos binary, n binary, whole boolean"
-_REPLY_FIELDS = [pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+#: Entries that a worker compares and packs at once: so many, or `PER_BUCKET` for each bucket up to `FLUSH_MOST`.
+FLUSH, PER_BUCKET, FLUSH_MOST = 300_000, 32, 2_000_000
+#: k entries packed in `body`; `raw` holds `size` bytes more where a round sends bytes.
+ENTRY = "bucket int, done boolean, k int, body binary, size int, raw binary"
+REPLY = "doc_id bigint, body binary, whole boolean"
+_REPLY_FIELDS = [pa.int64(), pa.binary(), pa.bool_()]
+#: Bytes of the first hash that are sent; with the bucket they hold 45 bits and more, with the second hash 109 and more.
+SENT = 5
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compresses well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+def _planes(x: np.ndarray, most: int = 8) -> bytes:
+    """Bytes of equal weight together, which compresses well; the lowest `most` of them."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize)[:, :most].T).tobytes()
 
 
-def _unplanes(raw: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+def _unplanes(raw: bytes, k: int, size: int, dtype: str) -> np.ndarray:
+    out = np.zeros((k, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, k * size).reshape(size, k).T
+    return out.reshape(-1).view(dtype)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return _ZSTD.compress(raw, asbytes=True)
+
+
+def expand(raw: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(raw, decompressed_size=size, asbytes=True) if size else b""
 
 
 class Entries:
@@ -86,6 +99,27 @@ def repeated(e: Entries) -> tuple[Entries, list[tuple[Entries, bool]]]:
     return e.take(first), [(e.take(many[group]), True)]
 
 
+def in_other_document(e: Entries) -> tuple[Entries, list[tuple[Entries, bool]]]:
+    """All entries whose hash occurs in two documents or more.
+
+    Sends the first of these, with the logarithm of the number for which it
+    stands, and all entries of a hash that occurs in one document.
+    """
+    e, group = _groups(e, False)
+    if not len(e):
+        return e, []
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = np.append(first[1:], len(e))
+    many = e.ids[ends - 1] != e.ids[first]
+    sent = ~many[group]
+    sent[first] = True
+    n = e.n.copy()
+    n[first[many]] = np.log2(np.add.reduceat(2.0**e.n, first)[many])
+    found = e.take(many[group])
+    e.n = n
+    return e.take(sent), [(found, True)]
+
+
 def later_place(e: Entries) -> tuple[Entries, list[tuple[Entries, bool]]]:
     """All entries but the first place of each pair of hashes; sends that one."""
     e, group = _groups(e, True)
@@ -121,95 +155,114 @@ def later_document_or_kind(e: Entries) -> tuple[Entries, list[tuple[Entries, boo
     return sent, [*replies, (sent.take(several[of_h]), False)]
 
 
-def _packed(e: Entries, bucket: int, done: bool) -> tuple:
-    """One row; of finished entries only the places."""
-    step = np.diff(e.ids, prepend=0)
-    return bucket, done, b"" if done else _planes(e.h), b"" if done else _planes(e.g), _planes(step), _planes(e.pos), _planes(e.n)
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash. Chosen hashes are the least of many: mixed again, they spread evenly."""
+    return ((H.mix(h) >> H.U(32)) * H.U(buckets) >> H.U(32)).astype("i4")
+
 
+def packed(e: Entries, bucket: int, done: bool = False, raw: bytes | None = None) -> tuple:
+    """One row of ENTRY; of finished entries only the places."""
+    body = _planes(np.diff(e.ids, prepend=0)) + _planes(np.diff(e.pos, prepend=np.int32(0))) + e.n.tobytes()
+    if not done:
+        body += _planes(e.h, SENT) + _planes(e.g)
+    return bucket, done, len(e), squeeze(body), len(raw or b""), squeeze(raw) if raw else b""
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+
+def unpacked(row: dict) -> Entries:
+    k, done = row["k"], row["done"]
+    body = expand(row["body"], k * (13 if done else 21 + SENT))
+    ids = np.cumsum(_unplanes(body, k, 8, "i8"))
+    pos = np.cumsum(_unplanes(body[8 * k :], k, 4, "i4"), dtype="i4")
+    n = np.frombuffer(body[12 * k : 13 * k], np.uint8)
+    if done:
+        none = np.zeros(k, H.U)
+        return Entries(none, none, ids, pos, n)
+    return Entries(_unplanes(body[13 * k :], k, SENT, "u8"), _unplanes(body[(13 + SENT) * k :], k, 8, "u8"), ids, pos, n)
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in ENTRY.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
-def send(parts: Iterator[Entries | tuple[Entries, bool]], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Exchange rows of a worker's entries; a pair (entries, True) is a finished reply that passes through."""
+def by_bucket(out: Entries, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices of its entries in order of document and position)."""
+    order = np.lexsort((out.pos, out.ids, to := bucket_of(out.h, buckets)))
+    to = to[order]
+    cuts = np.flatnonzero(np.diff(to, prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], len(to)], strict=False):
+        yield int(to[lo]), order[lo:hi]
+
+
+def done_row(done: Entries, buckets: int) -> tuple:
+    done = done.take(np.lexsort((done.pos, done.ids)))
+    return packed(done, int(done.ids[0] * 31 + len(done)) % buckets, True)
+
+
+def flush_at(buckets: int) -> int:
+    return max(FLUSH, min(FLUSH_MOST, PER_BUCKET * buckets))
+
+
+def send(parts: Iterator[Entries], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Exchange rows of a worker's entries, which it compares by `rule` first."""
     held: list[Entries] = []
-    final: list[Entries] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         e = Entries.join(held)
-        out, replies = rule(e)
-        done = Entries.join([*final, *[r for r, whole in replies if whole]])
         held.clear()
-        final.clear()
-        rows = []
-        order = np.lexsort((out.pos, out.ids))
-        out = out.take(order)
-        # Chosen hashes are the least of many: mixed again, they spread evenly.
-        to = ((H.mix(out.h) >> H.U(32)) * H.U(buckets) >> H.U(32)).astype("i4")
-        by = np.argsort(to, kind="stable")
-        out, to = out.take(by), to[by]
-        cuts = np.flatnonzero(np.diff(to, prepend=-1))
-        for lo, hi in zip(cuts, [*cuts[1:], len(to)], strict=False):
-            rows.append(_packed(out.take(slice(lo, hi)), int(to[lo]), False))
+        out, found = rule(e)
+        done = Entries.join([r for r, whole in found if whole])
+        rows = [packed(out.take(at), bucket) for bucket, at in by_bucket(out, buckets)]
         if len(done):
-            done = done.take(np.lexsort((done.pos, done.ids)))
-            rows.append(_packed(done, int(done.ids[0] * 31 + len(done)) % buckets, True))
+            rows.append(done_row(done, buckets))
         if rows:
-            yield _rows(rows)
+            yield rows_of(rows)
 
-    size = 0
+    size, most = 0, flush_at(buckets)
     for part in parts:
-        if isinstance(part, tuple):
-            final.append(part[0])
-            size += len(part[0])
-        else:
-            held.append(part)
-            size += len(part)
-        if size >= FLUSH:
+        held.append(part)
+        size += len(part)
+        if size >= most:
             yield from flush()
             size = 0
     yield from flush()
 
 
-def replies(sent: DataFrame, rule: Rule) -> DataFrame:
-    """What the buckets reply: for each document the positions and window counts, packed."""
+def _replied(e: Entries, whole: bool) -> pa.Table:
+    """A row for each document."""
+    e = e.take(np.lexsort((e.pos, e.ids)))
+    cuts = np.flatnonzero(np.diff(e.ids, prepend=e.ids[0] - 1))
+    body = [_planes(e.pos[lo:hi]) + e.n[lo:hi].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(e)], strict=True)]
+    return pa.table([pa.array(e.ids[cuts]), pa.array(body, pa.binary()), pa.array([whole] * len(cuts))], names=["doc_id", "body", "whole"])
+
+
+def replies(sent: DataFrame, rule: Rule, parts: Callable[[list[dict]], Iterator[Entries]] | None = None, hot: Callable[[Entries, int], np.ndarray] | None = None) -> DataFrame:
+    """What the buckets reply: for each document the positions and window counts, packed.
+
+    `parts` cuts a bucket's rows into entries that may be compared apart. `hot`
+    names a bucket's hashes that are too frequent, which come as a row without id.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        parts, done = [], []
-        for row in table.select(["done", "h", "g", "ids", "pos", "n"]).to_pylist():
-            ids = np.cumsum(_unplanes(row["ids"], "i8"))
-            pos, n = _unplanes(row["pos"], "i4"), _unplanes(row["n"], "u1")
-            if row["done"]:
-                none = np.zeros(len(ids), H.U)
-                done.append(Entries(none, none, ids, pos, n))
-            else:
-                parts.append(Entries(_unplanes(row["h"], "u8"), _unplanes(row["g"], "u8"), ids, pos, n))
-        _, found = rule(Entries.join(parts))
-        found = [*found, *[(d, True) for d in done]]
+        rows = table.to_pylist()
+        done = [unpacked(r) for r in rows if r["done"]]
+        rows = [r for r in rows if not r["done"]]
         out = []
-        for whole in (True, False):
-            e = Entries.join([x for x, w in found if w == whole])
-            if len(e):
-                e = e.take(np.argsort(e.ids, kind="stable"))
-                first = np.flatnonzero(np.diff(e.ids, prepend=e.ids[0] - 1))
-                ends = np.append(first, len(e)).astype("i4")
-                pos = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(e.pos.astype("<i4").tobytes())])
-                n = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(e.n.tobytes())])
-                out.append(pa.table([pa.array(e.ids[first]), pos, n, pa.array([whole] * len(first))], names=["doc_id", "pos", "n", "whole"]))
-        empty = pa.table([pa.array([], t) for t in _REPLY_FIELDS], names=["doc_id", "pos", "n", "whole"])
+        for e in parts(rows) if parts else [Entries.join([unpacked(r) for r in rows])]:
+            if hot and rows and len(keys := hot(e, rows[0]["bucket"])):
+                out.append(pa.table([pa.array([None], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([True])], names=["doc_id", "body", "whole"]))
+            out += [_replied(x, whole) for x, whole in rule(e)[1] if len(x)]
+        out += [_replied(x, True) for x in done]
+        empty = pa.table([pa.array([], t) for t in _REPLY_FIELDS], names=["doc_id", "body", "whole"])
         return pa.concat_tables(out) if out else empty
 
     return sent.groupBy("bucket").applyInArrow(run, REPLY)
 
 
-def by_document(texts: DataFrame, replied: DataFrame | None) -> DataFrame:
+def by_document(texts: DataFrame, replied: DataFrame) -> DataFrame:
     """(doc_id, text, marks): every row of `texts` with the replies to it, null if it got none."""
-    if replied is None:
-        return texts.withColumn("marks", F.lit(None).cast("array<struct<pos:binary,n:binary,whole:boolean>>"))
-    marks = replied.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("marks"))
+    marks = replied.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("body", "whole")).alias("marks"))
     return texts.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
 
 
@@ -217,9 +270,10 @@ def unpack(marks: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Positions, window counts and whole flags of a document's marks."""
     if not marks:
         return np.zeros(0, "i4"), np.zeros(0, "u1"), np.zeros(0, bool)
-    pos = np.frombuffer(b"".join(m["pos"] for m in marks), "<i4")
-    n = np.frombuffer(b"".join(m["n"] for m in marks), "u1")
-    return pos, n, np.repeat([m["whole"] for m in marks], [len(m["n"]) for m in marks])
+    sizes = [len(m["body"]) // 5 for m in marks]
+    pos = np.concatenate([_unplanes(m["body"], k, 4, "i4") for m, k in zip(marks, sizes, strict=True)])
+    n = np.frombuffer(b"".join(m["body"][4 * k :] for m, k in zip(marks, sizes, strict=True)), np.uint8)
+    return pos, n, np.repeat([m["whole"] for m in marks], sizes)
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:

@@ -10,12 +10,17 @@ splitters that a sample would give. Buckets sort by that token first and by the
 rest, as hashes, second, and compare neighbours; equal tokens never lie across a
 border. Three rounds:
 
-1. anchors alone: those that occur once go no further;
+1. anchors alone: those that occur in one document go no further;
 2. for each anchor left, the whole stretch of strings that share it: a stretch
    also found in an earlier document goes as a whole;
-3. only where one anchor has different stretches, its single strings.
+3. only where one anchor has different stretches, their bytes, of which the
+   bucket compares the single strings.
 
-Hashes of rounds 2 and 3 have 128 bits.
+An anchor that stands for over a quarter of its bucket (a passage that a third
+of all documents hold, each after other words) would gather all of its stretches
+in one task. There are three at most for each bucket, so workers get the list,
+and in round 2 deal single strings of these anchors by the strings' own hashes.
+Stretches and strings count as equal if 109 bits or more of their hashes are.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing;
 rows of one id are taken for one document and each gets a row; a row without id
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import repeats as R
-from .common import buckets_for
+from .common import buckets_for, cut
 from .substrings import _ids
 
 LENGTH = 50
+#: An anchor of fewer places is never hot.
+HOT_LEAST = 20_000
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -70,51 +77,139 @@ def _anchors(length: int, buckets: int):
             for lo, _, data, offsets in H.chunks(batch, 1):
                 h, anchor, start, _, owner = _stretches(data, offsets, length)
                 none = np.zeros(len(anchor), H.U)
-                yield R.Entries(h[anchor], none, ids[lo + owner], (start - offsets[owner]).astype("i4"), np.ones(len(anchor), "u1"))
+                yield R.Entries(h[anchor], none, ids[lo + owner], (start - offsets[owner]).astype("i4"), np.zeros(len(anchor), "u1"))
 
-    return lambda batches: R.send(parts(batches), R.repeated, buckets)
+    return lambda batches: R.send(parts(batches), R.in_other_document, buckets)
+
+
+def _key(h: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """What a bucket knows of a hash, and the bucket."""
+    bits = 8 * R.SENT
+    return (h & H.U((1 << bits) - 1)) | (np.asarray(bucket).astype(H.U) << H.U(bits))
+
+
+def _hot(least: int):
+    """Keys of a bucket's hashes that stand for more than `least` places and a quarter of the bucket: three at most."""
+
+    def run(e: R.Entries, bucket: int) -> np.ndarray:
+        h, of = np.unique(e.h, return_inverse=True)
+        weight = np.bincount(of, weights=2.0 ** e.n, minlength=len(h))
+        return _key(h[weight > max(least, weight.sum() / 4)], bucket)
+
+    return run
 
 
 def _marked(batches: Iterator[pa.RecordBatch], length: int):
-    """Of marked texts: ids, bytes, offsets, stretches, and the marks of each text as (row, pos, n, whole)."""
+    """Of marked texts: ids, bytes, offsets, stretches with a mark, and which of these marks are whole."""
     for batch in batches:
         batch, ids = _ids(batch.filter(batch.column(2).is_valid()))
         for lo, hi, data, offsets in H.chunks(batch, 1):
             rows = [R.unpack(m) for m in batch.column(2).slice(lo, hi - lo).to_pylist()]
-            pos = np.concatenate([offsets[k] + r[0] for k, r in enumerate(rows)])
+            at = np.concatenate([offsets[k] + r[0] for k, r in enumerate(rows)])
             n = np.concatenate([r[1] for r in rows])
             whole = np.concatenate([r[2] for r in rows])
-            yield ids[lo:hi], data, offsets, pos, n, whole, np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+            yield ids[lo:hi], data, offsets, at, n, whole, owner
 
 
-def _whole_stretches(length: int, buckets: int):
+def _whole_stretches(length: int, buckets: int, hot: np.ndarray):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Entries]:
-        for ids, data, offsets, pos, _, _, _ in _marked(batches, length):
+        for ids, data, offsets, at, _, _, _ in _marked(batches, length):
             h, anchor, start, count, owner = _stretches(data, offsets, length)
             kept = np.zeros(len(data) + 1, bool)
-            kept[pos] = True
+            kept[at] = True
             go = kept[start]
             anchor, start, count, owner = anchor[go], start[go], count[go], owner[go]
+            one, two = H.prefix(data), H.prefix(data, 1)
+            common = np.isin(_key(h[anchor], R.bucket_of(h[anchor], buckets)), hot)
+            if common.any():
+                at, own = _each(start[common], count[common]), np.repeat(owner[common], count[common])
+                yield R.Entries(H.slices(one, at, at + length), H.slices(two, at, at + length), ids[own], (at - offsets[own]).astype("i4"), np.ones(len(at), "u1"))
+                anchor, start, count, owner = anchor[~common], start[~common], count[~common], owner[~common]
             end = start + count - 1 + length
             # The anchor's place in the stretch is part of what must be equal.
-            g = H.mix(H.slices(H.prefix(data, 1), start, end) ^ (anchor - start).astype(H.U) * H.ODD[7])
+            g = H.mix(H.slices(two, start, end) ^ (anchor - start).astype(H.U) * H.ODD[7])
             yield R.Entries(h[anchor], g, ids[owner], (start - offsets[owner]).astype("i4"), count.astype("u1"))
 
     return lambda batches: R.send(parts(batches), R.later_document_or_kind, buckets)
 
 
-def _single_strings(length: int, buckets: int):
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Entries | tuple[R.Entries, bool]]:
-        for ids, data, offsets, pos, n, whole, row in _marked(batches, length):
-            done = np.zeros(int(whole.sum()), H.U)
-            yield R.Entries(done, done, ids[row[whole]], (pos[whole] - offsets[row[whole]]).astype("i4"), n[whole]), True
-            pos, n, row = pos[~whole], n[~whole].astype(np.int64), row[~whole]
-            at = np.repeat(pos, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            own = np.repeat(row, n)
-            one, two = H.slices(H.prefix(data), at, at + length), H.slices(H.prefix(data, 1), at, at + length)
-            yield R.Entries(one, two, ids[own], (at - offsets[own]).astype("i4"), np.ones(len(at), "u1"))
+def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Starts of all strings of the stretches."""
+    return np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
 
-    return lambda batches: R.send(parts(batches), R.later_document, buckets)
+def _kinds(length: int, buckets: int):
+    """Sends finished stretches on as they are, and of the others the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[R.Entries] = []
+        raws: list[bytes] = []
+        done: list[R.Entries] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            e, over = R.Entries.join(held), R.Entries.join(done)
+            rows = [R.packed(e.take(at), bucket, raw=b"".join([raws[i] for i in at.tolist()])) for bucket, at in R.by_bucket(e, buckets)]
+            if len(over):
+                rows.append(R.done_row(over, buckets))
+            for x in (held, raws, done):
+                x.clear()
+            if rows:
+                yield R.rows_of(rows)
+
+        size = 0
+        for ids, data, offsets, at, n, whole, row in _marked(batches, length):
+            none = np.zeros(int(whole.sum()), H.U)
+            done.append(R.Entries(none, none, ids[row[whole]], (at[whole] - offsets[row[whole]]).astype("i4"), n[whole]))
+            at, count, own = at[~whole], n[~whole].astype(np.int64), row[~whole]
+            if len(at):
+                h, anchor, start, _, _ = _stretches(data, offsets, length)
+                # Marks start where stretches do, but for single strings of hot anchors.
+                place = anchor[np.searchsorted(start, at, "right") - 1]
+                held.append(R.Entries(h[place], np.zeros(len(at), H.U), ids[own], (at - offsets[own]).astype("i4"), count.astype("u1")))
+                text = data.tobytes()
+                raws.extend([text[lo:hi] for lo, hi in zip(at.tolist(), (at + count - 1 + length).tolist(), strict=True)])
+            size += len(whole)
+            if size >= R.FLUSH:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
+
+
+def _strings(length: int, most: int):
+    """The strings of a bucket's stretches, about `most` at a time, those of one anchor together."""
+
+    def run(rows: list[dict]) -> Iterator[R.Entries]:
+        if not rows:
+            return
+        e = R.Entries.join([R.unpacked(r) for r in rows])
+        data = np.frombuffer(b"".join(R.expand(r["raw"], r["size"]) for r in rows), np.uint8)
+        size = e.n.astype(np.int64) + length - 1
+        start = np.cumsum(size) - size
+        order = np.argsort(e.h, kind="stable")
+        new = np.flatnonzero(np.diff(e.h[order], prepend=H.U(0)))
+        total = np.cumsum(e.n[order].astype(np.int64))
+        lo = 0
+        while lo < len(order):
+            # Whole anchors, up to `most` strings.
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right"))
+            ends = new[new > lo]
+            near = int(np.searchsorted(ends, hi, "right"))
+            hi = len(order) if hi >= len(order) else int(ends[max(0, near - 1)]) if len(ends) else len(order)
+            part = order[lo:hi]
+            lo = hi
+            count = e.n[part].astype(np.int64)
+            held = data[_each(start[part], size[part])]
+            begin = np.cumsum(size[part]) - size[part]
+            at = _each(begin, count)
+            own = np.repeat(part, count)
+            pos = e.pos[own] + (at - np.repeat(begin, count)).astype("i4")
+            one, two = H.slices(H.prefix(held), at, at + length), H.slices(H.prefix(held, 1), at, at + length)
+            yield R.Entries(one, two, e.ids[own], pos, np.ones(len(at), "u1"))
+
+    return run
 
 
 def _remove(length: int):
@@ -142,7 +237,7 @@ def _remove(length: int):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     if length % 2 or not 8 <= length <= 254:
         raise ValueError("length: an even number from 8 to 254")
@@ -153,8 +248,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         joined = R.by_document(texts, replied)
         return joined.select("doc_id", F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks")
 
-    first = R.replies(texts.mapInArrow(_anchors(length, buckets), R.ENTRY), R.repeated)
-    second = R.replies(again(first).mapInArrow(_whole_stretches(length, buckets), R.ENTRY), R.later_document_or_kind)
-    third = R.replies(again(second).mapInArrow(_single_strings(length, buckets), R.ENTRY), R.later_document)
+    first = cut(R.replies(texts.mapInArrow(_anchors(length, buckets), R.ENTRY), R.in_other_document, hot=_hot(hot_least)))
+    keys = [r["body"] for r in first.filter("doc_id IS NULL").select("body").collect()]  # three hashes for each bucket at most
+    hot = np.frombuffer(b"".join(keys), H.U)
+    second = R.replies(again(first).mapInArrow(_whole_stretches(length, buckets, hot), R.ENTRY), R.later_document_or_kind)
+    third = R.replies(again(second).mapInArrow(_kinds(length, buckets), R.ENTRY), R.later_document, _strings(length, R.FLUSH))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return R.by_document(texts, third).mapInArrow(_remove(length), schema)

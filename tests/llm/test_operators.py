@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspire.llm import bpe, decontaminate, html, langid, minhash, quality, queries, rollup, secrets, substrings, suffixes
+from docspire.llm import repeats as R
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -195,14 +196,17 @@ def test_substrings(texts, documents):
     assert substrings.dedup(documents.limit(0)).count() == 0
 
 
-def test_suffixes(texts, documents):
+@pytest.mark.parametrize("hot_least", [suffixes.HOT_LEAST, 0])
+def test_suffixes(texts, documents, hot_least, monkeypatch):
+    if not hot_least:
+        monkeypatch.setattr(R, "FLUSH", 150)  # strings in many parts
     made, df = texts
     shown = lambda r: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
     want = brute_bytes(list(enumerate(made)), 50)
-    assert {r["doc_id"]: shown(r) for r in suffixes.dedup(df).collect()} == want and sum(v[1] for v in want.values())
+    assert {r["doc_id"]: shown(r) for r in suffixes.dedup(df, hot_least=hot_least).collect()} == want and sum(v[1] for v in want.values())
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct()
     want = brute_bytes([(r["doc_id"], r["text"]) for r in known.collect()], 50)
-    got = rows_by_id(suffixes.dedup(documents))
+    got = rows_by_id(suffixes.dedup(documents, hot_least=hot_least))
     assert all(shown(r) == want[i] for i, rs in got.items() if i is not None for r in rs)
     assert got[None][0]["n_removed"] == 0 and suffixes.dedup(documents.limit(0)).count() == 0
 
