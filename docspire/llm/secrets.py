@@ -120,7 +120,10 @@ def scan_ledger(rows: DataFrame, ledger: str, batch: str, versions: list[str] |
         F.col("blob").alias("_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
     kept = [c for c in rows.columns if c not in ("spans", "_blob", "_salt")]
-    keyed = rows.select(*kept, blob.alias("_blob"), (F.rand(7) * SALTS).cast("int").alias("_salt"))
+    # Rows of one blob spread by their other columns, the same again if a lost task is repeated.
+    hashable = [c for c, kind in rows.dtypes if c in kept and c != "text" and "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(F.lit(7), *hashable), F.lit(SALTS)).cast("int")
+    keyed = rows.select(*kept, blob.alias("_blob"), salt.alias("_salt"))
     joined = keyed.join(salted, ["_blob", "_salt"], "left")
     return joined.select(*kept, F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
