@@ -1,12 +1,14 @@
 """Benchmark decontamination by SimHash windows and exact confirmation.
 
 Words are lower-cased; an item of n words is held against windows of n words of
-each document (the whole document if it is shorter). Seeds keep that local: a
-window as similar as asked lacks at most a share ``1 - percent`` of the item's
-shingles, so of any ``floor((1 - percent) * m) + 1`` of them it has one; those of
-least hash are the item's seeds, and windows are taken where a seed fits, moved
-by up to the words that an edit of that size can insert or drop. Each window has
-a 64-bit SimHash of its shingles, weighted by their number. `BLOCKS` blocks of
+each document (the whole document if it is shorter). Seeds spare the windows that
+can't match: a text as similar as asked lacks at most a share ``1 - percent`` of
+the item's shingles, so of any ``floor((1 - percent) * m) + 1`` of them it has
+one; those of least hash are the item's seeds. A window of the item's size lacks
+fewer, ``m * (1 - percent) / (1 + percent)``, so it holds the rest of the seeds,
+and every window that does is taken, wherever in it they stand: the order of an
+item's parts doesn't matter. Each window has a 64-bit SimHash of its shingles,
+weighted by their number. `BLOCKS` blocks of
 the hash index the items of each length, and by the pigeonhole principle two
 hashes that differ in at most ``BLOCKS - 1`` bits, the radius, share a block.
 Pairs within the radius are confirmed by the weighted (multiset) Jaccard
@@ -63,28 +65,43 @@ def _shared(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
 
 
+def _starts(ps: Column, m: Column, n: Column, least: Column) -> Column:
+    """Starts of the windows of `m` shingles of `n` that hold `least` or more of the sorted places `ps`.
+
+    A start belongs to the first place at or after it, so no start comes twice.
+    """
+
+    def of(i: Column) -> Column:
+        low = F.greatest(F.coalesce(F.get(ps, i - 1) + 1, F.lit(0)), F.get(ps, i + least - 1) - m + 1)
+        high = F.least(F.get(ps, i), n - m)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    many = F.when(F.size(ps) < least, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(ps) - least), of)))
+    return F.when(n <= m, F.array(F.lit(0))).otherwise(many)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, similarity): the best window of each document and item that match."""
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("own")).filter(F.size("own") > 0)
     items = cut(items.select("item_id", "own", F.size("own").alias("m"), _simhash(F.col("own")).alias("print")))
     spare = F.floor(F.col("m") * F.lit((100 - PERCENT) / 100)).cast("int")
-    ranked = F.sort_array(F.transform("own", lambda h, q: F.struct(h.alias("h"), q.alias("q"))))
-    seeds = items.select("m", F.greatest(F.lit(0), spare - SHINGLE + 1).alias("slack"), F.explode(F.slice(ranked, F.lit(1), spare + 1)).alias("x"))
-    seeds = cut(seeds.select("m", "slack", "x.*").distinct())
+    seeds = cut(items.select("m", F.explode(F.slice(F.sort_array("own"), F.lit(1), spare + 1)).alias("h")).distinct())
     hashed = docs.select("doc_id", F.posexplode(_hashes(F.col("text"))).alias("p", "h"))
-    hits = hashed.join(fit_broadcast(seeds, BROADCAST_ROWS), "h").select("doc_id", "m", (F.col("p") - F.col("q")).alias("s"), "slack")
-    # A row for each document that holds a seed; its windows are no more than its words times the slacks.
-    places = cut(hits.groupBy("doc_id").agg(F.collect_set(F.struct("m", "s", "slack")).alias("places")))
+    hits = hashed.join(fit_broadcast(seeds, BROADCAST_ROWS), "h").groupBy("doc_id", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    # A row for each document that holds a seed; its places are no more than its words for each length.
+    places = cut(hits.groupBy("doc_id").agg(F.collect_list(F.struct("m", "ps")).alias("places")))
     near = docs.select("doc_id", "text").join(fit_broadcast(places, BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id"])
-    near = near.select("doc_id", "places", _hashes(F.col("text")).alias("all"))
-    fitted = lambda s, m: F.greatest(F.lit(0), F.least(s, F.size("all") - m))
-    moved = F.flatten(F.transform("places", lambda x: F.transform(F.sequence(x["s"] - x["slack"], x["s"] + x["slack"]), lambda s: F.struct(x["m"].alias("m"), fitted(s, x["m"]).alias("s")))))
-    windows = near.select("doc_id", F.explode(F.array_distinct(moved)).alias("at"), "all").select("doc_id", "at.m", "at.s", F.slice("all", F.col("at.s") + 1, F.col("at.m")).alias("window"))
-    windows = cut(windows.withColumn("print", _simhash(F.col("window"))))
+    near = cut(near.select("doc_id", "places", _hashes(F.col("text")).alias("all")))
+    at = near.repartition("doc_id").select("doc_id", "all", F.explode("places").alias("at")).select("doc_id", "all", "at.*")
+    least = spare + 1 - F.floor(F.col("m") * (100 - PERCENT) / (100 + PERCENT)).cast("int")
+    starts = _starts(F.col("ps"), F.col("m"), F.size("all"), least)
+    prints = F.transform(starts, lambda s: F.struct(s.alias("s"), let(F.slice("all", s + 1, F.col("m")), _simhash).alias("print")))
+    windows = cut(at.select("doc_id", "m", F.explode(prints).alias("x")).select("doc_id", "m", "x.*"))
     indexed = items.select("item_id", "m", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("block"))
     pairs = windows.select("doc_id", "m", "s", "print", F.explode(_blocks(F.col("print"))).alias("block")).join(fit_broadcast(indexed, BROADCAST_ROWS), ["m", "block"])
     pairs = pairs.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) < BLOCKS).select("doc_id", "m", "s", "item_id").distinct()
-    held = pairs.join(windows.select("doc_id", "m", "s", "window"), ["doc_id", "m", "s"]).join(fit_broadcast(items.select("item_id", "own"), BROADCAST_ROWS), "item_id")
+    held = pairs.join(near.select("doc_id", "all"), "doc_id").withColumn("window", F.slice("all", F.col("s") + 1, F.col("m")))
+    held = held.join(fit_broadcast(items.select("item_id", "own"), BROADCAST_ROWS), "item_id")
     scored = held.select("doc_id", "item_id", "s", (F.size("window") + F.size("own")).alias("both"), _shared(F.col("own"), F.col("window")).alias("shared"))
     good = scored.filter(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared")))
     best = F.max(F.struct((F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"), (-F.col("s")).alias("s")))

@@ -241,6 +241,32 @@ def test_decontamination(spark, documents):
     assert {r["doc_id"] for r in decontaminate.contaminated(documents, own).collect()} >= {1, 2, 9}
 
 
+def test_decontamination_of_moved_parts(spark):
+    """Items whose parts stand in another order, however far those moved, and items cut in lines."""
+    rng = random.Random(8)
+    fill = lambda n: [f"f{rng.randrange(9000)}" for _ in range(n)]
+    sizes = (45, 59, 100, 200)
+    items = [[f"i{i}x{j}" for j in range(n)] for i, n in enumerate(sizes)]
+    moved = [(w[k:] + w[:k]) for w in items for k in (10, 20, len(w) // 2)]
+    moved.append([x for part in range(0, 200, 50) for x in items[3][150 - part : 200 - part]])
+    docs = [(i, " ".join([*fill(30), *w, *fill(30)])) for i, w in enumerate(moved)]
+    docs += [(100 + i, "\n".join(w)) for i, w in enumerate(moved)]
+    want = {}
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    for (d, t), (i, w) in itertools.product(docs, enumerate(items)):
+        own, every = shingles(w), shingles(words(t))
+        m = len(own)
+        for s in range(max(1, len(every) - m + 1)):
+            part = every[s : s + m]
+            shared = sum((collections.Counter(own) & collections.Counter(part)).values())
+            union = m + len(part) - shared
+            if 100 * shared >= 80 * union:
+                want[d, i] = max(want.get((d, i), 0), round(shared / union, 6))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == want and len(want) > 16
+
+
 # 6
 def test_quality(spark, documents):
     got = rows_by_id(quality.quality_rules(documents))
