@@ -389,12 +389,13 @@ class FieldBuilder:
         return self._k(k, Ranked(self.path, "knearest", (lon, lat), {"k": k, "max": None if max_meters is None else max_meters / 111_000.0}))
 
     # Ranked text and vectors.
-    def matches(self, query: str, limit: int = 10_000) -> Filter:
+    def matches(self, query: str, limit: int | None = None) -> Filter:
+        """All rows that match, or the `limit` best."""
         return Ranked(self.path, "matches", query, {"k": limit})
 
     contains = matches
 
-    def phrase(self, phrase: str, limit: int = 10_000) -> Filter:
+    def phrase(self, phrase: str, limit: int | None = None) -> Filter:
         return Ranked(self.path, "phrase", phrase, {"k": limit})
 
     def nearest(self, query: list[float], k: int, metric: str = "cosine", min_score: float | None = None) -> Filter:

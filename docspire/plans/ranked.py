@@ -55,8 +55,8 @@ def flat_text(column: Column, kind: T.DataType) -> Column:
     return F.lit("")
 
 
-def matches(df: DataFrame, path: str, query: str, k: int = 10_000, key: str | None = "_id", phrase: bool = False) -> DataFrame:
-    """The k best rows by BM25, with `_score`.
+def matches(df: DataFrame, path: str, query: str, k: int | None = None, key: str | None = "_id", phrase: bool = False) -> DataFrame:
+    """The rows that match, or the k best of them, by BM25, with `_score`.
 
     Statistics are of all rows with a text: their number, mean length, and the
     rows that hold each query term, in one aggregate over token counts. Term
@@ -83,7 +83,8 @@ def matches(df: DataFrame, path: str, query: str, k: int = 10_000, key: str | No
         tf, held = F.get(F.col("_c.tf"), F.lit(i)).cast("double"), F.get(F.col("df"), F.lit(i))
         idf = F.log(1.0 + (F.col("rows") - held + 0.5) / (held + 0.5))
         total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_c.n") / F.col("mean")))
-    return joined.withColumn("_score", total).orderBy(F.col("_score").desc(), *_key(df, key)).limit(k).drop("_c", "rows", "mean", "df")
+    ranked = joined.withColumn("_score", total).orderBy(F.col("_score").desc(), *_key(df, key))
+    return (ranked if k is None else ranked.limit(k)).drop("_c", "rows", "mean", "df")
 
 
 def _is(term: str):

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from docspire import queries as engine
 from docspire.functions import geotext, spatial, text, vector
 from docspire.functions.spatial import Geometry
 from docspire.operators import cursor
@@ -181,3 +182,12 @@ def test_top_then_filter_and_filter_then_top(spark):
     assert [r["_id"] for r in first.collect()] == [1, 3]
     then = Search(rows, (1.0, 0.0), 4).filter(field_("odd").eq(1)).run()
     assert [r["_id"] for r in then.collect()] == [1, 3, 5, 7]
+
+
+def test_boolean_search_returns_every_match(spark, tmp_path):
+    """More rows than the reference's report of 10,000; a limit holds only where it is asked for."""
+    rows = spark.range(10_251).selectExpr("id doc_id", "id _id", "if(id % 201 = 0, 'tion thing', 'tion red') text")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert engine.queries()["fts_boolean"](spark, str(tmp_path)).count() == 10_200
+    assert find(rows, field_("text").matches("tion")).count() == find(rows, field_("text").phrase("tion")).count() == 10_251
+    assert find(rows, field_("text").matches("tion", 7)).count() == 7
