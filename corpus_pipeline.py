@@ -1,8 +1,9 @@
 """A training corpus from raw documents: five operators, one after another.
 
 Each stage gets what its predecessor kept, as a Parquet table, and all but the
-last return the columns of documents. Rows of one id are taken for one document:
-a stage that drops the id drops all of them. Rows without id are always kept.
+last return the columns of documents. Stages judge rows, not ids: each row has a
+key of its own for the stage, so rows that share an id or have none are judged by
+their own texts.
 """
 
 from __future__ import annotations
@@ -16,29 +17,44 @@ from docspire.llm import bpe, decontaminate, minhash, quality, secrets
 from docspire.llm.common import cut, fit_broadcast, scratch
 from docspire.llm.queries import word_tokenizer
 
-#: Dropped ids that may be broadcast, 16 bytes each; beyond, the tables are joined by shuffling.
+#: Dropped keys that may be broadcast, 16 bytes each; beyond, the tables are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` but for the rows of these ids."""
-    gone = cut(ids.select(F.col("doc_id").alias("_gone")).filter("_gone IS NOT NULL").distinct())
-    return docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a key of each row, and the key's name; written once, so a repeated task finds the same keys."""
+    key, taken = "_row", {c.lower() for c in docs.columns}
+    while key in taken:
+        key += "_"
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """`docs` but for the rows of these keys, and without the key."""
+    gone = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col(key) == F.col("_gone"), "left_anti").drop(key)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, quality.quality_rules(docs).filter("NOT kept"))
+    rows, key = _keyed(docs)
+    return _without(rows, key, quality.quality_rules(rows.withColumn("doc_id", F.col(key))).filter("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    return _without(docs, minhash.near_duplicates(docs, k=5, percent=80).filter("NOT kept"))
+    """The document of smallest id of each group of near duplicates; one without id only if none has one."""
+    rows, key = _keyed(docs)
+    found = cut(minhash.near_duplicates(rows.withColumn("doc_id", F.col(key)), k=5, percent=80).select("doc_id", "component_id"))
+    ids = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    best = found.join(ids, F.col("doc_id") == F.col("_key")).groupBy("component_id").agg(F.min(order)["key"].alias("_best"))
+    return _without(rows, key, found.join(best.select("_best"), F.col("doc_id") == F.col("_best"), "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, key = _keyed(docs)
+    return _without(rows, key, decontaminate.contaminated(rows.withColumn("doc_id", F.col(key)), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

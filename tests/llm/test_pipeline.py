@@ -40,3 +40,21 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    """Rows without id, and rows of one id and different texts or the same."""
+    text = lambda i, n=40: " ".join(f"word{i}x{j}" for j in range(n))
+    item = text(99, 15)
+    rows = [
+        (1, text(1)), (None, text(1)), (None, "too short"), (None, text(2) + " " + item + " end"), (None, text(3)), (None, text(3)),
+        (4, text(4)), (4, text(5) + " " + item + " end"), (4, "short"), (6, text(6)), (6, text(6)), (7, text(7)), (7, text(8)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id bigint, text string, lang string, source string, _row bigint").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+    want = [(None, text(3)), (1, text(1)), (4, text(4)), (6, text(6)), (7, text(7)), (7, text(8))]
+    assert sorted(((r["doc_id"], r["text"]) for r in at.collect()), key=str) == sorted(want, key=str)
