@@ -49,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     kinds = {"words-1": None, "byte-bpe-50k": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
-    return rollup.token_counts(_table(spark, sf_dir, "documents"), kinds)
+    return rollup.token_counts_by_batches(_table(spark, sf_dir, "documents"), kinds)
 
 
 def word_tokenizer() -> str:

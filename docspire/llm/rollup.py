@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, words
+from .common import cut, scratch, words
 
 LOG = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, sign int"
 TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -113,3 +113,23 @@ def token_counts(docs: DataFrame, tokenizers: dict[str, tuple[str, str] | None])
     spark, store = docs.sparkSession, scratch(docs.sparkSession)
     apply_batch(spark, store, "documents", counts(docs, tokenizers))
     return totals(spark, store)
+
+
+def token_counts_by_batches(docs: DataFrame, tokenizers: dict[str, tuple[str, str] | None]) -> DataFrame:
+    """The same totals, by batches that insert, revise, delete and reinsert a share of the ids each.
+
+    Texts are counted once. The first batch has a share without its tokens, which
+    the second revises; the third deletes a share, which the fourth brings back;
+    the fourth comes twice, and its repetition, without that share's tokens, is refused.
+    """
+    spark, store = docs.sparkSession, scratch(docs.sparkSession)
+    counted = cut(counts(docs, tokenizers))
+    share = lambda *n: counted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)).isin(*n))
+    untold = lambda n: share(n).withColumn("n_tokens", F.lit(0).cast("bigint"))
+    apply_batch(spark, store, "1-insert", share(0, 2).unionByName(untold(1)))
+    apply_batch(spark, store, "2-revise", share(1, 3))
+    apply_batch(spark, store, "3-delete", deletes=share(2).select("doc_id"))
+    apply_batch(spark, store, "4-reinsert", share(2))
+    if apply_batch(spark, store, "4-reinsert", untold(2)):
+        raise RuntimeError("a repeated batch was applied")
+    return totals(spark, store)

@@ -323,6 +323,24 @@ def test_token_counts(spark, documents, tmp_path):
     assert rollup.token_counts(documents.limit(0), kinds).count() == 0
 
 
+def test_registered_counts_take_the_delta_path(spark, documents, tmp_path, monkeypatch):
+    """Batches of all kinds end at the totals of one insert, and their log has signed rows."""
+    more = documents.unionByName(documents.filter("doc_id = 1").drop("doc_id").crossJoin(spark.range(100, 140).toDF("doc_id")), allowMissingColumns=True)
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(rollup, "scratch", lambda spark: str(tmp_path / "store"))
+    shown = lambda df: sorted(map(str, df.collect()))
+    got = shown(queries.op8_token_counts(spark, str(tmp_path)))
+    log = [r["sign"] for r in rollup._read(spark, str(tmp_path / "store"), "log", rollup.LOG).collect()]
+    assert len(rollup._committed(spark, str(tmp_path / "store"))) == 4 and log.count(-1) > 20
+    import public_tokenizers
+
+    kinds = {"words-1": None, "byte-bpe-50k": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+    monkeypatch.setattr(rollup, "scratch", lambda spark: str(tmp_path / "plain"))
+    assert got == shown(rollup.token_counts(more, kinds)) and len(got) > 4
+    monkeypatch.setattr(rollup, "scratch", lambda spark: str(tmp_path / "none"))
+    assert rollup.token_counts_by_batches(documents.limit(0), kinds).count() == 0
+
+
 def test_rollup_batches(spark, tmp_path):
     store, words_only = str(tmp_path / "store"), {"words-1": None}
     docs = lambda rows: rollup.counts(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string"), words_only)
