@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 #: Word separators of every contract: space and the controls 09-0D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only by a local session that names no shared folder, as in tests.
 DEFAULT_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
+    """A fresh path in the shared folder that the session names; a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = DEFAULT_SCRATCH
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -25,11 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, which ends its lineage.
 
     The copy is a plain Parquet table, so a lost executor costs a reread and
-    no recomputation. The folder's owner expires old tables.
+    no recomputation. It goes when the application ends.
     """
-    path = scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,7 +57,26 @@ def input_bytes(df: DataFrame) -> int:
 
 def buckets_for(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     """How many hash buckets keep each one's share of `df` near `per_bucket` bytes."""
-    return max(48, min(1_000_000, -(-input_bytes(df) // per_bucket)))
+    return max(48, -(-input_bytes(df) // per_bucket))
+
+
+def ids_repeat(df: DataFrame) -> bool:
+    """Whether two rows or more share an id, or lack one; shuffles ids alone."""
+    return not df.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """`df` with a key of each row, and the key's name; written once, so a repeated task finds the same keys."""
+    key = fresh_name(df, name)
+    return cut(df.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def fit_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -73,6 +73,14 @@ def prefix(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+def prefix_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `slices` needs of a sequence of hashes."""
+    power, inverse = _powers(BASES[0], len(h))
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(h * power[: len(h)], out=sums[1:])
+    return sums, inverse
+
+
 def slices(table: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the slices of bytes."""
     sums, inverse = table

@@ -22,7 +22,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,36 @@
 
 A byte is removed if it lies in a string of `length` bytes that also starts in a
 document of smaller id. Not every suffix is sorted, only those that start at an
-anchor: of the `length // 2`-byte strings inside each `length`-byte string, the
-one of least hash. Equal strings have equal anchors, and one position in
-thirteen is one. Suffixes are dealt to buckets by the hash of the anchor's
-bytes, their leading token: hash values spread evenly, so equal ranges are the
-splitters that a sample would give. Buckets sort by that token first and by the
-rest, as hashes, second, and compare neighbours; equal tokens never lie across a
-border. Three rounds:
-
-1. anchors alone: those that occur in one document go no further;
+anchor: of the places in each string with `8 * TOKENS` bytes of the string after
+them, the one whose leading token, 8 bytes, has the least hash. Equal strings
+have equal anchors, and one position in fourteen is one.
+
+Suffixes are dealt by range of their leading tokens, big-endian numbers whose
+order is that of the bytes. The splitters are quantiles of the anchors of a
+sample of documents. They lie between different leading tokens, so equal suffixes
+share a range and neighbours across a boundary differ in their leading tokens:
+there is nothing left to compare there but a token that fills several ranges of
+the sample, see below. Beyond `MOST_RANGES` ranges each is split further by a hash
+of the same tokens, so the driver holds a bounded number of splitters whatever
+the input. Buckets sort by multikey quicksort, token by token, and compare
+neighbours. Three rounds:
+
+1. the leading tokens of anchors alone: those of one document go no further;
 2. for each anchor left, the whole stretch of strings that share it: a stretch
    also found in an earlier document goes as a whole;
 3. only where one anchor has different stretches, their bytes, of which the
    bucket compares the single strings.
 
-An anchor that stands for over a quarter of its bucket (a passage that a third
-of all documents hold, each after other words) would gather all of its stretches
-in one task. There are three at most for each bucket, so workers get the list,
-and in round 2 deal single strings of these anchors by the strings' own hashes.
-Stretches and strings count as equal if 109 bits or more of their hashes are.
+Leading tokens that fill several ranges of the sample (a passage that a third of
+all documents hold, each after other words) would gather in one task: in round 2
+their strings are dealt one by one, by the strings' own hashes, over all buckets,
+and compared there. Stretches and strings count as equal if 109 bits or more of
+their hashes are; leading tokens are compared byte by byte.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing;
-rows of one id are taken for one document and each gets a row; a row without id
-is compared with none; an empty table gives an empty one; a cut may split a
-character, so `kept` is binary; other columns are not read.
+rows that share an id count as one document but each is judged by its own text;
+a row without id is compared with none; an empty table gives an empty one; a cut
+may split a character, so `kept` is binary; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,21 +46,28 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import repeats as R
-from .common import buckets_for, cut
-from .substrings import _ids
+from .common import buckets_for, cut, input_bytes
 
 LENGTH = 50
-#: An anchor of fewer places is never hot.
-HOT_LEAST = 20_000
+#: Tokens of 8 bytes by which suffixes are dealt and first sorted.
+TOKENS = 3
+#: Ranges of leading tokens at most, and sampled suffixes for each.
+MOST_RANGES, SAMPLES = 1 << 16, 64
+#: Bytes sent of the keys of each round.
+LEADING, STRETCH, STRING = (8,) * TOKENS, (5, 8), (5, 8)
+
+
+def _tokens(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a big-endian number."""
+    n = max(0, len(data) - 7)
+    return np.ndarray(n, ">u8", np.ascontiguousarray(data), strides=(1,)).astype(H.U) if n else np.zeros(0, H.U)
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Hashes of half strings; of each run of strings with one anchor the anchor, first start, number of starts and text."""
-    half = length // 2
-    sums, inverse = H.prefix(data)
-    n_half = max(0, len(data) - half + 1)
-    h = H.mix((sums[half : half + n_half] - sums[:n_half]) * inverse[:n_half])
-    chosen = R.least_of(h, length - half + 1)  # for every start, also those over a border
+    """Tokens of every place; of each run of strings with one anchor the anchor, first start, number of starts and text."""
+    width = 8 * TOKENS
+    token = _tokens(data)
+    chosen = R.least_of(H.mix(token[: max(0, len(data) - width + 1)]), length - width + 1)  # for every start, also those over a border
     whole = np.zeros(len(data) + 1, np.int64)  # starts whose string lies in one text
     size = np.diff(offsets)
     fits = size >= length
@@ -67,71 +80,126 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     owner = np.searchsorted(offsets, at[first], "right") - 1
-    return h, anchor[first], at[first], count, owner
-
+    return token, anchor[first], at[first], count, owner
+
+
+def _leading(token: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
+    return [token[anchor + 8 * j] for j in range(TOKENS)]
+
+
+def _name(keys: list[np.ndarray]) -> np.ndarray:
+    """A hash of leading tokens."""
+    out = np.zeros(len(keys[0]), H.U)
+    for j, k in enumerate(keys):
+        out = H.mix(out ^ k * H.ODD[j])
+    return out
+
+
+class Ranges:
+    """Splitters between leading tokens."""
+
+    def __init__(self, sample: np.ndarray, buckets: int):
+        """`sample`: rows of `TOKENS` numbers, in no order."""
+        ranges = min(buckets, MOST_RANGES)
+        self.split = -(-buckets // ranges)
+        self.buckets = ranges * self.split
+        order, _ = R.multikey([np.ascontiguousarray(sample[:, j]) for j in range(TOKENS)]) if len(sample) else (np.zeros(0, int), None)
+        at = np.unique(np.arange(1, ranges) * len(order) // ranges)
+        cuts = sample[order[at]] if len(order) else np.zeros((0, TOKENS), H.U)
+        raw = self._raw([cuts[:, j] for j in range(TOKENS)])
+        self.raw, times = np.unique(raw, return_counts=True)
+        keep = np.unique(raw, return_index=True)[1]
+        self.first = np.ascontiguousarray(cuts[keep, 0])
+        names = _name([cuts[keep, j] for j in range(TOKENS)]) if len(keep) else np.zeros(0, H.U)
+        self.hot = np.sort(names[times > 1])
+
+    @staticmethod
+    def _raw(keys: list[np.ndarray]) -> np.ndarray:
+        """The tokens' bytes, which compare as they sort."""
+        flat = np.stack([k.astype(">u8") for k in keys], 1) if len(keys[0]) else np.zeros((0, len(keys)), ">u8")
+        return np.ascontiguousarray(flat).view(f"S{8 * len(keys)}").reshape(-1)
+
+    def of(self, keys: list[np.ndarray], name: np.ndarray) -> np.ndarray:
+        """The bucket of each suffix."""
+        low, high = np.searchsorted(self.first, keys[0], "left"), np.searchsorted(self.first, keys[0], "right")
+        tie = np.flatnonzero(low != high)
+        low[tie] = np.searchsorted(self.raw, self._raw([k[tie] for k in keys]), "right")
+        sub = R.bucket_of(name, self.split) if self.split > 1 else 0
+        return (low * self.split + sub).astype("i4")
+
+
+def _sample(texts: DataFrame, length: int, buckets: int, size: int) -> np.ndarray:
+    """Leading tokens of about `SAMPLES` anchors for each range: of documents chosen by their keys, anchors chosen by their places."""
+    rate = min(1.0, SAMPLES * min(buckets, MOST_RANGES) * 14 / max(1, size))
+    of_rows = min(1.0, 16 * rate)
+    every = max(1, round(of_rows / rate))
+    rows = texts.filter(F.xxhash64("key").cast("double") < -(2.0**63) + 2.0**64 * of_rows)
 
-def _anchors(length: int, buckets: int):
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Entries]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch, ids = _ids(batch)
             for lo, _, data, offsets in H.chunks(batch, 1):
-                h, anchor, start, _, owner = _stretches(data, offsets, length)
-                none = np.zeros(len(anchor), H.U)
-                yield R.Entries(h[anchor], none, ids[lo + owner], (start - offsets[owner]).astype("i4"), np.zeros(len(anchor), "u1"))
-
-    return lambda batches: R.send(parts(batches), R.in_other_document, buckets)
+                token, anchor, start, _, owner = _stretches(data, offsets, length)
+                go = (H.mix((start - offsets[owner]).astype(H.U) + (owner + lo).astype(H.U) * H.ODD[5]) % H.U(every)) == 0
+                keys = _leading(token, anchor[go])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)) for k in keys], [f"t{j}" for j in range(TOKENS)])
 
+    found = rows.select("key", "text").mapInArrow(run, ", ".join(f"t{j} bigint" for j in range(TOKENS))).toPandas()  # bounded by SAMPLES and MOST_RANGES
+    return found.to_numpy(np.int64).reshape(-1, TOKENS).astype(np.int64).view(H.U)
 
-def _key(h: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
-    """What a bucket knows of a hash, and the bucket."""
-    bits = 8 * R.SENT
-    return (h & H.U((1 << bits) - 1)) | (np.asarray(bucket).astype(H.U) << H.U(bits))
 
+def _entries(keys, ids, pos, n, to, rows, text) -> R.Entries:
+    return R.Entries(keys, ids[text], pos.astype("i4"), n, to, None if rows is None else rows[text])
 
-def _hot(least: int):
-    """Keys of a bucket's hashes that stand for more than `least` places and a quarter of the bucket: three at most."""
 
-    def run(e: R.Entries, bucket: int) -> np.ndarray:
-        h, of = np.unique(e.h, return_inverse=True)
-        weight = np.bincount(of, weights=2.0 ** e.n, minlength=len(h))
-        return _key(h[weight > max(least, weight.sum() / 4)], bucket)
+def _anchors(length: int, ranges: Ranges, own: bool):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Entries]:
+        for batch in batches:
+            batch, ids, rows = R.identified(batch, own)
+            for lo, _, data, offsets in H.chunks(batch, 2):
+                token, anchor, start, _, owner = _stretches(data, offsets, length)
+                keys = _leading(token, anchor)
+                yield _entries(keys, ids, start - offsets[owner], np.zeros(len(anchor), "u1"), ranges.of(keys, _name(keys)), rows, lo + owner)
 
-    return run
+    return lambda batches: R.send(parts(batches), R.in_other_document, LEADING, ranges.buckets)
 
 
-def _marked(batches: Iterator[pa.RecordBatch], length: int):
-    """Of marked texts: ids, bytes, offsets, stretches with a mark, and which of these marks are whole."""
+def _marked(batches: Iterator[pa.RecordBatch], own: bool):
+    """Of marked texts: ids, row keys, bytes, offsets, stretches with a mark, and which of these marks are whole."""
     for batch in batches:
-        batch, ids = _ids(batch.filter(batch.column(2).is_valid()))
-        for lo, hi, data, offsets in H.chunks(batch, 1):
-            rows = [R.unpack(m) for m in batch.column(2).slice(lo, hi - lo).to_pylist()]
+        batch, ids, keys = R.identified(batch.filter(batch.column(3).is_valid()), own)
+        for lo, hi, data, offsets in H.chunks(batch, 2):
+            rows = [R.unpack(m) for m in batch.column(3).slice(lo, hi - lo).to_pylist()]
             at = np.concatenate([offsets[k] + r[0] for k, r in enumerate(rows)])
             n = np.concatenate([r[1] for r in rows])
             whole = np.concatenate([r[2] for r in rows])
             owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-            yield ids[lo:hi], data, offsets, at, n, whole, owner
+            yield ids[lo:hi], keys[lo:hi] if own else None, data, offsets, at, n, whole, owner
 
 
-def _whole_stretches(length: int, buckets: int, hot: np.ndarray):
+def _whole_stretches(length: int, ranges: Ranges, own: bool):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[R.Entries]:
-        for ids, data, offsets, at, _, _, _ in _marked(batches, length):
-            h, anchor, start, count, owner = _stretches(data, offsets, length)
+        for ids, rows, data, offsets, at, _, _, _ in _marked(batches, own):
+            token, anchor, start, count, owner = _stretches(data, offsets, length)
             kept = np.zeros(len(data) + 1, bool)
             kept[at] = True
             go = kept[start]
             anchor, start, count, owner = anchor[go], start[go], count[go], owner[go]
             one, two = H.prefix(data), H.prefix(data, 1)
-            common = np.isin(_key(h[anchor], R.bucket_of(h[anchor], buckets)), hot)
-            if common.any():
-                at, own = _each(start[common], count[common]), np.repeat(owner[common], count[common])
-                yield R.Entries(H.slices(one, at, at + length), H.slices(two, at, at + length), ids[own], (at - offsets[own]).astype("i4"), np.ones(len(at), "u1"))
-                anchor, start, count, owner = anchor[~common], start[~common], count[~common], owner[~common]
+            keys = _leading(token, anchor)
+            name = _name(keys)
+            hot = np.isin(name, ranges.hot)
+            if hot.any():
+                at, text = _each(start[hot], count[hot]), np.repeat(owner[hot], count[hot])
+                h = H.slices(one, at, at + length)
+                yield _entries([h, H.slices(two, at, at + length)], ids, at - offsets[text], np.ones(len(at), "u1"), R.bucket_of(h, ranges.buckets), rows, text)
+                cold = ~hot
+                anchor, start, count, owner, name, keys = anchor[cold], start[cold], count[cold], owner[cold], name[cold], [k[cold] for k in keys]
             end = start + count - 1 + length
             # The anchor's place in the stretch is part of what must be equal.
             g = H.mix(H.slices(two, start, end) ^ (anchor - start).astype(H.U) * H.ODD[7])
-            yield R.Entries(h[anchor], g, ids[owner], (start - offsets[owner]).astype("i4"), count.astype("u1"))
+            yield _entries([name, g], ids, start - offsets[owner], count.astype("u1"), ranges.of(keys, name), rows, owner)
 
-    return lambda batches: R.send(parts(batches), R.later_document_or_kind, buckets)
+    return lambda batches: R.send(parts(batches), R.later_document_or_kind, STRETCH, ranges.buckets)
 
 
 def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -139,7 +207,7 @@ def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _kinds(length: int, buckets: int):
+def _kinds(length: int, ranges: Ranges, own: bool):
     """Sends finished stretches on as they are, and of the others the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,27 +216,27 @@ def _kinds(length: int, buckets: int):
         done: list[R.Entries] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            e, over = R.Entries.join(held), R.Entries.join(done)
-            rows = [R.packed(e.take(at), bucket, raw=b"".join([raws[i] for i in at.tolist()])) for bucket, at in R.by_bucket(e, buckets)]
-            if len(over):
-                rows.append(R.done_row(over, buckets))
+            e = R.Entries.join(held)
+            rows = [R.packed(e.take(at), bucket, STRETCH[:1], raw=b"".join([raws[i] for i in at.tolist()])) for bucket, at in R.by_bucket(e)]
+            rows += R.done_rows(done, ranges.buckets)
             for x in (held, raws, done):
                 x.clear()
             if rows:
                 yield R.rows_of(rows)
 
         size = 0
-        for ids, data, offsets, at, n, whole, row in _marked(batches, length):
-            none = np.zeros(int(whole.sum()), H.U)
-            done.append(R.Entries(none, none, ids[row[whole]], (at[whole] - offsets[row[whole]]).astype("i4"), n[whole]))
-            at, count, own = at[~whole], n[~whole].astype(np.int64), row[~whole]
+        for ids, keys, data, offsets, at, n, whole, row in _marked(batches, own):
+            none = np.zeros(int(whole.sum()), "i4")
+            done.append(_entries([], ids, at[whole] - offsets[row[whole]], n[whole], none, keys, row[whole]))
+            at, count, text = at[~whole], n[~whole].astype(np.int64), row[~whole]
             if len(at):
-                h, anchor, start, _, _ = _stretches(data, offsets, length)
+                token, anchor, start, _, _ = _stretches(data, offsets, length)
                 # Marks start where stretches do, but for single strings of hot anchors.
-                place = anchor[np.searchsorted(start, at, "right") - 1]
-                held.append(R.Entries(h[place], np.zeros(len(at), H.U), ids[own], (at - offsets[own]).astype("i4"), count.astype("u1")))
-                text = data.tobytes()
-                raws.extend([text[lo:hi] for lo, hi in zip(at.tolist(), (at + count - 1 + length).tolist(), strict=True)])
+                lead = _leading(token, anchor[np.searchsorted(start, at, "right") - 1])
+                name = _name(lead)
+                held.append(_entries([name], ids, at - offsets[text], count.astype("u1"), ranges.of(lead, name), keys, text))
+                flat = data.tobytes()
+                raws.extend([flat[lo:hi] for lo, hi in zip(at.tolist(), (at + count - 1 + length).tolist(), strict=True)])
             size += len(whole)
             if size >= R.FLUSH:
                 yield from flush()
@@ -184,12 +252,12 @@ def _strings(length: int, most: int):
     def run(rows: list[dict]) -> Iterator[R.Entries]:
         if not rows:
             return
-        e = R.Entries.join([R.unpacked(r) for r in rows])
+        e = R.Entries.join([R.unpacked(r, STRETCH[:1]) for r in rows])
         data = np.frombuffer(b"".join(R.expand(r["raw"], r["size"]) for r in rows), np.uint8)
         size = e.n.astype(np.int64) + length - 1
         start = np.cumsum(size) - size
-        order = np.argsort(e.h, kind="stable")
-        new = np.flatnonzero(np.diff(e.h[order], prepend=H.U(0)))
+        order = np.argsort(e.keys[0], kind="stable")
+        new = np.flatnonzero(np.diff(e.keys[0][order], prepend=H.U(0)))
         total = np.cumsum(e.n[order].astype(np.int64))
         lo = 0
         while lo < len(order):
@@ -204,10 +272,10 @@ def _strings(length: int, most: int):
             held = data[_each(start[part], size[part])]
             begin = np.cumsum(size[part]) - size[part]
             at = _each(begin, count)
-            own = np.repeat(part, count)
-            pos = e.pos[own] + (at - np.repeat(begin, count)).astype("i4")
+            text = np.repeat(part, count)
+            pos = e.pos[text] + (at - np.repeat(begin, count)).astype("i4")
             one, two = H.slices(H.prefix(held), at, at + length), H.slices(H.prefix(held, 1), at, at + length)
-            yield R.Entries(one, two, e.ids[own], pos, np.ones(len(at), "u1"))
+            yield R.Entries([one, two], e.ids[text], pos, np.ones(len(at), "u1"), e.to[text], None if e.rows is None else e.rows[text])
 
     return run
 
@@ -218,7 +286,7 @@ def _remove(length: int):
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 out = []
-                for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for text, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     kept, spans = raw, 0
                     if marks:
@@ -231,27 +299,23 @@ def _remove(length: int):
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                cols = [batch.column(0), *[pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]]
+                cols = [batch.column(1), *[pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, hot_least: int = HOT_LEAST) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
-    if length % 2 or not 8 <= length <= 254:
-        raise ValueError("length: an even number from 8 to 254")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if not 8 * TOKENS <= length <= 254:
+        raise ValueError(f"length: from {8 * TOKENS} to 254")
+    texts, own = R.rows_to_compare(docs)
     buckets = buckets_for(docs)
-
-    def again(replied: DataFrame) -> DataFrame:
-        joined = R.by_document(texts, replied)
-        return joined.select("doc_id", F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks")
-
-    first = cut(R.replies(texts.mapInArrow(_anchors(length, buckets), R.ENTRY), R.in_other_document, hot=_hot(hot_least)))
-    keys = [r["body"] for r in first.filter("doc_id IS NULL").select("body").collect()]  # three hashes for each bucket at most
-    hot = np.frombuffer(b"".join(keys), H.U)
-    second = R.replies(again(first).mapInArrow(_whole_stretches(length, buckets, hot), R.ENTRY), R.later_document_or_kind)
-    third = R.replies(again(second).mapInArrow(_kinds(length, buckets), R.ENTRY), R.later_document, _strings(length, R.FLUSH))
+    ranges = Ranges(_sample(texts, length, buckets, input_bytes(docs)), buckets)
+    first = R.replies(texts.mapInArrow(_anchors(length, ranges, own), R.ENTRY), R.in_other_document, LEADING)
+    marked = R.only_marked(R.by_row(texts, first))
+    second = R.replies(marked.mapInArrow(_whole_stretches(length, ranges, own), R.ENTRY), R.later_document_or_kind, STRETCH)
+    marked = R.only_marked(R.by_row(texts, second))
+    third = R.replies(marked.mapInArrow(_kinds(length, ranges, own), R.ENTRY), R.later_document, STRETCH[:1], _strings(length, R.FLUSH))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return R.by_document(texts, third).mapInArrow(_remove(length), schema)
+    return R.by_row(texts, third).mapInArrow(_remove(length), schema)

@@ -183,9 +183,51 @@ def brute_bytes(items, length):
     return out
 
 
-def test_substrings(texts, documents):
+def brute_rows(rows, size, tokens, pieces, same_document):
+    """Removed tokens of rows that may share an id; rows without id are compared with none."""
+    first = {}
+    for i, t in rows:
+        ts = tokens(t)
+        for s in range(len(ts) - size + 1) if i is not None else ():
+            place = (i, s if same_document else 0)
+            first[pieces(ts[s : s + size])] = min(place, first.get(pieces(ts[s : s + size]), place))
+    out = collections.Counter()
+    for i, t in rows:
+        ts = tokens(t)
+        gone = [False] * len(ts)
+        for s in range(len(ts) - size + 1) if i is not None else ():
+            if first[pieces(ts[s : s + size])] < (i, s if same_document else 0):
+                gone[s : s + size] = [True] * size
+        out[i, len(ts), sum(gone), tuple(k for k, g in zip(ts, gone, strict=True) if not g)] += 1
+    return out
+
+
+def shared_ids(spark):
+    """Rows of one id and different texts, the longer and the shorter first, rows of equal texts, rows without id."""
+    made = corpus(9)
+    rows = [(None if i % 11 == 0 else i // 3 if i % 5 else 4, t) for i, t in enumerate(made)] + [(4, made[0] + " " + made[5]), (4, made[5]), (70, made[5]), (70, made[5])]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+
+def longest_run(rows):
+    """For each text the number of words of its longest run that starts at two places."""
+    runs = collections.defaultdict(set)
+    for i, (_, t) in enumerate(rows):
+        w = words(t)
+        for s in range(len(w)):
+            for e in range(s + 20, len(w) + 1):
+                runs[tuple(w[s:e])].add((i, s))
+    best = collections.Counter()
+    for run, places in runs.items():
+        for i, _ in places if len(places) > 1 else ():
+            best[i] = max(best[i], len(run))
+    return best
+
+
+def test_substrings(spark, texts, documents):
     made, df = texts
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(df).collect()}
+    found = substrings.dedup(df).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found}
     want = brute_words(list(enumerate(made)), 20)
     assert got == want and sum(v[1] for v in want.values())
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct()
@@ -196,21 +238,71 @@ def test_substrings(texts, documents):
     assert substrings.dedup(documents.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot_least", [suffixes.HOT_LEAST, 0])
-def test_suffixes(texts, documents, hot_least, monkeypatch):
-    if not hot_least:
+def test_substrings_of_shared_ids(spark):
+    rows, df = shared_ids(spark)
+    want = brute_rows(rows, 20, lambda t: (t or "").encode().split(), tuple, True)
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], tuple(bytes(r["kept"]).split())) for r in substrings.dedup(df).collect())
+    assert got == want
+
+
+def test_substring_levels(spark):
+    """The doubling goes on until nothing repeats, and its last level brackets the longest repeat."""
+    rng = random.Random(4)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fill(700)
+    rows = [(i, " ".join(fill(rng.randrange(30)) + shared[:n] + fill(rng.randrange(30)))) for i, n in enumerate((0, 15, 20, 39, 45, 80, 90, 160, 200, 350, 700, 700))]
+    best = longest_run([(i, t) for i, t in rows])
+    got = {r["doc_id"]: r["repeat_level"] for r in substrings.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), keep_text=False).collect()}
+    for i, _ in rows:
+        assert got[i] <= best[i] < 4 * got[i] if best[i] else got[i] == 0, (i, got[i], best[i])
+    assert got[10] == got[11] >= 320 and got[4] == 20
+
+
+@pytest.mark.parametrize("ranges", [suffixes.MOST_RANGES, 7])
+def test_suffixes(texts, documents, ranges, monkeypatch):
+    if ranges == 7:
         monkeypatch.setattr(R, "FLUSH", 150)  # strings in many parts
+        monkeypatch.setattr(suffixes, "MOST_RANGES", 7)
     made, df = texts
     shown = lambda r: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
     want = brute_bytes(list(enumerate(made)), 50)
-    assert {r["doc_id"]: shown(r) for r in suffixes.dedup(df, hot_least=hot_least).collect()} == want and sum(v[1] for v in want.values())
+    assert {r["doc_id"]: shown(r) for r in suffixes.dedup(df).collect()} == want and sum(v[1] for v in want.values())
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct()
     want = brute_bytes([(r["doc_id"], r["text"]) for r in known.collect()], 50)
-    got = rows_by_id(suffixes.dedup(documents, hot_least=hot_least))
+    got = rows_by_id(suffixes.dedup(documents))
     assert all(shown(r) == want[i] for i, rs in got.items() if i is not None for r in rs)
     assert got[None][0]["n_removed"] == 0 and suffixes.dedup(documents.limit(0)).count() == 0
 
 
+def test_suffixes_of_shared_ids(spark):
+    rows, df = shared_ids(spark)
+    want = brute_rows(rows, 50, lambda t: list((t or "").encode()), bytes, False)
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], tuple(bytes(r["kept"]))) for r in suffixes.dedup(df).collect())
+    assert got == want
+
+
+def test_splitters(monkeypatch):
+    """Ranges are in byte order, equal tokens share one, and a token that fills several is hot."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sample = rng.integers(0, 3, (5000, suffixes.TOKENS)).astype(np.uint64)
+    sample[:2500] = (1, 2, 0)
+    made = suffixes.Ranges(sample, 20)
+    keys = [np.ascontiguousarray(sample[:, j]) for j in range(suffixes.TOKENS)]
+    to = made.of(keys, suffixes._name(keys))
+    order = np.lexsort(keys[::-1])
+    assert (np.diff(to[order]) >= 0).all() and 5 < len(set(to)) <= 20
+    by_key = collections.defaultdict(set)
+    for k, b in zip(map(tuple, sample.tolist()), to.tolist(), strict=True):
+        by_key[k].add(b)
+    assert all(len(b) == 1 for b in by_key.values())
+    hot = suffixes._name([np.array([x], np.uint64) for x in (1, 2, 0)])
+    assert hot[0] in made.hot and len(made.hot) < 8
+    got, new = R.multikey(keys)
+    assert (sample[got] == sample[order]).all() and new.sum() == len(by_key)
+
+
 # 5
 def test_decontamination(spark, documents):
     rng = random.Random(5)
