@@ -45,6 +45,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that `running` adds one by one; blocks of them are summed first.
+_RUN = 64
+
+
+def blocks_of(xs: Column) -> Column:
+    """An array cut into arrays of `_RUN`."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _RUN).cast("int")), lambda b: F.slice(xs, b * _RUN + 1, _RUN))
+
+
+def running(xs: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each member of a non-empty array of int the members up to it, added; by blocks, so long arrays cost little more than short ones."""
+    zero = F.lit(0)
+    none = F.array().cast("array<int>")
+
+    def by_block(blocks: Column) -> Column:
+        step = lambda a, b: F.struct(add(a["at"], F.aggregate(b, zero, add)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        heads = F.aggregate(blocks, F.struct(zero.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        inner = lambda b, head: F.transform(b, lambda x, i: F.aggregate(F.slice(b, 1, i + 1), head, add))
+        return let(heads, lambda hs: F.flatten(F.zip_with(blocks, hs, inner)))
+
+    return let(blocks_of(xs), by_block)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
@@ -61,8 +84,8 @@ def buckets_for(df: DataFrame, per_bucket: int = 8 << 20) -> int:
 
 
 def ids_repeat(df: DataFrame) -> bool:
-    """Whether two rows or more share an id, or lack one; shuffles ids alone."""
-    return not df.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """Whether rows share an id or lack one; shuffles ids alone."""
+    return not df.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -6,18 +6,21 @@ signature for one evaluation, both equal for two sets with a chance of their
 Jaccard similarity. Bands of `ROWS` values are bucket keys; sets of similarity
 0.8 share none of `BANDS` buckets with a chance of 0.59 ** 20 = 3e-5.
 
-Texts of equal sets form a class; its smallest id stands for it, so copies cost
-one row each. In a bucket, all classes are compared with the one of smallest id,
+Texts of equal sets form a class; one of its rows stands for it, so copies cost
+one row each. In a bucket, all classes are compared with one of them, its hub,
 which joins a large group of near copies in one pass. What is left are buckets of
-several components; their members are compared across components, each bucket in
-blocks of bounded size inside a task that only links leave, so no link between
-components is lost and no pairs are written. Confirmation compares the full
-sets, by 64-bit hashes of their members.
+several components; there the members outside the largest component are compared
+with it and with each other. Both steps deal members to blocks of bounded size,
+and a block is compared inside a task that only links leave: no pairs are
+written, a group of n copies and a few strays costs about n rows, and no link
+between components is lost. Confirmation compares the full sets, by 64-bit hashes
+of their members.
 
 Defined results: a text without words has no shingles and is its own component;
-a text of fewer than `k` words has one; rows of one id are taken for one
-document, and each gets a row; a row without id is kept, with a null component;
-an empty table gives an empty one; other columns are not read.
+a text of fewer than `k` words has one; rows that share an id are judged by their
+own texts, and each gets the smallest id of its own component; a row without id
+is linked with none and kept, with a null component; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import cut, fit_broadcast
+from .common import cut, fit_broadcast, ids_repeat, keyed
 
 BANDS, ROWS = 20, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: Ids that may be broadcast to pick the texts of candidates: 16 bytes each.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket in one side of a block.
-BLOCK = 1000
+#: Buckets of more members than this are joined by broadcast, if there are at most so many.
+HEAVY, BROADCAST_BUCKETS = 1000, 100_000
+#: Members in one side of a block at most on average, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 _A = H.ODD[:PERMUTATIONS]
 _S = H.mix(H.ODD[PERMUTATIONS : 2 * PERMUTATIONS])
 
@@ -65,11 +70,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands) of every row; k1 and k2 digest the set."""
+    """(node, doc_id, n_shingles, k1, k2, bands) of every row of (node, doc_id, text); k1 and k2 digest the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in H.chunks(batch, 1):
+            for lo, hi, data, offsets in H.chunks(batch, 2):
                 made, begin = shingles(data, offsets, k)
                 size = np.diff(begin)
                 has = size > 0
@@ -91,39 +96,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     bands[has] = H.mix(bands[has] ^ H.ODD[:BANDS])
                 flat = pa.array(bands[has].reshape(-1).view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype("i4")
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array(size.astype("i8")), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size.astype("i8")), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
-
-
-def confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                ids, first = np.unique(np.concatenate([a, b]), return_index=True)
-                texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
-                sets: list[np.ndarray] = []
-                for _, _, data, offsets in H.chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0):
-                    made, begin = shingles(data, offsets, k)
-                    sets += np.split(made, begin[1:-1])
-                good = []
-                for x, y in zip(np.searchsorted(ids, a), np.searchsorted(ids, b), strict=True):
-                    s, t = sets[x], sets[y]
-                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                        good.append(False)
-                        continue
-                    both = np.sort(np.concatenate([s, t]), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    good.append(100 * shared >= percent * (len(s) + len(t) - shared))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return docs.select("node", "doc_id", "text").mapInArrow(run, "node bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,68 +129,73 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(renamed, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root")))
 
 
-def _blocks(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of one bucket and different components.
+def _shares(n: Column, weight: Column) -> Column:
+    """In how many blocks `n` members of so many shingles go."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _share_of(rep: str, shares: Column) -> Column:
+    return F.pmod(F.xxhash64(rep), shares).cast("int")
+
 
-    A bucket of `side * BLOCK` members is a grid of blocks, each of two shares of
-    its members: a task holds one block, and only links leave it.
+def _links(dealt: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a block of different roots.
+
+    `dealt`: (block, side, rep, root, share). Members of side 0 are compared with
+    those of side 1, members of side 2 with each other; of two shares, each member
+    with the other share's. A block is compared inside one task, and only links
+    leave it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            keys = np.stack([np.asarray(batch.column(c)) for c in (0, 1, 2)], 1)
-            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+            keys = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(np.diff(keys) != 0) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if lo == hi:
                     continue
-                if at is not None and at != tuple(keys[lo]):
+                if at is not None and at != keys[lo]:
                     yield _block_links(held, k, percent)
                     held = []
-                at = tuple(keys[lo])
+                at = keys[lo]
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield _block_links(held, k, percent)
 
-    share = rest.select("*", F.pmod(F.xxhash64("rep"), F.col("side")).cast("int").alias("share"))
-    dealt = share.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    dealt = dealt.select("bucket", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"), "share", "rep", "root")
-    dealt = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "share", "rep", "root", "text")
-    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+    full = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "side", "rep", "root", "share", "text")
+    return full.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _block_links(held: list[pa.RecordBatch], k: int, percent: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(held).combine_chunks()
-    share, rep, root = (np.asarray(table.column(c).combine_chunks()) for c in (3, 4, 5))
-    i, j = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+    side, rep, root, share = (np.asarray(table.column(c).combine_chunks()) for c in (1, 2, 3, 4))
     sets: list[np.ndarray] = []
     for part in table.select(["text"]).to_batches():
         for _, _, data, offsets in H.chunks(part, 0):
             made, begin = shingles(data, offsets, k)
             sets += np.split(made, begin[1:-1])
-    # Large components first: each member of another is held against all before its own.
+    # Those that others are held against first: side 0, or large components of side 2, each member of another against all before its own.
     _, group, size = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((group, -size[group]))
-    share, rep, group = share[order], rep[order], group[order]
+    order = np.lexsort((group, -size[group], side))
+    side, rep, group, share = side[order], rep[order], group[order], share[order]
+    apart = bool((share != share[0]).any())
     sets = [sets[x] for x in order]
     n = np.array([len(x) for x in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, H.U)
     starts = np.cumsum(n) - n
-    first = np.flatnonzero(np.diff(group, prepend=-1))
+    first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
     own = first[np.searchsorted(first, np.arange(len(n)), "right") - 1]
+    tops = np.where(side == 1, int((side == 0).sum()), np.where(side == 2, own, 0))
     found = []
     for x in range(len(n)):
-        top = own[x]
-        if not top:
-            continue
-        near = 100 * np.minimum(n[:top], n[x]) >= percent * np.maximum(n[:top], n[x])
-        if i != j:
+        top = tops[x]
+        near = (100 * np.minimum(n[:top], n[x]) >= percent * np.maximum(n[:top], n[x])) & (group[:top] != group[x])
+        if apart:
             near &= share[:top] != share[x]
         if not near.any():
             continue
-        value = flat[: starts[top]]
+        value = flat[: starts[top]] if top < len(n) else flat
         place = np.searchsorted(sets[x], value)
         place[place == n[x]] = 0
         shared = np.add.reduceat((sets[x][place] == value).astype(np.int64), starts[:top])
@@ -223,37 +204,89 @@ def _block_links(held: list[pa.RecordBatch], k: int, percent: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
-    signed = cut(signatures(docs, k))
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = cut(keyed.join(shared, "bucket").select("bucket", "rep", "n_shingles"))
+def _with_hubs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Blocks (block, side, rep, root, share) of each hub and the members of its buckets that may be similar, by size."""
+    near = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
+    pairs = cut(_in_buckets(members, hubs).filter((F.col("rep") != F.col("hub")) & near).select("hub", "hub_n", "rep", "n_shingles").distinct())
+    sizes = pairs.groupBy("hub").agg(_shares(F.count(F.lit(1)), F.sum("n_shingles")).alias("shares"))
+    heavy = sizes.filter("shares > 1")  # a hub of one block needs no look-up
+    spread = pairs.join(fit_broadcast(heavy, BROADCAST_IDS), "hub", "left").withColumn("share", _share_of("rep", F.coalesce("shares", F.lit(1))))
+    block = F.xxhash64("hub", "share")
+    others = spread.select(block.alias("block"), F.lit(1).alias("side"), "rep", F.col("rep").alias("root"), F.lit(1).alias("share"))
+    one = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    return others.unionByName(one.select(block.alias("block"), F.lit(0).alias("side"), F.col("hub").alias("rep"), F.col("hub").alias("root"), F.lit(0).alias("share")))
+
+
+def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Blocks (block, side, rep, root, share) in which members of one bucket and different components meet.
+
+    The largest component of a bucket is dealt against the others, and the others
+    against each other, so a group of copies and a few strays costs a row for each
+    copy. Of the largest, only sizes that can match one of the others count.
+    """
+    held = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "heavy", "rep", "n_shingles", "root")
+    per_root = held.groupBy("bucket", "heavy", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    top = per_root.groupBy("bucket", "heavy").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_ = cut(per_root.join(top, ["bucket", "heavy"]).groupBy("bucket", "heavy", "main").agg(
+        F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))).alias("n"), F.sum(F.when(F.col("root") != F.col("main"), F.col("w"))).alias("w"),
+        F.sum(F.when(F.col("root") == F.col("main"), F.col("n"))).alias("main_n"), F.sum(F.when(F.col("root") == F.col("main"), F.col("w"))).alias("main_w"),
+        F.min(F.when(F.col("root") != F.col("main"), F.col("low"))).alias("low"), F.max(F.when(F.col("root") != F.col("main"), F.col("high"))).alias("high"),
+    ).select("bucket", "heavy", "main", "low", "high", _shares(F.col("n"), F.col("w")).alias("parts"), _shares(F.col("main_n"), F.col("main_w")).alias("main_parts")))
+    rows = _in_buckets(held, open_)
+    is_main = F.col("root") == F.col("main")
+    main = rows.filter(is_main & (100 * F.col("n_shingles") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n_shingles")))
+    main = main.withColumn("i", _share_of("rep", F.col("main_parts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rows.filter(~is_main).withColumn("mine", _share_of("rep", F.col("parts")))
+    against = rest.withColumn("j", F.col("mine")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("main_parts") - 1)))
+    # The others among themselves: a grid of pairs of shares; a block of two shares holds both once.
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    among = among.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    block = lambda kind: F.xxhash64("bucket", "i", "j", F.lit(kind)).alias("block")
+    shown = lambda df, kind, side, share: df.select(block(kind), F.lit(side).alias("side"), "rep", "root", share.alias("share"))
+    both = shown(main, "main", 0, F.lit(0)).unionByName(shown(against, "main", 1, F.lit(1)))
+    return both.unionByName(shown(among, "rest", 2, F.col("mine")))
+
+
+def _in_buckets(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """`rows` joined with one row of `side` for each bucket; buckets of many rows, which are few, by broadcast."""
+    heavy = side.filter("heavy").drop("heavy")
+    light = side.filter("NOT heavy").drop("heavy")
+    return rows.filter("heavy").join(fit_broadcast(heavy, BROADCAST_BUCKETS), "bucket").unionByName(rows.filter("NOT heavy").join(light, "bucket"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, unique: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text); `unique`: ids are known to be unique and not null."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if not unique and ids_repeat(rows):
+        made, key = keyed(rows)
+        rows = made.select(F.col(key).alias("node"), "doc_id", "text")
+    else:
+        rows = rows.select(F.col("doc_id").alias("node"), "doc_id", "text")
+    signed = cut(signatures(rows, k))
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles")
+    classes = cut(classes.agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    in_bands = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = cut(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", (F.col("n") > HEAVY).alias("heavy")))
+    heavy = fit_broadcast(sizes.filter("heavy"), BROADCAST_BUCKETS)
+    light = in_bands.join(heavy.select("bucket"), "bucket", "left_anti").join(sizes.filter("NOT heavy"), "bucket")
+    members = cut(in_bands.join(heavy, "bucket").unionByName(light).select("bucket", "heavy", "rep", "n_shingles"))
     wanted = cut(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(fit_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts)
+    texts = cut(rows.select(F.col("node").alias("doc_id"), "text").join(fit_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi"))
     labels = wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
-    # First the member of smallest id of each bucket against the others: a large group of near copies joins here.
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"))
-    pairs = members.join(hubs, "bucket").filter(
-        (F.col("rep") != F.col("hub.rep"))
-        & (100 * F.least("n_shingles", F.col("hub.n_shingles")) >= percent * F.greatest("n_shingles", F.col("hub.n_shingles")))
-    )
-    pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    labels = _joined(labels, confirmed(full, k, percent))
-    # Then the rest of the buckets that hold several components, in blocks.
-    held = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "root")
-    rest = held.join(hubs.select(F.col("bucket"), F.col("hub.rep").alias("rep")), ["bucket", "rep"], "left_anti")
-    open_ = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
-    rest = cut(rest.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("side")), "bucket"))
-    if not rest.isEmpty():
-        labels = _joined(labels, _blocks(rest, texts, k, percent))
-    least = labels.groupBy("root").agg(F.min("node").alias("component")).filter("root IS NOT NULL")
-    named = labels.join(least, "root").select(F.col("node").alias("rep"), "component")
-    by_class = classes.select("k1", "k2", F.col("n_shingles").alias("n"), "rep").join(named, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_class.withColumnsRenamed({"k1": "c1", "k2": "c2"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") == F.col("n")), "left")
+    # First the member of smallest key of each bucket against the others: a large group of near copies joins here.
+    hub = members.groupBy("bucket", "heavy").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"))
+    hubs = hub.select("bucket", "heavy", F.col("hub.rep").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
+    labels = _joined(labels, _links(_with_hubs(members, hubs, percent), texts, k, percent))
+    # Then the members of buckets that still hold several components.
+    across = cut(_across(members, labels, percent))
+    if not across.isEmpty():
+        labels = _joined(labels, _links(across, texts, k, percent))
+    by_rep = labels.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+    least = by_rep.groupBy("root").agg(F.min("least").alias("component"))
+    named = by_rep.select("node", "root").join(least, "root").select(F.col("node").alias("rep"), "component")
+    by_class = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n_shingles").alias("n"), "rep", "least")
+    by_class = by_class.join(named, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "least").alias("component"))
+    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") == F.col("n"))
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_class, same, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

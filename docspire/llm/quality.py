@@ -1,12 +1,16 @@
 """Quality rules with thresholds learnt from each language and source.
 
 A document's measures are per-mille ratios of counts. Each (language, source)
-has a quantile sketch of every measure: counts over a fixed grid of buckets, so
-two sketches merge by adding counts, a sketch has at most `GRID` cells whatever
-the number of documents, and a quantile is off by less than one cell. Groups of
-fewer than `MIN_GROUP` documents use the merged sketch of their language, and
-languages of fewer the sketch of all documents. A document fails a measure
-beyond ``q75 + WIDTH * (q75 - q25) + slack``.
+has a quantile sketch of every measure: counts by cell, so two sketches merge by
+adding counts. Cells are `CELL` wide up to `LINEAR` of them and from there grow
+with the value, `LINEAR / 2` to each power of two, so no value is clipped, a sketch
+has at most ``LINEAR * 28`` cells whatever the number of documents, and a quantile
+is off by less than one cell or 1 in 512. Sketches are written as a table, and
+those of a language and of all documents are merged from it. Groups of fewer than
+`MIN_GROUP` documents use the sketch of their language, and languages of fewer the
+sketch of all documents. A document fails a measure beyond
+``q75 + WIDTH * (q75 - q25) + slack``. The share of repeated words has a fixed
+limit, the base rule's, and no learnt one.
 
 Defined results: a null or empty text has zero counts and fails the base rule;
 a null language or source is a group of its own; repeated rows are judged row
@@ -22,12 +26,12 @@ from .common import SPACES, cut, let, words
 
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 WINDOW = 8
-#: Cells of a sketch, and the per-mille width of a cell.
-GRID, CELL = 1000, 20
+#: Per-mille width of a cell, and the number of cells of that width; a power of two.
+CELL, LINEAR = 20, 1024
 MIN_GROUP = 200
 WIDTH = 6
 #: Per-mille slack of each measure, which holds where all documents are alike.
-SLACK = {"symbols": 200, "repeats": 300, "dup_lines": 400, "word_len": 600}
+SLACK = {"symbols": 200, "dup_lines": 400, "word_len": 600}
 SALTS = 16
 SYMBOLS = "#*$%&|<>"
 
@@ -79,33 +83,45 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _cells() -> dict[str, Column]:
-    ratio = lambda a, b: F.expr(f"least({GRID - 1}, (1000 * {a}) div greatest(1, {b}) div {CELL})")
-    return {
-        "symbols": ratio("n_symbols", "n_words"), "repeats": ratio("n_repeat_words", "n_words"),
-        "dup_lines": ratio("n_dup_lines", "n_lines"), "word_len": ratio("word_chars", "n_words"),
-    }
+    """The cell of each measure, named by its lower edge in units of `CELL`."""
+    ratio = lambda a, b: f"(1000 * {a}) div greatest(1, {b}) div {CELL}"
+    drop = lambda v: f"greatest(0, length(bin({v})) - {LINEAR.bit_length() - 1})"  # noqa: E731  low bits that a cell leaves out
+    cell = lambda a, b: F.expr(f"shiftleft(shiftright({ratio(a, b)}, {drop(ratio(a, b))}), {drop(ratio(a, b))})")
+    return {"symbols": cell("n_symbols", "n_words"), "dup_lines": cell("n_dup_lines", "n_lines"), "word_len": cell("word_chars", "n_words")}
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """The limits of each level: (level, lang, source) and one column for each measure, in cells.
-
-    Level 0 is a language and source, 1 a language, 2 all. Levels of too few
-    documents are absent, but for level 2.
-    """
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, measure, cell, n): the sketch of each group. Sketches merge by `merged`."""
     rows = measured.select(
         "lang", "source",
         F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), c.alias("cell")) for k, c in _cells().items()])).alias("m"),
     ).select("lang", "source", "m.*")
-    sketch = rows.groupBy("lang", "source", "measure", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("lang", "source", "measure", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The sketches of all rows of several parts."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("lang", "source", "measure", "cell").agg(F.sum("n").alias("n"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """The limits of each level: (level, lang, source) and one column for each measure, in units of `CELL`.
+
+    Level 0 is a language and source, 1 a language, 2 all. Levels of too few
+    documents are absent, but for level 2.
+    """
     none = F.lit(None).cast("string")
-    merged = sketch.select(F.lit(0).alias("level"), "lang", "source", "measure", "cell", "n")
+    levels = sketch.select(F.lit(0).alias("level"), "lang", "source", "measure", "cell", "n")
     for level, keep in ((1, "lang"), (2, None)):
         up = sketch.groupBy(*([keep] if keep else []), "measure", "cell").agg(F.sum("n").alias("n"))
-        merged = merged.unionByName(
+        levels = levels.unionByName(
             up.select(F.lit(level).alias("level"), (F.col("lang") if keep else none).alias("lang"), none.alias("source"), "measure", "cell", "n")
         )
-    # A sketch has at most GRID cells, so collecting one is bounded.
-    packed = merged.groupBy("level", "lang", "source", "measure").agg(
+    # The number of cells of a sketch is bounded, and so is each list.
+    packed = levels.groupBy("level", "lang", "source", "measure").agg(
         F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells")
     )
 
@@ -131,7 +147,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts and verdict of every document of (doc_id, text, lang, source)."""
     measured = cut(measures(docs))  # read twice: for the sketches and for the verdict
-    limits = cut(thresholds(measured))  # a row for each group
+    limits = cut(thresholds(cut(sketches(measured))))  # a row for each group
     cells = _cells()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     out = measured.withColumns({f"_{k}": c for k, c in cells.items()} | {"_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))})
@@ -175,17 +191,17 @@ m AS (
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(r, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-c AS (
-  SELECT *, least({GRID - 1}, (1000 * n_symbols) // greatest(1, n_words) // {CELL}) AS symbols,
-         least({GRID - 1}, (1000 * n_repeat_words) // greatest(1, n_words) // {CELL}) AS repeats,
-         least({GRID - 1}, (1000 * n_dup_lines) // greatest(1, n_lines) // {CELL}) AS dup_lines,
-         least({GRID - 1}, (1000 * word_chars) // greatest(1, n_words) // {CELL}) AS word_len
+r AS (
+  SELECT *, (1000 * n_symbols) // greatest(1, n_words) // {CELL} AS v_symbols,
+         (1000 * n_dup_lines) // greatest(1, n_lines) // {CELL} AS v_dup_lines,
+         (1000 * word_chars) // greatest(1, n_words) // {CELL} AS v_word_len
   FROM m),
+c AS (SELECT *, {", ".join(f"v_{k} // (1::BIGINT << greatest(0, length(bin(v_{k})) - {LINEAR.bit_length() - 1})) * (1::BIGINT << greatest(0, length(bin(v_{k})) - {LINEAR.bit_length() - 1})) AS {k}" for k in SLACK)} FROM r),
 lim AS (
   SELECT level, lang, source, {", ".join(f"quantile_disc({k}, 0.75) + {WIDTH} * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.25)) + {v // CELL} AS l_{k}" for k, v in SLACK.items())}
-  FROM (SELECT 0 AS level, lang, source, symbols, repeats, dup_lines, word_len FROM c
-        UNION ALL SELECT 1, lang, NULL, symbols, repeats, dup_lines, word_len FROM c
-        UNION ALL SELECT 2, NULL, NULL, symbols, repeats, dup_lines, word_len FROM c)
+  FROM (SELECT 0 AS level, lang, source, symbols, dup_lines, word_len FROM c
+        UNION ALL SELECT 1, lang, NULL, symbols, dup_lines, word_len FROM c
+        UNION ALL SELECT 2, NULL, NULL, symbols, dup_lines, word_len FROM c)
   GROUP BY ALL HAVING count(*) >= {MIN_GROUP} OR level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words) AS base_failed,

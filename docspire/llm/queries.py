@@ -38,7 +38,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scans(_table(spark, sf_dir, "documents"))
+    return secrets.secret_scans_by_batches(_table(spark, sf_dir, "documents"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,39 @@ def test_minhash_awkward(documents):
     assert minhash.near_duplicates(documents.limit(0), 2).count() == 0
 
 
+def test_minhash_of_shared_ids(spark):
+    """Rows of one id are judged by their own texts, whatever the partitioning."""
+    rows, df = shared_ids(spark)
+    known = [(i, t) for i, t in rows if i is not None]
+    component, sizes = brute_components([t for _, t in known], 2)
+    least = {}
+    for (i, _), c in zip(known, component, strict=True):
+        least[c] = min(i, least.get(c, i))
+    want = collections.Counter((i, n, least[c], least[c] == i) for (i, _), c, n in zip(known, component, sizes, strict=True))
+    for parts in (1, 5):
+        got = minhash.near_duplicates(df.repartition(parts), 2).collect()
+        assert collections.Counter(tuple(r) for r in got if r["doc_id"] is not None) == want
+        assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None) and len(got) == len(rows)
+
+
+def test_minhash_group_and_strays(spark, monkeypatch):
+    """A group of near copies and strays of the same buckets: the rows dealt grow with the group, not with its square."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "HEAVY", 50)
+    base = [f"w{j}" for j in range(60)]
+    texts = [" ".join(base[:30] + [f"copy{i}"] + base[31:]) for i in range(200)] + [" ".join([f"s{i}x{j}" for j in range(60)]) for i in range(3)]
+    # All sets share a bucket, as if one band of the strays met the group's.
+    real = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda rows, k: real(rows, k).withColumn("bands", F.concat(F.array(F.lit(1).cast("bigint")), "bands")))
+    dealt, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda d, *rest: dealt.append(d.count()) or links(d, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()}
+    assert got == {i: 0 if i < 200 else i for i in range(203)}
+    # At most a row for each band and member, and a hub for each block; then the group once, against the strays.
+    assert len(dealt) == 2 and dealt[0] < 4 * 203 and dealt[1] < 1.2 * 203
+
+
 # 3 and 4
 def brute_words(items, window):
     seen, out = set(), {}
@@ -286,21 +319,21 @@ def test_splitters(monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    sample = rng.integers(0, 3, (5000, suffixes.TOKENS)).astype(np.uint64)
-    sample[:2500] = (1, 2, 0)
-    made = suffixes.Ranges(sample, 20)
-    keys = [np.ascontiguousarray(sample[:, j]) for j in range(suffixes.TOKENS)]
-    to = made.of(keys, suffixes._name(keys))
+    sample = rng.integers(0, 3, (5000, 2)).astype(np.uint64)
+    sample[:, 1] += rng.integers(0, 40, 5000).astype(np.uint64)
+    sample[:2500] = (1, 20)
+    keys = [np.ascontiguousarray(sample[:, j]) for j in range(2)]
+    made = suffixes.Ranges(keys, 20)
+    to = made.of(*keys)
     order = np.lexsort(keys[::-1])
-    assert (np.diff(to[order]) >= 0).all() and 5 < len(set(to)) <= 20
+    assert (np.diff(to[order]) >= 0).all() and 9 < len(set(to)) <= 20
     by_key = collections.defaultdict(set)
     for k, b in zip(map(tuple, sample.tolist()), to.tolist(), strict=True):
         by_key[k].add(b)
-    assert all(len(b) == 1 for b in by_key.values())
-    hot = suffixes._name([np.array([x], np.uint64) for x in (1, 2, 0)])
-    assert hot[0] in made.hot and len(made.hot) < 8
+    assert all(len(b) == 1 for b in by_key.values()) and made.hot.tolist() == [20]
     got, new = R.multikey(keys)
     assert (sample[got] == sample[order]).all() and new.sum() == len(by_key)
+    assert suffixes.Ranges([np.zeros(0, np.uint64)] * 2, 20).of(*keys).max() == 0
 
 
 # 5
@@ -359,6 +392,39 @@ def test_decontamination_of_moved_parts(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == want and len(want) > 16
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    """Items below a shingle by their whole word sequence; one of 1,500 words, moved parts and all."""
+    rng = random.Random(11)
+    fill = lambda n: [f"g{rng.randrange(9000)}" for _ in range(n)]
+    long = [f"l{j}" for j in range(1500)]
+    docs = [(1, "Alpha beta, and alpha BETA"), (2, "alpha then beta"), (3, " ".join(fill(40) + long[750:] + long[:750] + fill(40))), (4, " ".join(long[:600])), (5, None), (6, "solo")]
+    items = [(1, "alpha beta"), (2, " ".join(long)), (3, "Solo"), (4, ""), (5, None), (6, "nowhere at all")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in found if r["item_id"] != 2} == {(1, 1, 3), (6, 3, 0)}
+    assert [(r["doc_id"], r["similarity"] > 0.99) for r in found if r["item_id"] == 2] == [(3, True)]
+
+
+def test_decontamination_of_shared_ids(spark):
+    item = " ".join(f"i{j}" for j in range(30))
+    rows = [(7, "clean words of a document that holds nothing"), (7, "before " + item), (None, item), (8, "clean"), (8, "clean")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["start"], r["similarity"]) for r in found.collect()} == {(7, 1, 1.0), (None, 0, 1.0)}
+
+
+def test_multi_index_finds_all_within_the_radius(spark):
+    """Every fingerprint within the radius, and few beside."""
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) - 2**63 for _ in range(60)]
+    flip = lambda x, n: ((x % 2**64) ^ sum(1 << b for b in rng.sample(range(64), n))) % 2**64
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    asked = [(i, signed(flip(x, n))) for i, x in enumerate(prints) for n in (0, 5, 12, 14, decontaminate.RADIUS)]
+    a = spark.createDataFrame(asked, "i int, p bigint").select("i", "p", F.explode(decontaminate._blocks(F.col("p"))).alias("b")).select("i", "p", "b.*")
+    b = spark.createDataFrame(list(enumerate(prints)), "j int, q bigint").select("j", F.explode(decontaminate._blocks(F.col("q"))).alias("b")).select("j", "b.*")
+    b = b.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, decontaminate._nearby())), lambda x: x.cast("bigint").bitwiseXOR(F.col("value")))))
+    pairs = a.join(b, ["no", "value"]).select("i", "p", "j").distinct()
+    assert pairs.filter("i = j").count() == len(set(asked)) and pairs.filter("i <> j").count() < 0.08 * len(asked) * 60
+
+
 # 6
 def test_quality(spark, documents):
     got = rows_by_id(quality.quality_rules(documents))
@@ -379,6 +445,21 @@ def test_quality_thresholds_adapt(spark):
     assert got.pop(900) is False and all(got.values())
 
 
+def test_quality_is_not_clipped(spark):
+    """Documents beyond any grid are told apart: extreme in a source of extremes, and more extreme."""
+    word = lambda n: " ".join(["x" * n] + [f"w{j}" for j in range(24)])
+    rows = [(i, word(20_000 + 7 * i), "en", "long") for i in range(300)] + [(900, word(200_000), "en", "long"), (901, word(26_000), "en", "long")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got.pop(900) is False and all(got.values())
+
+
+def test_sketches_merge(spark, documents):
+    measured = quality.measures(documents.unionByName(documents))
+    halves = [measured.filter(F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(2)) == k) for k in (0, 1)]
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(quality.merged(*map(quality.sketches, halves))) == shown(quality.sketches(measured))
+
+
 # 7
 def test_html(spark):
     page = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><a href=x>Home</a></nav><!-- <p>no</p> -->
@@ -423,7 +504,9 @@ def test_registered_counts_take_the_delta_path(spark, documents, tmp_path, monke
     shown = lambda df: sorted(map(str, df.collect()))
     got = shown(queries.op8_token_counts(spark, str(tmp_path)))
     log = [r["sign"] for r in rollup._read(spark, str(tmp_path / "store"), "log", rollup.LOG).collect()]
-    assert len(rollup._committed(spark, str(tmp_path / "store"))) == 4 and log.count(-1) > 20
+    folders, known = rollup._committed(spark, str(tmp_path / "store"))
+    every = [r["sign"] for name in rollup._folders(spark, str(tmp_path / "store")) for r in spark.read.schema(rollup.LOG).parquet(f"{tmp_path}/store/log/{name}").collect()]
+    assert len(folders) == 2 and len(known) == 4 and every.count(-1) > 20 and log.count(-1) == 0
     import public_tokenizers
 
     kinds = {"words-1": None, "byte-bpe-50k": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
@@ -446,6 +529,27 @@ def test_rollup_batches(spark, tmp_path):
     assert rollup.apply_batch(spark, store, "4", docs([(3, "d", "s", "en")])) and total() == {("s", "en"): (2, 5), ("t", "en"): (1, 1)}
 
 
+def test_rollup_of_a_tokenizer_added_later(spark, tmp_path):
+    """A count replaces that of the same document and tokenizer only; deletes take all, null ids included; compaction changes no total."""
+    store = str(tmp_path / "store")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
+    total = lambda: {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals(spark, store).collect()}
+    rollup.apply_batch(spark, store, "1", rows((1, "s", "en", "v1", 10), (2, "s", "en", "v1", 20), (None, "s", "en", "v1", 5)))
+    rollup.apply_batch(spark, store, "2", rows((1, "s", "en", "v2", 8), (2, "s", "en", "v2", 18)))
+    assert total() == {("s", "v1"): (3, 35), ("s", "v2"): (2, 26)}
+    rollup.apply_batch(spark, store, "3", rows((2, "t", "en", "v2", 19)))
+    assert total() == {("s", "v1"): (3, 35), ("s", "v2"): (1, 8), ("t", "v2"): (1, 19)}
+    rollup.compact(spark, store)
+    assert total() == {("s", "v1"): (3, 35), ("s", "v2"): (1, 8), ("t", "v2"): (1, 19)} and len(rollup._committed(spark, store)[0]) == 1
+    assert not rollup.apply_batch(spark, store, "2", rows((1, "s", "en", "v2", 99)))
+    ids = spark.createDataFrame([(None,), (1,), (1,)], "doc_id bigint")
+    assert rollup.apply_batch(spark, store, "4", rows((1, "s", "en", "v1", 11)), ids)
+    assert total() == {("s", "v1"): (2, 31), ("t", "v2"): (1, 19)}
+    rollup.compact(spark, store)
+    rollup.compact(spark, store)
+    assert total() == {("s", "v1"): (2, 31), ("t", "v2"): (1, 19)}
+
+
 # 9
 def test_bpe(spark, documents):
     import numpy as np
@@ -494,10 +598,52 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     secrets.scan_ledger(rows(("d", SECRET), ("e", "more")), ledger, "2").collect()
     counted = {(r["version"]): r["count"] for r in secrets.read_ledger(spark, ledger).groupBy("version").count().collect()}
     assert counted == {"base-1": 3, "vendor-1": 2}
-    secrets.scan_ledger(rows(("f", "unseen")), ledger, "2").collect()
+    secrets.scan_ledger(rows(("d", SECRET), ("e", "more")), ledger, "2").collect()
     assert secrets.read_ledger(spark, ledger).count() == 5
 
 
+def test_a_used_batch_id_hides_nothing(spark, tmp_path):
+    """Rows of unseen blobs are scanned, though their batch id was committed."""
+    ledger = str(tmp_path / "ledger")
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, text string")
+    assert secrets.commit_batch(rows(("a", "nothing")), ledger, "1") and not secrets.commit_batch(rows(("a", "nothing")), ledger, "1")
+    got = secrets.scan_ledger(rows(("b", SECRET), ("a", "nothing")), ledger, "1").collect()
+    assert {r["path"]: bool(r["spans"]) for r in got} == {"a": False, "b": True}
+    assert not secrets.commit_batch(rows(("b", SECRET)), ledger, "1") and secrets.read_ledger(spark, ledger).count() == 4
+
+
+def test_secrets_by_batches(spark, documents):
+    """The registered query's ledger grows by batches and ends at the spans of one scan; a heavy blob is joined apart."""
+    more = documents.select("doc_id", "text").union(spark.range(60, 100).selectExpr("id", f"'{SECRET.replace(chr(39), '')}'"))
+    shown = lambda df: sorted(map(str, df.collect()))
+    want = shown(secrets.secret_scans(more))
+    assert shown(secrets.secret_scans_by_batches(more)) == want
+    assert secrets.secret_scans_by_batches(documents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [2, 10_000])
+def test_findings_of_heavy_blobs_and_clashing_names(spark, tmp_path, heavy, monkeypatch):
+    monkeypatch.setattr(secrets, "HEAVY", heavy)
+    rows = [(i, SECRET if i % 3 else None if i % 2 else "") for i in range(30)] + [(99, "token=abcdefgh")]
+    df = spark.createDataFrame(rows, "path long, text string").selectExpr("*", "1 _blob", "2 _heavy", "3 _held", "4 _own", "5 _of", "6 spans", "map(1, 2) m")
+    got = secrets.scan_ledger(df, str(tmp_path / "l"), "1", out="found")
+    assert got.columns == [*df.columns, "found"]
+    assert sorted((r["path"], bool(r["found"]), r["_of"], r["spans"]) for r in got.collect()) == sorted((i, bool(t), 5, 6) for i, t in rows)
+
+
+def test_a_text_full_of_secrets(spark, tmp_path):
+    """Spans and marks of thousands of findings in one text, overlapping ones included."""
+    one = "token=abcdefgh é password=0123456789abcdef0123456789 "
+    text = one * 2500
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = secrets.scan_ledger(df, str(tmp_path / "l"), "1").cache()
+    spans = [(s["start"], s["end"]) for s in found.first()["spans"]]
+    want = sorted((m.start(), m.end()) for p in (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", r"[0-9a-f]{24,}") for m in re.finditer(p, text))
+    assert spans == want and len(want) == 7500
+    assert found.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).first()["t"] == "[secret] é [secret] " * 2500
+    found.unpersist()
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefgh end"), (2, "clean"), (3, None)], "doc_id bigint, text string")
     import tempfile

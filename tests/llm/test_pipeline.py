@@ -58,3 +58,20 @@ def test_rows_are_judged_by_their_own_text(spark, tmp_path):
         assert at.columns == docs.columns
     want = [(None, text(3)), (1, text(1)), (4, text(4)), (6, text(6)), (7, text(7)), (7, text(8))]
     assert sorted(((r["doc_id"], r["text"]) for r in at.collect()), key=str) == sorted(want, key=str)
+
+
+def test_columns_of_clashing_names(spark, tmp_path):
+    """Whatever columns the documents have, stages keep them and their values."""
+    text = lambda i, n=40: " ".join(f"word{i}x{j}" for j in range(n))
+    rows = [(1, text(1)), (2, text(1)), (3, text(3) + " " + SECRET), (4, None)]
+    names = "_row _row_ _gone _salt _blob _heavy _held _own _of _spans spans key node component_id _key _id _best marks n print block kept bucket".split()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.selectExpr("*", *[f"'{n}' `{n}`" for n in names])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text(99, 15))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+        assert all(r[n] == n for r in at.collect() for n in names)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 3]
