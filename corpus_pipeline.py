@@ -3,7 +3,7 @@
 Each stage gets what its predecessor kept, as a Parquet table, and all but the
 last return the columns of documents. Stages judge rows, not ids: each row has a
 key of its own for the stage, so rows that share an id or have none are judged by
-their own texts.
+their own texts. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -14,37 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspire.llm import bpe, decontaminate, minhash, quality, secrets
-from docspire.llm.common import cut, fit_broadcast, scratch
+from docspire.llm.common import cut, fit_broadcast, fresh_name, keyed, scratch
 from docspire.llm.queries import word_tokenizer
 
 #: Dropped keys that may be broadcast, 16 bytes each; beyond, the tables are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a key of each row, and the key's name; written once, so a repeated task finds the same keys."""
-    key, taken = "_row", {c.lower() for c in docs.columns}
-    while key in taken:
-        key += "_"
-    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
-
-
 def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """`docs` but for the rows of these keys, and without the key."""
-    gone = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col(key) == F.col("_gone"), "left_anti").drop(key)
+    name = fresh_name(docs, "_gone")
+    gone = cut(gone.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col(key) == F.col(name), "left_anti").drop(key)
+
+
+def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """What an operator reads of the rows, with the key as id."""
+    return rows.select(F.col(key).alias("doc_id"), *columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows, key = _keyed(docs)
-    return _without(rows, key, quality.quality_rules(rows.withColumn("doc_id", F.col(key))).filter("NOT kept"))
+    rows, key = keyed(docs)
+    return _without(rows, key, quality.quality_rules(_by_key(rows, key, "text", "lang", "source")).filter("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; one without id only if none has one."""
-    rows, key = _keyed(docs)
-    found = cut(minhash.near_duplicates(rows.withColumn("doc_id", F.col(key)), k=5, percent=80).select("doc_id", "component_id"))
+    rows, key = keyed(docs)
+    found = cut(minhash.near_duplicates(_by_key(rows, key, "text"), k=5, percent=80, unique=True).select("doc_id", "component_id"))
     ids = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
     best = found.join(ids, F.col("doc_id") == F.col("_key")).groupBy("component_id").agg(F.min(order)["key"].alias("_best"))
@@ -53,17 +51,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows, key = _keyed(docs)
-    return _without(rows, key, decontaminate.contaminated(rows.withColumn("doc_id", F.col(key)), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, key = keyed(docs)
+    return _without(rows, key, decontaminate.contaminated(_by_key(rows, key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unique=True))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in them replaced by a mark."""
-    found = secrets.scan_ledger(docs, scratch(spark), "pipeline")
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    spans = fresh_name(docs, "_spans")
+    found = secrets.scan_ledger(docs, scratch(spark), "pipeline", out=spans)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
