@@ -6,14 +6,15 @@ anchor: of the places in each string with `8 * TOKENS` bytes of the string after
 them, the one whose leading token, 8 bytes, has the least hash. Equal strings
 have equal anchors, and one position in fourteen is one.
 
-Suffixes are dealt by range of their leading tokens, big-endian numbers whose
-order is that of the bytes. The splitters are quantiles of the anchors of a
-sample of documents. They lie between different leading tokens, so equal suffixes
-share a range and neighbours across a boundary differ in their leading tokens:
-there is nothing left to compare there but a token that fills several ranges of
-the sample, see below. Beyond `MOST_RANGES` ranges each is split further by a hash
-of the same tokens, so the driver holds a bounded number of splitters whatever
-the input. Buckets sort by multikey quicksort, token by token, and compare
+Suffixes are dealt by range of their first token, a big-endian number whose order
+is that of the bytes, and where that is equal of a hash of the `TOKENS` leading
+ones, their name. The splitters are quantiles of the anchors of a sample of
+documents. They lie between different names, so equal suffixes share a range and
+neighbours across a boundary differ in their leading tokens: there is nothing left
+to compare there but a name that fills several ranges of the sample, see below.
+Beyond `MOST_RANGES` ranges each is split further by the name, so the driver holds
+a bounded number of splitters whatever the input. Buckets sort by multikey
+quicksort, by the first token and only runs of equals by the name, and compare
 neighbours. Three rounds:
 
 1. the leading tokens of anchors alone: those of one document go no further;
@@ -22,11 +23,11 @@ neighbours. Three rounds:
 3. only where one anchor has different stretches, their bytes, of which the
    bucket compares the single strings.
 
-Leading tokens that fill several ranges of the sample (a passage that a third of
-all documents hold, each after other words) would gather in one task: in round 2
+Names that fill several ranges of the sample (a passage that a third of all
+documents hold, each after other words) would gather in one task: in round 2
 their strings are dealt one by one, by the strings' own hashes, over all buckets,
 and compared there. Stretches and strings count as equal if 109 bits or more of
-their hashes are; leading tokens are compared byte by byte.
+their hashes are.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing;
 rows that share an id count as one document but each is judged by its own text;
@@ -53,8 +54,10 @@ LENGTH = 50
 TOKENS = 3
 #: Ranges of leading tokens at most, and sampled suffixes for each.
 MOST_RANGES, SAMPLES = 1 << 16, 64
+#: Bytes of text, as its table is stored, for each bucket.
+PER_BUCKET = 4 << 20
 #: Bytes sent of the keys of each round.
-LEADING, STRETCH, STRING = (8,) * TOKENS, (5, 8), (5, 8)
+LEADING, STRETCH = (8, 5), (5, 8)
 
 
 def _tokens(data: np.ndarray) -> np.ndarray:
@@ -84,52 +87,46 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
 
 
 def _leading(token: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
-    return [token[anchor + 8 * j] for j in range(TOKENS)]
-
-
-def _name(keys: list[np.ndarray]) -> np.ndarray:
-    """A hash of leading tokens."""
-    out = np.zeros(len(keys[0]), H.U)
-    for j, k in enumerate(keys):
-        out = H.mix(out ^ k * H.ODD[j])
-    return out
+    """The first token of each anchor and the name of the leading ones."""
+    first = token[anchor]
+    name = first * H.ODD[0]
+    for j in range(1, TOKENS):
+        name = H.mix(name) ^ token[anchor + 8 * j] * H.ODD[j]
+    return [first, H.mix(name)]
 
 
 class Ranges:
-    """Splitters between leading tokens."""
+    """Splitters between leading tokens: (first token, name) pairs in order."""
 
-    def __init__(self, sample: np.ndarray, buckets: int):
-        """`sample`: rows of `TOKENS` numbers, in no order."""
+    def __init__(self, sample: list[np.ndarray], buckets: int):
+        """`sample`: first tokens and names, in no order."""
         ranges = min(buckets, MOST_RANGES)
         self.split = -(-buckets // ranges)
         self.buckets = ranges * self.split
-        order, _ = R.multikey([np.ascontiguousarray(sample[:, j]) for j in range(TOKENS)]) if len(sample) else (np.zeros(0, int), None)
-        at = np.unique(np.arange(1, ranges) * len(order) // ranges)
-        cuts = sample[order[at]] if len(order) else np.zeros((0, TOKENS), H.U)
-        raw = self._raw([cuts[:, j] for j in range(TOKENS)])
-        self.raw, times = np.unique(raw, return_counts=True)
-        keep = np.unique(raw, return_index=True)[1]
-        self.first = np.ascontiguousarray(cuts[keep, 0])
-        names = _name([cuts[keep, j] for j in range(TOKENS)]) if len(keep) else np.zeros(0, H.U)
-        self.hot = np.sort(names[times > 1])
+        order, _ = R.multikey(sample)
+        at = np.unique(np.arange(1, ranges) * len(order) // ranges) if len(order) else np.zeros(0, np.int64)
+        first, name = (k[order[at]] for k in sample)
+        again = np.zeros(len(at), bool)
+        again[1:] = (first[1:] == first[:-1]) & (name[1:] == name[:-1])
+        self.hot = np.unique(name[again])
+        self.first, self.both = first[~again], self._pairs(first[~again], name[~again])
 
     @staticmethod
-    def _raw(keys: list[np.ndarray]) -> np.ndarray:
-        """The tokens' bytes, which compare as they sort."""
-        flat = np.stack([k.astype(">u8") for k in keys], 1) if len(keys[0]) else np.zeros((0, len(keys)), ">u8")
-        return np.ascontiguousarray(flat).view(f"S{8 * len(keys)}").reshape(-1)
+    def _pairs(first: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Strings of 16 bytes, which compare as the pairs do."""
+        return np.stack([first, name], 1).astype(">u8").view("S16").reshape(-1)
 
-    def of(self, keys: list[np.ndarray], name: np.ndarray) -> np.ndarray:
+    def of(self, first: np.ndarray, name: np.ndarray) -> np.ndarray:
         """The bucket of each suffix."""
-        low, high = np.searchsorted(self.first, keys[0], "left"), np.searchsorted(self.first, keys[0], "right")
+        low, high = np.searchsorted(self.first, first, "left"), np.searchsorted(self.first, first, "right")
         tie = np.flatnonzero(low != high)
-        low[tie] = np.searchsorted(self.raw, self._raw([k[tie] for k in keys]), "right")
+        low[tie] = np.searchsorted(self.both, self._pairs(first[tie], name[tie]), "right")
         sub = R.bucket_of(name, self.split) if self.split > 1 else 0
         return (low * self.split + sub).astype("i4")
 
 
-def _sample(texts: DataFrame, length: int, buckets: int, size: int) -> np.ndarray:
-    """Leading tokens of about `SAMPLES` anchors for each range: of documents chosen by their keys, anchors chosen by their places."""
+def _sample(texts: DataFrame, length: int, buckets: int, size: int) -> list[np.ndarray]:
+    """First tokens and names of about `SAMPLES` anchors for each range: of documents chosen by their keys, anchors chosen by their places."""
     rate = min(1.0, SAMPLES * min(buckets, MOST_RANGES) * 14 / max(1, size))
     of_rows = min(1.0, 16 * rate)
     every = max(1, round(of_rows / rate))
@@ -140,11 +137,10 @@ def _sample(texts: DataFrame, length: int, buckets: int, size: int) -> np.ndarra
             for lo, _, data, offsets in H.chunks(batch, 1):
                 token, anchor, start, _, owner = _stretches(data, offsets, length)
                 go = (H.mix((start - offsets[owner]).astype(H.U) + (owner + lo).astype(H.U) * H.ODD[5]) % H.U(every)) == 0
-                keys = _leading(token, anchor[go])
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)) for k in keys], [f"t{j}" for j in range(TOKENS)])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)) for k in _leading(token, anchor[go])], ["first", "name"])
 
-    found = rows.select("key", "text").mapInArrow(run, ", ".join(f"t{j} bigint" for j in range(TOKENS))).toPandas()  # bounded by SAMPLES and MOST_RANGES
-    return found.to_numpy(np.int64).reshape(-1, TOKENS).astype(np.int64).view(H.U)
+    found = rows.select("key", "text").mapInArrow(run, "first bigint, name bigint").toArrow()  # bounded by SAMPLES and MOST_RANGES
+    return [found.column(c).to_numpy().astype(np.int64).view(H.U) for c in ("first", "name")]
 
 
 def _entries(keys, ids, pos, n, to, rows, text) -> R.Entries:
@@ -158,7 +154,7 @@ def _anchors(length: int, ranges: Ranges, own: bool):
             for lo, _, data, offsets in H.chunks(batch, 2):
                 token, anchor, start, _, owner = _stretches(data, offsets, length)
                 keys = _leading(token, anchor)
-                yield _entries(keys, ids, start - offsets[owner], np.zeros(len(anchor), "u1"), ranges.of(keys, _name(keys)), rows, lo + owner)
+                yield _entries(keys, ids, start - offsets[owner], np.zeros(len(anchor), "u1"), ranges.of(*keys), rows, lo + owner)
 
     return lambda batches: R.send(parts(batches), R.in_other_document, LEADING, ranges.buckets)
 
@@ -185,19 +181,18 @@ def _whole_stretches(length: int, ranges: Ranges, own: bool):
             go = kept[start]
             anchor, start, count, owner = anchor[go], start[go], count[go], owner[go]
             one, two = H.prefix(data), H.prefix(data, 1)
-            keys = _leading(token, anchor)
-            name = _name(keys)
+            lead, name = _leading(token, anchor)
             hot = np.isin(name, ranges.hot)
             if hot.any():
                 at, text = _each(start[hot], count[hot]), np.repeat(owner[hot], count[hot])
                 h = H.slices(one, at, at + length)
                 yield _entries([h, H.slices(two, at, at + length)], ids, at - offsets[text], np.ones(len(at), "u1"), R.bucket_of(h, ranges.buckets), rows, text)
                 cold = ~hot
-                anchor, start, count, owner, name, keys = anchor[cold], start[cold], count[cold], owner[cold], name[cold], [k[cold] for k in keys]
+                anchor, start, count, owner, lead, name = anchor[cold], start[cold], count[cold], owner[cold], lead[cold], name[cold]
             end = start + count - 1 + length
             # The anchor's place in the stretch is part of what must be equal.
             g = H.mix(H.slices(two, start, end) ^ (anchor - start).astype(H.U) * H.ODD[7])
-            yield _entries([name, g], ids, start - offsets[owner], count.astype("u1"), ranges.of(keys, name), rows, owner)
+            yield _entries([name, g], ids, start - offsets[owner], count.astype("u1"), ranges.of(lead, name), rows, owner)
 
     return lambda batches: R.send(parts(batches), R.later_document_or_kind, STRETCH, ranges.buckets)
 
@@ -232,8 +227,7 @@ def _kinds(length: int, ranges: Ranges, own: bool):
             if len(at):
                 token, anchor, start, _, _ = _stretches(data, offsets, length)
                 # Marks start where stretches do, but for single strings of hot anchors.
-                lead = _leading(token, anchor[np.searchsorted(start, at, "right") - 1])
-                name = _name(lead)
+                lead, name = _leading(token, anchor[np.searchsorted(start, at, "right") - 1])
                 held.append(_entries([name], ids, at - offsets[text], count.astype("u1"), ranges.of(lead, name), keys, text))
                 flat = data.tobytes()
                 raws.extend([flat[lo:hi] for lo, hi in zip(at.tolist(), (at + count - 1 + length).tolist(), strict=True)])
@@ -310,7 +304,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not 8 * TOKENS <= length <= 254:
         raise ValueError(f"length: from {8 * TOKENS} to 254")
     texts, own = R.rows_to_compare(docs)
-    buckets = buckets_for(docs)
+    buckets = buckets_for(docs, PER_BUCKET)
     ranges = Ranges(_sample(texts, length, buckets, input_bytes(docs)), buckets)
     first = R.replies(texts.mapInArrow(_anchors(length, ranges, own), R.ENTRY), R.in_other_document, LEADING)
     marked = R.only_marked(R.by_row(texts, first))
