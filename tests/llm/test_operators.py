@@ -473,6 +473,65 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_by_density():
+    """Pages without an article element, of scripts with and without the stop words, and boxes whose class only hints."""
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News of the day and more of it for you</a></li></ul>"
+    foot = "<div><p>© 2024 Example. All rights reserved.</p></div>"
+    page = lambda body: f"<html><body><div>{menu}</div>{body}{foot}"
+    english = "The committee met in the morning and it was clear that they had to decide what to do with the money. " * 3
+    terse = "Sensor firmware v2 adds calibration tables, faster sampling, lower power draw. " * 4
+    russian = "Комитет собрался утром, и стало ясно, что нужно решить, как поступить с деньгами. " * 4
+    chinese = "委员会今天上午开会，大家认为必须尽快决定如何使用这笔资金。" * 5
+    for text in (english, terse, russian, chinese):
+        assert html.main_text(page(f"<div><p>{text}</p></div>")) == text.strip()
+        assert html.main_text(page(f"<div class='share-price'><p>{text}</p><p>Short tail.</p></div>")) == text.strip() + " Short tail."
+        assert html.main_text(page(f"<div class='share'><p>{text}</p></div><div class='ad box'>{text}</div>")) == ""
+        assert html.main_text(f"<article><p>{text}</p><p>The logo is © of its owner.</p></article>") == text.strip() + " The logo is © of its owner."
+    assert html.main_text(page(f"<h2>A title</h2><p>{english}</p><p>Yes.</p><div class=comments><p>{english}</p></div>")) == f"A title {english.strip()} Yes."
+
+
+def test_html_of_broken_markup():
+    text = "The cat sat on the mat and it was in the house with all of the others that were there. " * 3
+    for page in (f"<p>{text}<div <p", f"<<p>>{text}</b></div></p>", f"<article><p title='>'>{text}<script>x", f"<!-- x --><article><p>{text}<!-- never closed <p>no"):
+        assert text.strip() in html.main_text(page), page
+    deep = "<div>" * 3000 + f"<p>{text}</p>"
+    assert html.main_text(deep) == text.strip()
+    long = f"<article>{''.join(f'<p>{i} {text}</p>' for i in range(3000))}"
+    assert html.main_text(long).startswith("0 The cat") and len(html.main_text(long)) > 700_000
+
+
+def test_html_second_pass_is_nearest_neighbours():
+    """Against a search of all pairs of blocks."""
+    rng = random.Random(6)
+    for _ in range(300):
+        found = [html.Block(f"b{i}", 0, rng.random() < 0.2, rng.choice((0, 0, 1, 2)), rng.choice(("p", "h2")), rng.choice((0, 0, 0, 1))) for i in range(rng.randrange(1, 12))]
+        labels = ["bad" if b.bad else rng.choice(("good", "bad", "undecided", "undecided")) for b in found]
+        want = []
+        for i, b in enumerate(found):
+            decided = [(abs(i - j), labels[j] != "good", j) for j, x in enumerate(found) if (x.section, x.box) == (b.section, b.box) and labels[j] != "undecided" and not (x.bad and x.section)]
+            good = labels[i] == "good"
+            if labels[i] == "undecided":
+                good = not min(decided)[1] if decided else bool(b.section and not b.box)
+                if not b.section and decided and all(j > i for _, _, j in decided):
+                    good = labels[min(j for _, _, j in decided)] == "good" or good
+            want.append(good)
+        assert html._second_pass(found, labels) == want
+
+
+def test_html_against_articles(spark):
+    """Of the test pages, whose main text is the article element: almost every word of it, and nothing else."""
+    import html as entities
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r["html"] and "<article" in r["html"]]
+    same = 0
+    for page in pages:
+        inner = re.search(r"<article[^>]*>(.*?)(?:</article>|$)", page, re.S)[1]
+        inner = re.sub(r"<(script|style|aside|form|nav|footer)\b.*?</\1>|<!--.*?-->", " ", inner, flags=re.S)
+        want = " ".join(entities.unescape(re.sub(r"</?(?:b|i|em|strong|a|span|u|code|small|sup|sub)\b[^>]*>", "", re.sub(r"<(?!/?(?:b|i|em|strong|a|span|u|code|small|sup|sub)\b)[^>]*>", " ", inner))).split())
+        same += " ".join(html.main_text(page).split()) == want
+    assert len(pages) > 200 and same >= 0.98 * len(pages)
+
+
 # 8
 def test_token_counts(spark, documents, tmp_path):
     import public_tokenizers
