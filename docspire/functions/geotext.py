@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spatial import bounds
+
 KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 TYPE = "kind string, part_of array<int>, parts array<array<struct<x:double,y:double>>>"
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
@@ -103,6 +105,11 @@ def _column(parse, strict: bool):
     return F.pandas_udf(run, TYPE)
 
 
+def box(geometry: Column) -> Column:
+    """The box of a parsed geometry, of all its parts."""
+    return bounds(F.flatten(geometry["parts"]))
+
+
 def from_wkt(text: Column, strict: bool = True) -> Column:
     """Parsed text; what can't be read is an error, or null fields if not `strict`."""
     return _column(parse_wkt, strict)(text)

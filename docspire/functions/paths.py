@@ -52,6 +52,9 @@ def resolve(schema: T.StructType, path: str, base: Column | None = None, separat
 def _descend(column: Column, kind: T.DataType, steps: list[str]) -> Field:
     if not steps:
         return Field(column, kind)
+    if isinstance(kind, T.VariantType):
+        inner = "".join(f"[{x}]" if x.isdigit() else "['" + x.replace("'", "\\'") + "']" for x in steps)
+        return Field(F.try_variant_get(column, f"${inner}", "variant"), kind)
     step, *rest = steps
     if isinstance(kind, T.StructType):
         if step not in kind.names:

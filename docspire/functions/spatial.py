@@ -137,6 +137,12 @@ def with_holes_contains(x: Column, y: Column, exterior: Column, holes: Column) -
     return in_ring_column(x, y, exterior) & ~F.coalesce(F.exists(holes, lambda h: in_ring_column(x, y, h)), F.lit(False))
 
 
+def rings_are_closed(exterior: Column, holes: Column) -> Column:
+    """Whether all rings have points and end where they begin: what makes a polygon valid."""
+    closed = lambda ring: (F.size(ring) > 0) & (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1))
+    return closed(exterior) & F.forall(F.coalesce(holes, F.array().cast("array<array<struct<x:double,y:double>>>")), closed)
+
+
 def bounds(points: Column) -> Column:
     """The box of an array of ``{x, y}``; all zero if there are none."""
     pick = lambda f, c: F.coalesce(f(F.transform(points, lambda p: p[c])), F.lit(0.0))

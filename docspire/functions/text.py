@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def split_query(query: str) -> list[str]:
     return [*out, word] if word else out
 
 
-def term_match(value: Column, is_array: bool, query: str, case_sensitive: bool, stop_words: frozenset[str] = ENGLISH) -> Column:
-    """Whether a token equals the query; with a star before or after it, ends, begins or goes on with it."""
+def term_query(query: str) -> tuple[str | None, bool, bool]:
+    """The word of a query, None if it has none, and whether a star stands before and after it."""
     start, end = query.startswith("*"), query.endswith("*") and len(query) > 1
     bare = query.strip("*") if start or end else query
     if query == "*" or not bare:
@@ -44,26 +46,37 @@ def term_match(value: Column, is_array: bool, query: str, case_sensitive: bool,
     words = split_query(bare)
     if len(words) > 1:
         raise ValueError(f"a text query is one word: {query}")
-    if not words or not (start or end) and words[0] in stop_words:
-        return F.lit(False)
-    word = words[0]
-    found = indexed_tokens(value, is_array, stop_words)
+    return words[0] if words else None, start, end
+
+
+def token_test(word: str, start: bool, end: bool, case_sensitive: bool) -> Callable[[Column], Column]:
+    """Whether a token equals the word; with a star before or after it, ends, begins or goes on with it."""
     low = word.lower()
     if start and end:
-        test = lambda t: F.contains(t, F.lit(word)) | F.contains(F.lower(t), F.lit(word))
-    elif start:
-        test = lambda t: F.endswith(t, F.lit(word)) | F.endswith(F.lower(t), F.lit(word))
-    elif end:
-        test = lambda t: F.startswith(t, F.lit(word))
-    elif case_sensitive:
-        test = lambda t: t == word
-    else:
-        test = lambda t: F.lower(t) == low
-    hit = F.coalesce(F.exists(found, test), F.lit(False))
+        return lambda t: F.contains(t, F.lit(word)) | F.contains(F.lower(t), F.lit(word))
+    if start:
+        return lambda t: F.endswith(t, F.lit(word)) | F.endswith(F.lower(t), F.lit(word))
+    if end:
+        return lambda t: F.startswith(t, F.lit(word))
+    return (lambda t: t == word) if case_sensitive else (lambda t: F.lower(t) == low)
+
+
+def term_match(value: Column, is_array: bool, query: str, case_sensitive: bool, stop_words: frozenset[str] = ENGLISH) -> Column:
+    """Whether a token other than a stop word passes the query's test."""
+    word, start, end = term_query(query)
+    if word is None or not (start or end) and word in stop_words:
+        return F.lit(False)
+    test = token_test(word, start, end, case_sensitive)
+    stops = F.array(*[F.lit(w) for w in sorted(stop_words)])
+    # Few tokens pass the test, so it comes before the look-up of stop words.
+    passes = lambda ts: F.exists(ts, lambda t: test(t) & ~F.array_contains(stops, t) if stop_words else test(t))
+    if is_array:
+        return F.coalesce(F.exists(value, lambda s: F.coalesce(passes(tokens(s)), F.lit(False))), F.lit(False))
     # The raw text holds whatever a token holds: a cheap test before the split.
-    if not is_array and case_sensitive and not start:
-        hit = F.contains(value, F.lit(word)) & hit
-    return hit
+    held = F.contains(value, F.lit(word))
+    if start or not case_sensitive and not end:
+        held = held | F.contains(F.lower(value), F.lit(word if start else word.lower()))
+    return F.coalesce(held & passes(tokens(value)), F.lit(False))
 
 
 def phrase_match(text: Column, phrase: str) -> Column:

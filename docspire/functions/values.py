@@ -9,6 +9,7 @@ equality and matches no range.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from decimal import Decimal
 from typing import Any
 
@@ -19,6 +20,50 @@ from pyspark.sql import types as T
 from .paths import Field
 
 
+def variant_kind(x: Column) -> Column:
+    """BIGINT, DOUBLE, STRING and so on: the kind of a value in a VARIANT column; integers of all widths are BIGINT."""
+    return F.schema_of_variant(x)
+
+
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+_VARIANT_OF = {"bool": ("BOOLEAN", "boolean"), "string": ("STRING", "string"), "binary": ("BINARY", "binary"), "time": ("TIMESTAMP", "timestamp"), "date": ("DATE", "date")}
+
+
+def _variant_equal(x: Column, value: Any) -> Column:
+    kind, lit = variant_kind(x), literal_kind(value)
+    if lit == "int":
+        out = (kind == "BIGINT") & (F.try_variant_get(x, "$", "decimal(38,0)") == F.lit(Decimal(value)))
+    elif lit == "float":
+        out = (kind != "BIGINT") & is_number(kind) & F.try_variant_get(x, "$", "double").eqNullSafe(F.lit(float(value)))
+    elif lit == "array":
+        out = kind.startswith("ARRAY") & (F.to_json(x) == F.to_json(F.parse_json(F.lit(json.dumps(list(value), default=str)))))
+    else:
+        name, type_ = _VARIANT_OF[lit]
+        out = (kind == name) & (F.try_variant_get(x, "$", type_) == literal(value, T.NullType()))
+    return F.coalesce(out, no())
+
+
+def _variant_ordered(x: Column, sign: str, value: Any) -> Column:
+    """Numbers by size, values of the literal's kind by value, others by their JSON texts."""
+    kind, lit = variant_kind(x), literal_kind(value)
+    test = lambda a, b, s: {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[s]
+    shown = test(F.to_json(x), F.lit(json.dumps(value, default=str)), sign)
+    if lit in ("int", "float"):
+        whole, broken = (sign, _SWAP.get((sign, "float"), sign)) if lit == "int" else (_SWAP.get((sign, "int"), sign), sign)
+        exact = test(F.try_variant_get(x, "$", "decimal(38,0)"), F.lit(Decimal(value)), sign) if lit == "int" else test(F.try_variant_get(x, "$", "double"), F.lit(float(value)), whole)
+        same = F.when(kind == "BIGINT", exact).when(is_number(kind), test(F.try_variant_get(x, "$", "double"), F.lit(float(value)), broken))
+        out = F.when(is_number(kind), same).otherwise(shown)
+    elif lit in _VARIANT_OF:
+        name, type_ = _VARIANT_OF[lit]
+        out = F.when(kind == name, test(F.try_variant_get(x, "$", type_), literal(value, T.NullType()), sign)).otherwise(shown)
+    else:
+        out = shown
+    return F.when(x.isNotNull() & (kind != "VOID"), out)
+
+
 def no() -> Column:
     return F.lit(False)
 
@@ -76,7 +121,11 @@ def same_kind(value: Any, kind: T.DataType) -> bool:
 def whole_equal(field: Field, value: Any) -> Column:
     """The whole value equals the literal; never null."""
     if value is None:
+        if isinstance(field.type, T.VariantType):
+            return field.column.isNull() | F.coalesce(F.is_variant_null(field.column), no())
         return field.column.isNull() if field.known else F.lit(True)
+    if isinstance(field.type, T.VariantType):
+        return _variant_equal(field.column, value)
     if not field.known or not same_kind(value, field.type):
         return no()
     return field.column.eqNullSafe(literal(value, field.type))
@@ -90,6 +139,9 @@ def equal(field: Field, value: Any) -> Column:
         if same_kind(value, element):
             holds = F.exists(field.column, lambda x: x.eqNullSafe(literal(value, element)))
             out = out | F.coalesce(holds, no())
+    if isinstance(field.type, T.VariantType) and value is not None and literal_kind(value) != "array":
+        inside = F.exists(F.try_variant_get(field.column, "$", "array<variant>"), lambda x: _variant_equal(x, value))
+        out = out | F.coalesce(variant_kind(field.column).startswith("ARRAY") & inside, no())
     return out
 
 
@@ -100,6 +152,8 @@ def ordered(field: Field, sign: str, value: Any) -> Column:
     """`field sign value` for one of < <= > >=; null where the field is null."""
     if value is None or not field.known:
         return no()
+    if isinstance(field.type, T.VariantType):
+        return _variant_ordered(field.column, sign, value)
     kind, lit = type_kind(field.type), literal_kind(value)
     if lit == "array":
         if not same_kind(value, field.type):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
 from typing import Any
 
@@ -49,8 +50,8 @@ def lookup_join(left: DataFrame, right: DataFrame, local: str, foreign: str, tar
 
     Null equals null and missing. Keys of different kinds never meet. A row
     without partners keeps what `target` held before, or null. The right side is
-    grouped by key first, so a left row joins one row; for a key that a bounded
-    share of memory can't hold, join the plain tables instead.
+    grouped by key first, so a left row joins one row; for keys of more rows than
+    one array should hold, `lookup_rows` gives a row for each pair.
     """
     lf, rf = resolve(left.schema, local), resolve(right.schema, foreign)
     item = F.struct(*[F.col(f"`{c}`") for c in right.columns])
@@ -70,6 +71,21 @@ def lookup_join(left: DataFrame, right: DataFrame, local: str, foreign: str, tar
     return joined.select(*[F.col(f"`{c}`") for c in left.columns if c != target], F.when(F.col("_hit"), F.col("_found")).otherwise(old).alias(target))
 
 
+def lookup_rows(left: DataFrame, right: DataFrame, local: str, foreign: str, target: str) -> DataFrame:
+    """The same pairs, a row for each, with one right row in `target`; a left row without partners has null there. No key gathers in one task: Spark splits hot ones."""
+    lf, rf = resolve(left.schema, local), resolve(right.schema, foreign)
+    other = right.select(rf.column.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("_found"), F.lit(True).alias("_hit"))
+    meet = not (lf.known and rf.known) or type_kind(lf.type) == type_kind(rf.type)
+    on = lf.column.eqNullSafe(F.col("_key")) if meet else lf.column.isNull() & F.col("_key").isNull()
+    return left.join(other, on, "left").select(*[F.col(f"`{c}`") for c in left.columns if c != target], F.col("_found").alias(target))
+
+
+def iter_with_id(df: DataFrame, key: str = "_id") -> Iterator[tuple[Any, Row]]:
+    """(id, row) one after another; of rows without a key, their numbers."""
+    for i, row in enumerate(df.toLocalIterator()):
+        yield (row[key] if key in df.columns else i), row
+
+
 def count(df: DataFrame) -> int:
     return df.count()
 

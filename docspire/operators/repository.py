@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from typing import Any, Generic, TypeVar
+from typing import Any, Generic, TypeVar, get_type_hints
 
 from pyspark.sql import DataFrame
 
@@ -15,12 +15,12 @@ from . import cursor
 E = TypeVar("E")
 
 
-def entity(name: str | None = None, id_field: str | None = None, embedded: tuple[str, ...] = (), indexes: tuple[tuple[str, tuple[str, ...]], ...] = ()):
-    """Mark a dataclass: its name, id field, the id's inner fields if it is a document, and indexes as (kind, fields)."""
+def entity(name: str | None = None, id_field: str | None = None, embedded: tuple[str, ...] = (), indexes: tuple[tuple[str, tuple[str, ...]], ...] = (), generated: bool = False):
+    """Mark a dataclass: its name, id field, the id's inner fields if it is a document, indexes as (kind, fields), and whether the id is the row's own, which the store gives."""
 
     def mark(cls: type) -> type:
         cls = cls if dataclasses.is_dataclass(cls) else dataclasses.dataclass(cls)
-        cls.__entity__ = {"name": name or cls.__name__, "id": id_field, "embedded": embedded, "indexes": indexes}
+        cls.__entity__ = {"name": name or cls.__name__, "id": id_field, "embedded": embedded, "indexes": indexes, "generated": generated}
         return cls
 
     return mark
@@ -28,7 +28,7 @@ def entity(name: str | None = None, id_field: str | None = None, embedded: tuple
 
 class Repository(Generic[E]):
     def __init__(self, db: Database, cls: type[E], key: str | None = None):
-        self.cls, self.spec = cls, getattr(cls, "__entity__", {"name": cls.__name__, "id": None, "embedded": (), "indexes": ()})
+        self.cls, self.spec = cls, getattr(cls, "__entity__", {"name": cls.__name__, "id": None, "embedded": (), "indexes": (), "generated": False})
         name = self.spec["name"] if key is None else f"{self.spec['name']}+{key}"
         self.collection: Collection = db.collection(name)
         if not db.has_collection(name):
@@ -61,7 +61,16 @@ class Repository(Generic[E]):
         return Equal(self.spec["id"], id_)
 
     def insert(self, *items: E) -> list[int]:
-        return self.collection.insert([self._document(i) for i in items])
+        if not self.spec["generated"]:
+            return self.collection.insert([self._document(i) for i in items])
+        name = self.spec["id"]
+        if any(getattr(i, name) is not None for i in items):
+            raise ConstraintError(f"{name} is given by the store, not on insert")
+        documents = []
+        for item, own in zip(items, self.collection.db.next_ids(len(items)), strict=True):
+            setattr(item, name, own)
+            documents.append(self._document(item) | {"_id": own})
+        return self.collection.insert(documents)
 
     def find(self, node: Filter | None = None, options: FindOptions | None = None) -> DataFrame:
         return self.collection.find(node, options)
@@ -69,6 +78,11 @@ class Repository(Generic[E]):
     def project(self, rows: DataFrame, template: type) -> DataFrame:
         return cursor.project(rows, template)
 
+    def join(self, rows: DataFrame, foreign: DataFrame, local: str, other: str, target: str, template: type | None = None) -> DataFrame:
+        """Rows with the array `target` of the other repository's rows of equal key, projected if a template is given."""
+        joined = cursor.lookup_join(rows, foreign, local, other, target)
+        return joined if template is None else cursor.project(joined, template)
+
     def entities(self, rows: DataFrame) -> list[E]:
         """Rows as objects, for results that fit the driver."""
         return [_build(self.cls, r.asDict(recursive=True)) for r in rows.toLocalIterator()]
@@ -95,9 +109,11 @@ class Repository(Generic[E]):
 
 
 def _build(cls: type, values: dict[str, Any]) -> Any:
+    # Annotations may be strings.
+    hints = get_type_hints(cls)
     out = {}
     for f in dataclasses.fields(cls):
         v = values.get(f.name)
-        inner = f.type if isinstance(f.type, type) else None
+        inner = hints[f.name] if isinstance(hints.get(f.name), type) else None
         out[f.name] = _build(inner, v) if inner and dataclasses.is_dataclass(inner) and isinstance(v, dict) else v
     return cls(**out)

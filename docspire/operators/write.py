@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import resolve
 from ..plans.filters import All, Filter, Scope
+from ..sources import schema
 
 
 class ConstraintError(ValueError):
@@ -29,6 +30,8 @@ def matching(df: DataFrame, node: Filter, present: str | None = None) -> Column:
 def _literal(value: Any, kind: T.DataType | None) -> Column:
     if isinstance(value, Column):
         return value
+    if isinstance(kind, T.VariantType):
+        return schema.literal(value)
     if isinstance(value, (list, tuple)):
         out = F.array(*[_literal(v, kind.elementType if isinstance(kind, T.ArrayType) else None) for v in value])
     elif isinstance(value, dict):
@@ -130,8 +133,10 @@ def index_keys(df: DataFrame, fields: list[str]) -> DataFrame:
     for f in found[1:]:
         if isinstance(f.type, T.ArrayType):
             raise ConstraintError("only the first field of a compound index may be an array")
-    head = found[0].column
-    rest = [f.column.alias(n) for f, n in zip(found[1:], fields[1:], strict=True)]
+    # A variant has no equality of its own: its kind and text stand for it.
+    keyed = lambda f: F.when(f.column.isNotNull(), F.concat_ws(":", F.schema_of_variant(f.column), F.to_json(f.column))) if isinstance(f.type, T.VariantType) else f.column
+    head = keyed(found[0])
+    rest = [keyed(f).alias(n) for f, n in zip(found[1:], fields[1:], strict=True)]
     if isinstance(found[0].type, T.ArrayType):
         head = F.explode_outer(head)
     named = df.select(head.alias("_head"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"), *([F.col("_id")] if "_id" in df.columns else [F.lit(None).alias("_id")]))

@@ -132,7 +132,7 @@ class In(Filter):
 
     def column(self, scope: Scope) -> Column:
         f = scope.field(self.path)
-        if isinstance(f.type, T.ArrayType):
+        if isinstance(f.type, (T.ArrayType, T.VariantType)):
             out = F.lit(False)
             for v in self.values:
                 out = out | V.equal(f, v)
@@ -147,7 +147,7 @@ class NotIn(Filter):
 
     def column(self, scope: Scope) -> Column:
         f = scope.field(self.path)
-        if isinstance(f.type, T.ArrayType):
+        if isinstance(f.type, (T.ArrayType, T.VariantType)):
             out = F.lit(False)
             for v in self.values:
                 out = out | V.whole_equal(f, v)
@@ -180,6 +180,9 @@ class Regex(Filter):
         if _NO_REGEX.search(self.pattern):
             raise FilterError(f"look-around and back-references are not supported: {self.pattern}")
         f = scope.field(self.path)
+        if isinstance(f.type, T.VariantType):
+            text = F.when(V.variant_kind(f.column) == "STRING", F.try_variant_get(f.column, "$", "string"))
+            return F.coalesce(text.rlike(self.pattern), F.lit(False))
         return f.column.rlike(self.pattern) if isinstance(f.type, T.StringType) else F.lit(False)
 
 
@@ -261,7 +264,7 @@ class Not(Filter):
         if isinstance(self.part, Range):
             # The complement of a range and null, which the scan can use.
             f = scope.field(self.part.path)
-            if f.known and not isinstance(f.type, T.ArrayType) and self.part.value is not None:
+            if f.known and not isinstance(f.type, (T.ArrayType, T.VariantType)) and self.part.value is not None:
                 return f.column.isNull() | ~self.part.column(inner)
         return ~F.coalesce(self.part.column(inner), F.lit(False))
 

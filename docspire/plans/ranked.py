@@ -55,6 +55,14 @@ def flat_text(column: Column, kind: T.DataType) -> Column:
     return F.lit("")
 
 
+def bm25(counts: list[Column], held: list[Column], rows: Column, size: Column, mean: Column) -> Column:
+    """The score of a row of `size` tokens with so many of each term, of which so many rows hold one."""
+    total = F.lit(0.0)
+    for tf, df in zip(counts, held, strict=True):
+        total = total + F.log(1.0 + (rows - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    return total
+
+
 def matches(df: DataFrame, path: str, query: str, k: int | None = None, key: str | None = "_id", phrase: bool = False) -> DataFrame:
     """The rows that match, or the k best of them, by BM25, with `_score`.
 
@@ -78,11 +86,8 @@ def matches(df: DataFrame, path: str, query: str, k: int | None = None, key: str
         F.array(*[F.sum((F.get(F.col("_c.tf"), F.lit(i)) > 0).cast("long")) for i in range(len(terms))]).alias("df"),
     )
     joined = counted.filter(F.col("_c.hit")).crossJoin(F.broadcast(stats))  # one row of statistics
-    total = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, held = F.get(F.col("_c.tf"), F.lit(i)).cast("double"), F.get(F.col("df"), F.lit(i))
-        idf = F.log(1.0 + (F.col("rows") - held + 0.5) / (held + 0.5))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_c.n") / F.col("mean")))
+    tf = [F.get(F.col("_c.tf"), F.lit(i)).cast("double") for i in range(len(terms))]
+    total = bm25(tf, [F.get(F.col("df"), F.lit(i)) for i in range(len(terms))], F.col("rows"), F.col("_c.n"), F.col("mean"))
     ranked = joined.withColumn("_score", total).orderBy(F.col("_score").desc(), *_key(df, key))
     return (ranked if k is None else ranked.limit(k)).drop("_c", "rows", "mean", "df")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ class Node:
             out = out & p if self.kind == "and" else out | p
         return out
 
+    def by_places(self, at: dict[str, Column]) -> Column:
+        """The same of a row's sorted places of each word."""
+        if self.kind == "term":
+            return F.size(at[self.words[0]]) > 0
+        if self.kind == "phrase":
+            follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[w], p + i) for i, w in enumerate(self.words) if i])
+            return F.exists(at[self.words[0]], follows)
+        parts = [p.by_places(at) for p in self.parts]
+        return ~parts[0] if self.kind == "not" else reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), parts)
+
+    def without_words(self) -> bool:
+        """Whether a row that holds none of the words matches."""
+        if self.kind in ("term", "phrase"):
+            return False
+        parts = [p.without_words() for p in self.parts]
+        return not parts[0] if self.kind == "not" else all(parts) if self.kind == "and" else any(parts)
+
+    def words_in(self) -> set[str]:
+        return set(self.words).union(*[p.words_in() for p in self.parts])
+
     def scored(self) -> set[str]:
         if self.kind == "not":
             return set()

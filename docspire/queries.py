@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import spatial, text
+from .functions import geotext, spatial, vector
 from .functions.spatial import Geometry
-from .operators import cursor
+from .functions.stopwords import ENGLISH
+from .operators import cursor, migrate, write
 from .operators.rag import Search
-from .operators import migrate, write
+from .operators.repository import Repository, entity
 from .plans.filters import all_, and_, by_id, field_, not_, or_, where
 from .plans.find import Context, FindOptions, find, order_by
+from .sources.shared import scratch
+from .sources.store import Conflict, ConstraintError, Database
+from .sources.textindex import TextIndex
+from .sources.vectorindex import VectorIndex
 from .streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +53,7 @@ _L = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]
 _O = ["o_orderkey", "o_custkey", "o_totalprice"]
 _filtered("f_all", "nation", all_(), ["n_nationkey", "n_name"], "true")
 _filtered("f_eq", "orders", field_("o_orderstatus").eq("F"), _O, "o_orderstatus IS NOT DISTINCT FROM 'F'")
-_filtered("f_eq_int_never_float", "lineitem", or_(field_("l_linenumber").eq(3.0), field_("l_quantity").eq(5)), _L, "false")
+_filtered("f_eq_int_never_float", "lineitem", or_(field_("l_linenumber").eq(3.0), field_("l_quantity").eq(5), field_("l_linenumber").eq(6), field_("l_quantity").eq(7.0)), _L, "l_linenumber = 6 OR l_quantity = 7")
 _filtered("f_ne", "customer", field_("c_mktsegment").ne("BUILDING"), ["c_custkey", "c_mktsegment"], "c_mktsegment IS DISTINCT FROM 'BUILDING'")
 _filtered("f_gt", "lineitem", field_("l_quantity").gt(45.0), _L, "l_quantity > 45")
 _filtered("f_gte", "lineitem", field_("l_linenumber").gte(6), _L, "l_linenumber >= 6")
@@ -64,9 +70,27 @@ _filtered("f_regex", "part", field_("p_name").text_regex("^[a-m].*[aeiou]"), ["p
 _filtered("f_and", "lineitem", and_(field_("l_returnflag").eq("R"), field_("l_discount").gte(0.05), field_("l_quantity").lt(24.0)), _L, "l_returnflag = 'R' AND l_discount >= 0.05 AND l_quantity < 24")
 _filtered("f_or", "lineitem", or_(field_("l_quantity").lt(2.0), field_("l_linenumber").eq(7)), _L, "l_quantity < 2 OR l_linenumber = 7")
 _filtered("f_not", "lineitem", not_(or_(field_("l_quantity").lt(40.0), field_("l_returnflag").eq("N"))), _L, "NOT coalesce(l_quantity < 40 OR l_returnflag = 'N', false)")
-_filtered("f_exists", "customer", and_(field_("c_name").exists(), not_(field_("c_nothing").exists())), ["c_custkey"], "true")
 _filtered("f_custom", "supplier", where(lambda get: get("s_suppkey") % 3 == 1), ["s_suppkey", "s_name"], "s_suppkey % 3 = 1")
-_filtered("f_missing_field", "nation", and_(field_("nothing").eq(None), not_(field_("nothing").gt(1))), ["n_nationkey"], "true")
+
+
+def _present(spark, sf_dir):
+    """Orders of which a third lack a field, and of the others a part has it as null."""
+    key, held = F.col("o_orderkey"), F.col("o_orderkey") % 3 != 0
+    names = F.when(held, F.array(F.lit("o_orderkey"), F.lit("note"))).otherwise(F.array(F.lit("o_orderkey")))
+    return _t(spark, sf_dir, "orders").select(key, F.when(held & (key % 5 != 0), F.col("o_custkey")).alias("note"), names.alias("_fields"))
+
+
+@_register("f_exists", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def _exists(spark, sf_dir):
+    node = and_(field_("note").exists(), not_(field_("nothing").exists()))
+    return find(_present(spark, sf_dir), node, None, Context("o_orderkey", present="_fields")).select("o_orderkey")
+
+
+@_register("f_missing_field", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_custkey IS NULL")
+def _missing(spark, sf_dir):
+    node = and_(field_("nothing").eq(None), field_("note").eq(None), not_(field_("nothing").gt(1)))
+    return find(_present(spark, sf_dir), node).select("o_orderkey")
+
 
 
 @_register("f_by_id", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
@@ -123,16 +147,30 @@ def _first(spark, sf_dir):
     return find(_t(spark, sf_dir, "customer"), field_("c_acctbal").lt(0.0), FindOptions().limit(1), Context("c_custkey")).select("c_custkey", "c_name")
 
 
-@_register("sort_multi", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 300000")
+def _ranked(rows: DataFrame, *columns) -> DataFrame:
+    """The rows with their place in the order that `rows` has: it ends in one sort, so partitions hold it one after another."""
+    placed = rows.select(*columns, F.monotonically_increasing_id().alias("_at"))
+    return placed.select("*", F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("place")).drop("_at")
+
+
+@_register("sort_multi", "SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders WHERE o_totalprice > 300000")
 def _sort_multi(spark, sf_dir):
     options = order_by("o_orderpriority").sort_by("o_totalprice", "desc")
-    return find(_t(spark, sf_dir, "orders"), field_("o_totalprice").gt(300000.0), options, Context("o_orderkey")).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return _ranked(find(_t(spark, sf_dir, "orders"), field_("o_totalprice").gt(300000.0), options, Context("o_orderkey")), "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+_NULLS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k FROM orders)"
 
 
-@_register("sort_nulls", "SELECT l_orderkey, coalesce(k, -1) AS k FROM (SELECT DISTINCT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS k FROM orders) t ORDER BY t.k NULLS FIRST, l_orderkey LIMIT 50 OFFSET 4980")
-def _sort_nulls(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("k"))
-    return find(rows, None, order_by("k").skip(4980).limit(50), Context("l_orderkey")).select("l_orderkey", F.coalesce("k", F.lit(-1)).alias("k"))
+def _sort_nulls(name: str, order: str, sql_order: str) -> None:
+    @_register(name, f"SELECT o_orderkey, coalesce(k, -1) AS k, row_number() OVER (ORDER BY k {sql_order}, o_orderkey) AS place FROM {_NULLS}")  # noqa: S608
+    def run(spark, sf_dir):
+        rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("k"))
+        return _ranked(find(rows, None, order_by("k", order), Context("o_orderkey")), "o_orderkey", F.coalesce("k", F.lit(-1)).alias("k"))
+
+
+_sort_nulls("sort_nulls", "asc", "ASC NULLS FIRST")
+_sort_nulls("sort_nulls_desc", "desc", "DESC NULLS LAST")
 
 
 @_register("skip_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 100")
@@ -148,10 +186,11 @@ def _topk(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@_register("sort_collated", "SELECT n_nationkey, n_name FROM nation ORDER BY n_name COLLATE NOCASE, n_nationkey LIMIT 10")
+@_register("sort_collated", "WITH t AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name FROM nation) SELECT n_nationkey, name, row_number() OVER (ORDER BY lower(name), n_nationkey) AS place FROM t")
 def _collated(spark, sf_dir):
-    found = find(_t(spark, sf_dir, "nation"), None, order_by("n_name").limit(10), Context("n_nationkey"))
-    return found.select("n_nationkey", "n_name")
+    """Names of both cases: in order of bytes all capitals would come first."""
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
+    return _ranked(find(rows, None, order_by("name"), Context("n_nationkey")), "n_nationkey", "name")
 
 
 @_register("or_union_dedup", "SELECT event_id FROM events WHERE event_type = 'click' UNION SELECT event_id FROM events WHERE value > 50")
@@ -251,10 +290,32 @@ def _boxes(spark, sf_dir):
 _TOKENS = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0c\\x0b\\x{a0}\\x{feff}#!\\\\\"%&''()+\\-.,*/:;<=>?@\\[\\]^_`{|}~\\x{201c}\\x{201d}\\x{2033}]+'), lambda x: x <> '')"
 
 
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, what: str, build: Callable[[str], None]) -> str:
+    """The folder of an index that is built once for a session and table, as a database builds it once for a collection."""
+    at = (spark.sparkContext.applicationId, sf_dir, what)
+    if at not in _BUILT:
+        folder = scratch(spark)
+        build(folder)
+        _BUILT[at] = folder
+    return _BUILT[at]
+
+
+def _documents_index(spark: SparkSession, sf_dir: str, stop_words: frozenset[str] = frozenset()) -> TextIndex:
+    folder = _built(spark, sf_dir, "text", lambda folder: TextIndex.build(_t(spark, sf_dir, "documents"), "text", "doc_id", folder))
+    return TextIndex(spark, [folder], stop_words)
+
+
+def _in_documents(spark: SparkSession, sf_dir: str, node) -> DataFrame:
+    return find(_t(spark, sf_dir, "documents"), node, None, Context("doc_id", text_tables={"text": _documents_index(spark, sf_dir, ENGLISH)}))
+
+
 def _text(name: str, node, where_sql: str) -> None:
     @_register(name, f"SELECT doc_id FROM documents WHERE {where_sql}")  # noqa: S608
     def run(spark, sf_dir):
-        return find(_t(spark, sf_dir, "documents"), node).select("doc_id")
+        return _in_documents(spark, sf_dir, node).select("doc_id")
 
 
 _text("text_term", field_("text").text("Tion"), f"list_contains({_TOKENS}, 'Tion')")
@@ -265,10 +326,23 @@ _text("text_contains", field_("text").text("*ngtion*"), f"len(list_filter({_TOKE
 _text("text_not_is_substring", not_(field_("text").text("tion and")), "NOT contains(text, 'tion and')")
 
 
-@_register("phrase", f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_transform({_TOKENS}, lambda x: lower(x)), ' ') || ' ', ' of the ')")  # noqa: S608
+@_register("text_scan", f"SELECT doc_id FROM documents WHERE list_contains(list_transform({_TOKENS}, lambda x: lower(x)), 'tion') AND len(list_filter({_TOKENS}, lambda x: contains(x, 'ngtion') OR contains(lower(x), 'ngtion'))) > 0")  # noqa: S608
+def _text_scan(spark, sf_dir):
+    """The same searches without an index."""
+    return find(_t(spark, sf_dir, "documents"), and_(field_("text").text_case_insensitive("TION"), field_("text").text("*ngtion*"))).select("doc_id")
+
+
+def _lower_tokens(word: str) -> str:
+    return f"len(list_filter(ts, lambda x: x = '{word}'))::DOUBLE"
+
+
+@_register("phrase", f"""WITH d AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: lower(x)) AS ts FROM documents),
+c AS (SELECT doc_id, len(ts)::DOUBLE AS n, {_lower_tokens('of')} AS a, {_lower_tokens('the')} AS b, contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ') AS hit FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::DOUBLE AS rows, avg(n) AS mean, sum((a > 0)::INT)::DOUBLE AS da, sum((b > 0)::INT)::DOUBLE AS db FROM c)
+SELECT doc_id, round(ln(1 + (rows - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (rows - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
+FROM c, s WHERE hit""")  # noqa: S608
 def _phrase(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents")
-    return rows.filter(text.phrase_match(F.col("text"), "of the")).select("doc_id")
+    return _in_documents(spark, sf_dir, field_("text").phrase("of the")).select("doc_id", F.round("_score", 6).alias("score"))
 
 
 @_register("bm25_topk", f"""WITH d AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: lower(x)) AS ts FROM documents),
@@ -277,13 +351,18 @@ s AS (SELECT count(*)::DOUBLE AS rows, avg(n) AS mean, sum((a > 0)::INT)::DOUBLE
 SELECT doc_id, round(ln(1 + (rows - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (rows - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
 FROM c, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id LIMIT 20""")  # noqa: S608
 def _bm25(spark, sf_dir):
-    found = find(_t(spark, sf_dir, "documents"), field_("text").matches("tion thing", 20), None, Context("doc_id"))
+    found = _in_documents(spark, sf_dir, field_("text").matches("tion thing", 20))
     return found.select("doc_id", F.round("_score", 6).alias("score"))
 
 
 @_register("fts_boolean", f"WITH d AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: lower(x)) AS ts FROM documents) SELECT doc_id FROM d WHERE list_contains(ts, 'tion') AND NOT list_contains(ts, 'thing')")  # noqa: S608
 def _fts_boolean(spark, sf_dir):
-    return find(_t(spark, sf_dir, "documents"), field_("text").matches("tion AND NOT thing"), None, Context("doc_id")).select("doc_id")
+    return _in_documents(spark, sf_dir, field_("text").matches("tion AND NOT thing")).select("doc_id")
+
+
+_register("bm25_scan", _SQL["bm25_topk"])(
+    lambda spark, sf_dir: find(_t(spark, sf_dir, "documents"), field_("text").matches("tion thing", 20), None, Context("doc_id")).select("doc_id", F.round("_score", 6).alias("score"))
+)
 
 
 # Vectors: the query is a fixed direction.
@@ -323,12 +402,33 @@ def _rag_min(spark, sf_dir):
     return Search(_t(spark, sf_dir, "embeddings"), tuple(_Q), 25, key="vec_id").min_score(0.1).run().select("vec_id")
 
 
-@_register("vector_i8_codec", f"WITH v AS (SELECT vec_id, {_V} AS v, list_min({_V}) AS lo, (list_max({_V}) - list_min({_V})) / 255 AS s FROM embeddings) SELECT vec_id, round(list_max(list_transform(v, lambda x: abs(x - lo) / s)), 3) AS widest FROM v")  # noqa: S608
+@_register("knn_ivf", _SQL["knn_cosine"])
+def _ivf(spark, sf_dir):
+    """By the cells of an index; as many probes as cells, so that the exact search is its oracle."""
+    folder = _built(spark, sf_dir, "vectors", lambda folder: VectorIndex.build(_t(spark, sf_dir, "embeddings"), "embedding", "vec_id", folder))
+    index = VectorIndex(spark, folder, probes=1 << 30)
+    found = find(_t(spark, sf_dir, "embeddings"), field_("embedding").nearest(_Q, 10), None, Context("vec_id", vector_tables={"embedding": index}))
+    return found.select("vec_id", F.round("_score", 6).alias("score"))
+
+
+_DECODED = f"WITH v AS (SELECT vec_id, {_V} AS v, list_min({_V}) AS lo, (list_max({_V}) - list_min({_V})) / 255 AS s FROM embeddings), d AS (SELECT vec_id, v, list_transform(v, lambda x: lo + round_even((x - lo) / s, 0) * s) AS w FROM v)"
+
+
+@_register("vector_i8_codec", f"{_DECODED} SELECT vec_id, round(list_sum(w), 4) AS total, round(list_max(list_transform(range(1, 65), lambda i: abs(v[i] - w[i]))) / (list_max(v) - list_min(v)) * 255, 3) <= 0.5 AS near FROM d")  # noqa: S608
 def _i8(spark, sf_dir):
-    from .functions.vector import encode_i8
+    """Coded and decoded again: the sum of what comes back, and whether no number is off by more than half a step."""
+    v = F.col("v")
+    coded = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), vector.encode_i8(F.col("embedding")).alias("c"))
+    back = coded.select("vec_id", "v", vector.decode_i8(F.col("c")).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    widest = F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b))) / (F.array_max(v) - F.array_min(v)) * 255
+    return back.select("vec_id", F.round(total, 4).alias("total"), (F.round(widest, 3) <= 0.5).alias("near"))
+
 
-    coded = _t(spark, sf_dir, "embeddings").select("vec_id", encode_i8(F.col("embedding")).alias("c"))
-    return coded.select("vec_id", F.round(F.array_max("c.codes").cast("double"), 3).alias("widest"))
+@_register("vector_f16_codec", f"WITH h AS (SELECT vec_id, list_transform({_V}, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) END) AS w FROM embeddings) SELECT vec_id, round(list_sum(w), 6) AS total, round(list_max(w), 6) AS most FROM h")  # noqa: S608
+def _f16(spark, sf_dir):
+    half = _t(spark, sf_dir, "embeddings").select("vec_id", vector.encode_f16(F.col("embedding")).alias("w"))
+    return half.select("vec_id", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("w"), 6).alias("most"))
 
 
 # Writes, as the rows that they leave.
@@ -368,10 +468,248 @@ def _migrate(spark, sf_dir):
     return migrate.rewrite(_t(spark, sf_dir, "region"), steps)
 
 
-@_register("change_log_counts", "SELECT event_type AS kind, count(*)::BIGINT AS n, max(event_id) AS last_id FROM events GROUP BY 1")
+# A database in a folder of its own, with what its writes leave.
+def _database(spark: SparkSession) -> Database:
+    return Database(spark, scratch(spark))
+
+
+def _nations(spark: SparkSession, sf_dir: str, db: Database, name: str = "nation"):
+    c = db.collection(name)
+    c.insert(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region")))
+    return c
+
+
+@_register("store_insert_find", "SELECT n_nationkey::BIGINT AS _id, n_name AS name, n_regionkey::BIGINT AS region, NULL::VARCHAR AS city, 1 AS _revision FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT 100, 'new', 7, 'x', 1")
+def _insert_find(spark, sf_dir):
+    c = _nations(spark, sf_dir, _database(spark))
+    c.insert([{"_id": 100, "name": "new", "region": 7, "at": {"city": "x"}}, {"_id": 101, "name": "other", "region": 1}])
+    return c.find(field_("region").gte(2)).select("_id", "name", "region", F.col("at.city").alias("city"), "_revision")
+
+
+@_register("store_nested_merge", "SELECT * FROM (VALUES (1::BIGINT, 'x', NULL::BIGINT, 1), (2, NULL, 5, 1), (3, 'y', 7, 2)) t(_id, city, zip, _revision)")
+def _nested(spark, sf_dir):
+    """New keys of inner documents, by insert and by update."""
+    c = _database(spark).collection("c")
+    c.insert([{"_id": 1, "at": {"city": "x"}}])
+    c.insert([{"_id": 2, "at": {"zip": 5}}, {"_id": 3, "at": {"city": "y"}}])
+    c.update(field_("at.city").eq("y"), {"at": {"zip": 7}})
+    return c.find().select("_id", F.col("at.city").alias("city"), F.col("at.zip").alias("zip"), "_revision")
+
+
+@_register("store_update_remove", "SELECT n_nationkey::BIGINT AS _id, CASE WHEN n_regionkey = 1 THEN 'AMERICAS' ELSE n_name END AS name, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END AS _revision FROM nation WHERE n_regionkey <> 3")
+def _update_remove(spark, sf_dir):
+    c = _nations(spark, sf_dir, _database(spark))
+    c.update(field_("region").eq(1), {"name": "AMERICAS"})
+    c.remove(field_("region").eq(3))
+    return c.find().select("_id", "name", "_revision")
+
+
+@_register("store_unique", "SELECT n_nationkey::BIGINT AS _id, n_name AS name, 'kept' AS outcome FROM nation UNION ALL SELECT 200, 'FRESH', 'kept'")
+def _unique(spark, sf_dir):
+    """A unique index refuses a name that is taken, and a second index of another kind on it."""
+    c = _nations(spark, sf_dir, _database(spark))
+    c.create_index(["name"], "unique")
+    outcome = "kept"
+    for attempt in (lambda: c.insert([{"_id": 201, "name": "NATION_7"}]), lambda: c.insert([{"_id": 3, "name": "SAME ID"}]), lambda: c.update(all_(), {"name": "one"}), lambda: c.create_index(["name"], "full_text")):
+        try:
+            attempt()
+            outcome = "let through"
+        except ConstraintError:
+            pass
+    c.insert([{"_id": 200, "name": "FRESH"}])
+    return c.find().select("_id", "name", F.lit(outcome).alias("outcome"))
+
+
+@_register("store_compound_unique", "SELECT n_regionkey::BIGINT AS region, count(*)::BIGINT AS n FROM (SELECT n_regionkey FROM nation UNION ALL SELECT 1) t GROUP BY 1")
+def _compound(spark, sf_dir):
+    """Unique over two fields: the first alone may repeat, both together may not."""
+    c = _nations(spark, sf_dir, _database(spark))
+    c.create_index(["region", "name"], "unique")
+    c.insert([{"_id": 300, "region": 1, "name": "SECOND"}])
+    try:
+        c.insert([{"_id": 301, "region": 1, "name": "SECOND"}])
+    except ConstraintError:
+        pass
+    return c.find().groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("store_transaction", "SELECT n_nationkey::BIGINT AS _id, n_name AS name FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 400, 'moved'")
+def _transaction(spark, sf_dir):
+    """One transaction over two collections is committed, one is rolled back, and one meets another writer."""
+    db = _database(spark)
+    c = _nations(spark, sf_dir, db)
+    with db.transaction() as t:
+        t.collection("nation").remove(field_("region").eq(0))
+        t.collection("other").insert([{"_id": 400, "name": "moved"}])
+    lost = db.transaction()
+    lost.collection("nation").clear()
+    lost.rollback()
+    late = db.transaction()
+    late.collection("nation").clear()
+    db.collection("third").insert([{"_id": 1}])
+    try:
+        late.commit()
+    except Conflict:
+        pass
+    return c.find().select("_id", "name").unionByName(db.collection("other").find().select("_id", "name"))
+
+
+@_register("store_two_writers", "SELECT n_nationkey::BIGINT AS _id FROM nation UNION ALL SELECT * FROM (VALUES (500), (501)) t(_id)")
+def _two_writers(spark, sf_dir):
+    """Two handles of one database write in turn; compaction by the stale one loses nothing."""
+    db = _database(spark)
+    other = Database(spark, db.root)
+    _nations(spark, sf_dir, db)
+    other.collection("nation").insert([{"_id": 500}])
+    db.collection("nation").insert([{"_id": 501}])
+    other.compact(keep=1, grace_s=0)
+    return Database(spark, db.root).collection("nation").find().select("_id")
+
+
+@_register("store_migrate", "SELECT n_nationkey::BIGINT AS _id, n_name AS label, n_regionkey::VARCHAR AS region, 'renamed|label|unique' AS state FROM nation")
+def _store_migrate(spark, sf_dir):
+    """Fields and the collection are renamed and an index is made; a rename onto a collection that exists is refused."""
+    db = _database(spark)
+    _nations(spark, sf_dir, db)
+    db.collection("taken").insert([{"_id": 1}])
+    step = migrate.Migration(1, 2).on("nation", migrate.RenameField("name", "label"), migrate.ChangeDataType("region", lambda c: c.cast("string")), migrate.CreateIndex("unique", ["label"]), migrate.Rename("renamed"))
+    db.migrate([step], 2)
+    c = db.collection("renamed")
+    try:
+        db.migrate([migrate.Migration(2, 3).on("renamed", migrate.Rename("taken"))], 3)
+    except ConstraintError:
+        pass
+    state = "|".join([c.name, *[i.name for i in c.indexes()]]) if db.collection("taken").size() == 1 else "overwritten"
+    return c.find().select("_id", "label", "region", F.lit(state).alias("state"))
+
+
+@_register("store_mixed_kinds", "SELECT * FROM (VALUES (2::BIGINT, '5', 1::BIGINT), (3, '7.5', 2), (4, '9', 3)) t(_id, v, place)")
+def _mixed(spark, sf_dir):
+    """Integers, floats, texts and null in one field: numbers by size, an integer before an equal float."""
+    c = _database(spark).collection("c")
+    c.insert([{"_id": 1, "v": None}])
+    c.insert([{"_id": 2, "v": 5}, {"_id": 4, "v": 9}])
+    c.insert([{"_id": 3, "v": 7.5}, {"_id": 6, "v": 4.0}])
+    c.insert([{"_id": 5, "v": "text"}, {"_id": 7, "v": True}])
+    node = and_(field_("v").gte(5), field_("v").lt(9.5), not_(field_("v").eq(9.0)), field_("v").not_in_array(["text"]))
+    found = c.find(node, order_by("v"))
+    return _ranked(found, "_id", F.to_json("v").alias("v"))
+
+
+@_register("change_log_counts", "SELECT 'insert' AS kind, count(*)::BIGINT + 1 AS n, 600::BIGINT AS last_id FROM nation UNION ALL SELECT 'update', count(*), max(n_nationkey)::BIGINT FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'remove', count(*), max(n_nationkey)::BIGINT FROM nation WHERE n_regionkey = 3")
 def _changes(spark, sf_dir):
-    log = _t(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.col("event_type").alias("kind"))
-    return changes.summary(log)
+    db = _database(spark)
+    db.change_log().count()
+    c = _nations(spark, sf_dir, db)
+    c.insert([{"_id": 600, "name": "x"}])
+    c.update(field_("region").eq(2), {"name": "y"})
+    c.remove(field_("region").eq(3))
+    return changes.summary(db.change_log())
+
+
+@_register("change_log_replay", "SELECT n_nationkey::BIGINT AS _id, CASE WHEN n_regionkey = 2 THEN 'y' ELSE n_name END AS name, CASE WHEN n_regionkey = 2 THEN 'update' WHEN n_regionkey = 3 THEN 'remove' ELSE 'insert' END AS kind FROM nation")
+def _replay(spark, sf_dir):
+    """The last event of each document, with what it held."""
+    db = _database(spark)
+    c = _nations(spark, sf_dir, db)
+    c.update(field_("region").eq(2), {"name": "y"})
+    c.remove(field_("region").eq(3))
+    last = changes.latest(db.change_log())
+    return last.select("_id", F.get_json_object("document", "$.name").alias("name"), "kind")
+
+
+@_register("repository_join", "SELECT r_name AS name, list_aggregate(list_sort(list(n_name)), 'string_agg', ',') AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def _repository_join(spark, sf_dir):
+    """Typed repositories joined by key: each region with its nations, as a projection."""
+    db = _database(spark)
+    regions, nations = Repository(db, _Region), Repository(db, _Nation)
+    regions.collection.insert(_t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("key"), F.col("r_name").alias("name")))
+    nations.collection.insert(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region")))
+    joined = regions.join(regions.find(), nations.find(), "key", "region", "nations")
+    return joined.select("name", F.array_join(F.array_sort(F.transform("nations", lambda n: n["name"])), ",").alias("nations"))
+
+
+@entity(name="region", id_field="key")
+class _Region:
+    key: int
+    name: str
+
+
+@entity(name="nation", id_field="key", indexes=(("non_unique", ("region",)),))
+class _Nation:
+    key: int
+    name: str
+    region: int
+
+
+@_register("rag_store", "SELECT n_name AS text FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 2 ORDER BY abs(n_nationkey - 3), n_nationkey LIMIT 3")
+def _rag_store(spark, sf_dir):
+    """Chunks added, one deleted, filtered by metadata and searched."""
+    from .operators.rag import RagStore
+
+    store = RagStore(_database(spark).collection("rag"), 2, "euclidean")
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows
+    ids = store.add_many([(r["n_name"], [float(r["n_nationkey"]), 0.0], {"region": r["n_regionkey"]}) for r in rows])
+    store.delete(ids[2])
+    return store.search([3.0, 0.0], 3).filter(field_("region").eq(1)).run().select("text")
+
+
+# Geometry text, lines, rings with holes and layouts.
+@_register("wkt_points", f"SELECT _id, x, y FROM {_POINTS}")  # noqa: S608
+def _wkt(spark, sf_dir):
+    told = _points(spark, sf_dir).select("_id", F.concat(F.lit("POINT ("), F.col("at.x").cast("string"), F.lit(" "), F.col("at.y").cast("string"), F.lit(")")).alias("t"))
+    at = F.get(F.flatten("g.parts"), F.lit(0))
+    return told.select("_id", geotext.from_wkt(F.col("t")).alias("g")).select("_id", at["x"].alias("x"), at["y"].alias("y"))
+
+
+@_register("geojson_boxes", f"SELECT _id, x - 1 AS min_x, y AS min_y, x + 2 AS max_x, y + 3 AS max_y FROM {_POINTS}")  # noqa: S608
+def _geojson(spark, sf_dir):
+    pair = lambda dx, dy: F.concat(F.lit("["), (F.col("at.x") + dx).cast("string"), F.lit(","), (F.col("at.y") + dy).cast("string"), F.lit("]"))
+    told = F.concat(F.lit('{"type":"LineString","coordinates":['), pair(-1, 0), F.lit(","), pair(2, 3), F.lit("]}"))
+    return _points(spark, sf_dir).select("_id", geotext.box(geotext.from_geojson(told)).alias("b")).select("_id", "b.*")
+
+
+@_register("wkt_multi_boxes", f"SELECT _id, least(x, 0) AS min_x, least(y, 0) AS min_y, greatest(x, 1) AS max_x, greatest(y, 1) AS max_y FROM {_POINTS}")  # noqa: S608
+def _multi(spark, sf_dir):
+    """The box of several points, or of several lines, is that of all of them."""
+    at = F.concat(F.col("at.x").cast("string"), F.lit(" "), F.col("at.y").cast("string"))
+    points, lines = F.concat(F.lit("MULTIPOINT ("), at, F.lit(", 0 0, 1 1)")), F.concat(F.lit("MULTILINESTRING ((0 0, 1 1), ("), at, F.lit(", 1 0))"))
+    told = _points(spark, sf_dir).select("_id", F.when(F.col("_id") % 2 == 0, points).otherwise(lines).alias("t"))
+    return told.select("_id", geotext.box(geotext.from_wkt(F.col("t"))).alias("b")).select("_id", "b.*")
+
+
+@_register("line_strings", f"SELECT _id, round(sqrt(x * x + y * y) + sqrt((x - 3) * (x - 3) + (y - 4) * (y - 4)), 6) AS length, _id % 2 = 0 AS closed, least(x, y) <= 0 AND greatest(x, y) >= 0 AS crosses FROM {_POINTS} WHERE x <> y")  # noqa: S608
+def _lines(spark, sf_dir):
+    """From the origin by a point to (3, 4); rings, of which half return to their start; a piece of the diagonal against the other one."""
+    pair = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.col("at.x"), F.col("at.y")
+    line = F.array(pair(F.lit(0), F.lit(0)), pair(x, y), pair(F.lit(3), F.lit(4)))
+    ring = F.array(pair(x, y), pair(F.lit(0), F.lit(0)), pair(F.lit(3), F.lit(4)), pair(x + F.col("_id") % 2, y))
+    piece, other = F.array(pair(x, x), pair(y, y)), F.array(pair(F.lit(-1000), F.lit(1000)), pair(F.lit(1000), F.lit(-1000)))
+    rows = _points(spark, sf_dir).filter(x != y)
+    return rows.select("_id", F.round(spatial.line_length(line), 6).alias("length"), spatial.line_is_closed(ring).alias("closed"), spatial.lines_intersect(piece, other).alias("crosses"))
+
+
+@_register("polygon_with_holes", f"SELECT _id FROM {_POINTS} WHERE {_ring_sql()} AND NOT (x BETWEEN -10 AND 30 AND y BETWEEN -20 AND 10)")  # noqa: S608
+def _holes(spark, sf_dir):
+    pairs = lambda ring: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    hole = F.array(pairs([(-10.5, -20.5), (30.5, -20.5), (30.5, 10.5), (-10.5, 10.5)]))
+    return _points(spark, sf_dir).filter(spatial.with_holes_contains(F.col("at.x"), F.col("at.y"), pairs(_RING), hole)).select("_id")
+
+
+@_register("bounding_boxes", f"SELECT _id % 10 AS g, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM {_POINTS} GROUP BY 1")  # noqa: S608
+def _bounds(spark, sf_dir):
+    grouped = _points(spark, sf_dir).groupBy((F.col("_id") % 10).alias("g")).agg(F.collect_list("at").alias("ps"))
+    return grouped.select("g", spatial.bounds(F.col("ps")).alias("b")).select("g", "b.*")
+
+
+@_register("hilbert_neighbours", "SELECT count(*)::BIGINT AS cells, count(*)::BIGINT - 1 AS steps FROM range(4096)")
+def _hilbert(spark, sf_dir):
+    """A 64 by 64 grid in the curve's order: every cell once, each next to the one before."""
+    grid = spark.range(4096).select((F.col("id") % 64).cast("double").alias("x"), F.floor(F.col("id") / 64).cast("double").alias("y"))
+    at = grid.select("x", "y", spatial.hilbert_index(F.col("x"), F.col("y"), (0.0, 0.0, 63.0, 63.0), 6).alias("d"))
+    near = at.alias("a").join(at.alias("b"), F.col("b.d") == F.col("a.d") + 1).select((F.abs(F.col("a.x") - F.col("b.x")) + F.abs(F.col("a.y") - F.col("b.y"))).alias("step"))
+    return near.agg(F.sum((F.col("step") == 1).cast("bigint")).alias("steps")).crossJoin(at.agg(F.count_distinct("d").alias("cells"))).select("cells", "steps")
 
 
 def queries() -> dict[str, Query]:

@@ -1,14 +1,20 @@
 """A database of document collections in a folder that Spark can read.
 
-Rows lie in Parquet folders that never change; a manifest names the folders of
-each collection, and creating the next manifest file is the one commit point, for
-one collection or many. Inserts add a folder, other writes replace a collection's
-folders, `compact` merges them. Writers are optimistic: the second of two that
-start from one version fails and may try again.
+Rows lie in Parquet folders, the parts, that never change; a manifest names the
+parts of each collection, and putting the next manifest file in its place is the
+one commit point, for one collection or many. Inserts add a part, updates and
+removals replace the parts that hold matches, `compact` merges all. Writers are
+optimistic: the second of two that start from one version reads the newest one and
+does its write again, a few times.
+
+Text indexes are tables beside each part. A commit's change events are written
+before it and named by its manifest, so the events of a driver that was lost after
+the commit are delivered by whoever opens the database next.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import uuid
@@ -16,18 +22,27 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import resolve
+from ..functions.spatial import Stored, hilbert_index
 from ..operators import migrate as M
 from ..operators import write as W
 from ..operators.write import ConstraintError
-from ..plans.filters import Filter, all_, by_id, field_
+from . import schema as S
+from .indexers import INDEXERS
+from .shared import scratch
+from ..plans.filters import All, Filter, all_, by_id, field_
 from ..plans.find import Context, FindOptions, find
 from ..streaming import changes
 
 RESERVED = "|>"
+#: How often a write that met another writer is done again.
+TRIES = 5
+#: Manifests that `compact` keeps, and how old in seconds a part that none names must be to go.
+KEPT_VERSIONS, GRACE_S = 20, 24 * 3600
 _EPOCH_MS = 1_288_834_974_657
 REPLICATOR = "replicator"
 
@@ -38,7 +53,7 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Index:
-    kind: str  # unique, non_unique, full_text, spatial, fts, vector
+    kind: str  # unique, non_unique, spatial, vector, or one of INDEXERS
     fields: list[str]
     options: dict[str, Any] = field(default_factory=dict)
 
@@ -53,6 +68,8 @@ class Meta:
 
     parts: list[str] = field(default_factory=list)
     schema: str | None = None
+    #: Schemas of parts whose types differ from the collection's.
+    narrow: dict[str, str] = field(default_factory=dict)
     indexes: list[dict[str, Any]] = field(default_factory=list)
     attributes: dict[str, Any] = field(default_factory=dict)
     entity: str | None = None
@@ -63,7 +80,7 @@ class _Files:
     """The few file operations that aren't a DataFrame's."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.spark, self.jvm, self.root = spark, spark._jvm, root.rstrip("/")
         self.fs = self.jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str):
@@ -81,17 +98,32 @@ class _Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file that must not exist; False if it does."""
+        """Put a file in its place, whole or not at all; False if there is one."""
+        aside = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self.fs.create(aside, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        hadoop = self.jvm.org.apache.hadoop.fs
         try:
-            stream = self.fs.create(self.path(name), False)
+            options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+            options[0] = getattr(hadoop, "Options$Rename").NONE
+            hadoop.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(aside, self.path(name), options)
         except Exception as e:  # the JVM's exception of an existing file
+            self.fs.delete(aside, False)
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
+    def move(self, name: str, to: str) -> None:
+        """Move a file unless it is gone or there already."""
+        if self.fs.exists(self.path(name)):
+            self.fs.mkdirs(self.path(to).getParent())
+            self.fs.rename(self.path(name), self.path(to))
+
+    def age_s(self, name: str) -> float:
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -109,17 +141,49 @@ class Database:
         self.processors: dict[str, list[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]]] = {}
         self.closed = False
         self.pending: list[tuple[str, DataFrame, str, str]] | None = None
-        versions = self.files.names("manifest")
-        if versions:
-            self.version = max(int(v.split(".")[0]) for v in versions if v.endswith(".json") and not v.startswith("."))
-            self.state = json.loads(self.files.read(f"manifest/{self.version:020d}.json"))
-        else:
+        if not self.refresh():
             self.version = -1
             self.state = {"created_ms": W.now_ms(), "schema_version": 1, "collections": {}}
-            self._publish(self.state)
+            try:
+                self._publish(self.state)
+            except Conflict:  # another writer made the database meanwhile
+                self.refresh()
         self._last_id = 0
         self._told("opened")
 
+    def _versions(self) -> list[int]:
+        return sorted(int(v.split(".")[0]) for v in self.files.names("manifest") if v.endswith(".json") and v.split(".")[0].isdigit())
+
+    def refresh(self) -> bool:
+        """Go to the newest version; False if there is none."""
+        versions = self._versions()
+        if versions:
+            self.version = versions[-1]
+            self.state = json.loads(self.files.read(f"manifest/{self.version:020d}.json"))
+            self._deliver()
+        return bool(versions)
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Database:
+        """A database that goes when the application ends."""
+        return cls(spark, scratch(spark))
+
+    def load(self, *modules: Callable[[Database], None]) -> Database:
+        """Run modules on this database: functions that register indexers, tokenizers, processors or listeners."""
+        for module in modules:
+            module(self)
+        return self
+
+    def is_closed(self) -> bool:
+        return self.closed
+
+    def has_unsaved_changes(self) -> bool:
+        """Writes are committed as they are made, so only a transaction has any."""
+        return bool(self.pending)
+
+    def config(self) -> dict[str, Any]:
+        return {"root": self.root, "separator": self.separator, "tries": TRIES, "kept_versions": KEPT_VERSIONS}
+
     # Catalog.
     def meta(self, name: str) -> Meta:
         return Meta(**self.state["collections"].get(name, asdict(Meta())))
@@ -157,30 +221,58 @@ class Database:
             raise Conflict(f"version {self.version + 1} exists")
         self.version += 1
         self.state = state
-
-    def commit(self, changed: dict[str, Meta | None], **more: Any) -> None:
-        """Replace the entries of some collections, all at once."""
+        self._deliver()
+
+    def _deliver(self) -> None:
+        """Move the events of this version's commit to the change log, if they aren't there."""
+        for events in self.state.get("events", []):
+            for name in self.files.names(f"events/{events}"):
+                if name.startswith("part-"):
+                    self.files.move(f"events/{events}/{name}", f"changes/{events}-{name}")
+            self.files.delete(f"events/{events}")
+
+    def commit(self, changed: dict[str, Meta | None], events: list[str] | None = None, **more: Any) -> None:
+        """Replace the entries of some collections, all at once; `events`: folders of change events that become visible with it."""
         if self.closed:
             raise RuntimeError("the database is closed")
+        self._deliver()
         collections = dict(self.state["collections"])
         for name, meta in changed.items():
             if meta is None:
                 collections.pop(name, None)
             else:
                 collections[name] = asdict(meta)
-        self._publish({**self.state, "collections": collections, **more})
+        self._publish({**self.state, "collections": collections, "events": events or [], **more})
         self._told("commit")
 
-    def compact(self) -> None:
-        """Merge each collection's folders and delete the ones that no manifest of this version names."""
+    def retried(self, write: Callable[[], Any]) -> Any:
+        """A write on the newest version, done again as long as another writer comes first; in a transaction on the version that it began with."""
+        for left in range(TRIES - 1, -1, -1):
+            if self.pending is None:
+                self.refresh()
+            try:
+                return write()
+            except Conflict:
+                if not left or self.pending is not None:
+                    raise
+
+    def compact(self, keep: int = KEPT_VERSIONS, grace_s: float = GRACE_S) -> None:
+        """Merge each collection's parts; drop all manifests but the last `keep`, and parts that none of these names and that are older than `grace_s`."""
+        self.refresh()
         for name in list(self.state["collections"]):
             c = self.collection(name)
-            if len(c.meta.parts) > 1:
-                c.replace(c.raw())
-        live = {p for m in self.state["collections"].values() for p in m["parts"]}
-        for part in self.files.names("data"):
-            if part not in live:
-                self.files.delete(f"data/{part}")
+            self.retried(lambda c=c: c.replace(c.raw()) if len(c.meta.parts) > 1 else None)
+        versions = self._versions()
+        for v in versions[:-keep] if keep else []:
+            self.files.delete(f"manifest/{v:020d}.json")
+        live = set()
+        for v in versions[-keep:]:
+            state = json.loads(self.files.read(f"manifest/{v:020d}.json"))
+            live |= {p for m in state["collections"].values() for p in m["parts"]}
+        for folder in ("data", "index"):
+            for part in self.files.names(folder):
+                if part not in live and self.files.age_s(f"{folder}/{part}") >= grace_s:
+                    self.files.delete(f"{folder}/{part}")
 
     def close(self) -> None:
         self.closed = True
@@ -203,6 +295,8 @@ class Database:
         return Transaction(self)
 
     def change_log(self) -> DataFrame:
+        if not self.files.names("changes"):
+            return self.spark.createDataFrame([], changes.SCHEMA)
         return changes.read(self.spark, f"{self.root}/changes")
 
     def migrate(self, migrations: list[M.Migration], to: int) -> None:
@@ -238,6 +332,8 @@ class Database:
             elif isinstance(s, M.Drop):
                 self.destroy(name)
             elif isinstance(s, M.Rename):
+                if self.has_collection(s.new):
+                    raise ConstraintError(f"a collection {s.new} exists")
                 self.commit({s.new: c.meta, name: None})
                 c = self.collection(s.new)
 
@@ -253,12 +349,21 @@ class Collection:
         return self.db.meta(self.name)
 
     # Reading.
-    def raw(self) -> DataFrame:
+    def schema(self) -> T.StructType:
         meta = self.meta
-        if not meta.parts:
-            return self.db.spark.createDataFrame([], T.StructType([T.StructField("_id", T.LongType())]))
-        schema = T.StructType.fromJson(json.loads(meta.schema))
-        return self.db.spark.read.schema(schema).parquet(*[f"{self.db.root}/data/{p}" for p in meta.parts])
+        return T.StructType.fromJson(json.loads(meta.schema)) if meta.schema else T.StructType([T.StructField("_id", T.LongType())])
+
+    def raw(self, parts: list[str] | None = None) -> DataFrame:
+        """The stored rows, of some parts or all."""
+        meta, spark, schema = self.meta, self.db.spark, self.schema()
+        parts = meta.parts if parts is None else parts
+        path = lambda p: f"{self.db.root}/data/{p}"
+        plain = [p for p in parts if p not in meta.narrow]
+        frames = [spark.read.schema(schema).parquet(*map(path, plain))] if plain else []
+        for p in parts:
+            if p in meta.narrow:
+                frames.append(S.aligned(spark.read.schema(T.StructType.fromJson(json.loads(meta.narrow[p]))).parquet(path(p)), schema))
+        return functools.reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
     def frame(self) -> DataFrame:
         """The rows as readers see them, after the read processors."""
@@ -267,10 +372,22 @@ class Collection:
             out = after(out)
         return out
 
+    def index_tables(self, fields: list[str]) -> Any:
+        """What queries ask of an index that has tables beside each part."""
+        return self._opened(next(i for i in self.indexes() if i.fields == fields and i.kind in INDEXERS))
+
+    def _opened(self, index: Index) -> Any:
+        return INDEXERS[index.kind].open(self.db.spark, [self._index_path(p, index) for p in self.meta.parts], index.options)
+
     def context(self) -> Context:
-        full = frozenset(f for i in self.indexes() if i.kind == "full_text" for f in i.fields)
-        metrics = {i.fields[0]: i.options.get("metric", "cosine") for i in self.indexes() if i.kind == "vector"}
-        return Context("_id", self.db.separator, full, "_fields" if "_fields" in self.raw().columns else None, metrics)
+        indexes = self.indexes()
+        full = frozenset(f for i in indexes if i.kind == "full_text" for f in i.fields)
+        metrics = {i.fields[0]: i.options.get("metric", "cosine") for i in indexes if i.kind.startswith("vector")}
+        tables: dict[str, dict[str, Any]] = {"text": {}, "vector": {}}
+        for i in indexes:
+            if i.kind in INDEXERS and len(i.fields) == 1 and self.meta.parts:
+                tables[INDEXERS[i.kind].slot][i.fields[0]] = self._opened(i)
+        return Context("_id", self.db.separator, full, "_fields" if "_fields" in self.schema().names else None, metrics, tables["text"], tables["vector"])
 
     def find(self, node: Filter | None = None, options: FindOptions | None = None) -> DataFrame:
         rows = self.raw()
@@ -309,9 +426,9 @@ class Collection:
             items = [documents] if isinstance(documents, dict) else documents
             ids = iter(self.db.next_ids(len(items)))
             items = [{"_id": next(ids)} | d for d in items]
-            names = list(dict.fromkeys(k for d in items for k in d if k != "_source"))
-            made = [{n: d.get(n) for n in names} | {"_fields": W.leaf_paths({k: v for k, v in d.items() if not k.startswith("_")}, separator=self.db.separator)} for d in items]
-            rows = spark.createDataFrame(made, _schema_of(made, self.raw().schema))
+            names = [n for n in dict.fromkeys(k for d in items for k in d) if n != "_source"]
+            made = [d | {"_fields": W.leaf_paths({k: v for k, v in d.items() if not k.startswith("_")}, separator=self.db.separator)} for d in items]
+            rows = S.frame(spark, made, [*names, "_fields"])
         rows = rows.drop("_source")
         if source != REPLICATOR:
             rows = rows.withColumns({"_revision": F.lit(1), "_modified": F.lit(W.now_ms())})
@@ -322,34 +439,74 @@ class Collection:
     def insert(self, documents: list[dict[str, Any]] | dict[str, Any] | DataFrame, source: str | None = None) -> list[int]:
         """Add documents; the ids, for a DataFrame none. All or nothing."""
         part = self._write(self._prepared(documents, source))
-        fresh = self._read_part(part)
-        self._check(fresh)
-        meta = self.meta
-        schema = self._widened(fresh.schema)
-        meta.parts, meta.schema = [*meta.parts, part], schema.json()
-        self.db.commit({self.name: meta})
-        self._log(fresh, "insert", source)
-        return [] if isinstance(documents, DataFrame) else [r[0] for r in fresh.select("_id").collect()]  # as many as were given
+
+        def write() -> None:
+            fresh = self._read_part(part)
+            self._check(fresh)
+            meta, schema = self._with_part(self.meta, part, fresh.schema)
+            meta.parts = [*meta.parts, part]
+            self._commit(meta, [(S.aligned(fresh, schema), "insert")], source)
+
+        self.db.retried(write)
+        return [] if isinstance(documents, DataFrame) else [r[0] for r in self._read_part(part).select("_id").collect()]  # as many as were given
+
+    def _touched(self, node: Filter) -> list[str]:
+        """The parts that hold matches."""
+        parts = self.meta.parts
+        if len(parts) < 2:
+            return parts
+        rows = functools.reduce(DataFrame.unionByName, [self.raw([p]).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+        hit = rows.filter(W.matching(rows, node, self.context().present)).select("_part").distinct().collect()  # a number for each part at most
+        return [parts[i] for i in sorted(r[0] for r in hit)]
+
+    def _rewrite(self, touched: list[str], rows: DataFrame) -> tuple[str, DataFrame, list[str]]:
+        """Rows written in place of some parts: the new part, its rows, and the parts that stay."""
+        part = self._write(rows)
+        return part, self._read_part(part), [p for p in self.meta.parts if p not in touched]
 
     def update(self, node: Filter, document: dict[str, Any], just_once: bool = False, insert_if_absent: bool = False, source: str | None = None) -> int:
         """Merge a document into the matching ones; how many there were."""
-        rows = self.raw()
-        hits = rows.filter(W.matching(rows, node, self.context().present)).select("_id")
-        n = min(hits.count(), 1 if just_once else 1 << 62)
-        if n == 0:
-            if insert_if_absent:
-                self.insert({k: v for k, v in document.items() if k != "_id"}, source)
-                return 1
-            return 0
-        before = rows
-        out = W.merged(rows, node, document, just_once, present=self.context().present)
-        part = self._write(out)
-        fresh = self._read_part(part)
-        self._check_unique(fresh)
-        self._replace_with(part, fresh)
-        self._log(fresh.join(before.select(F.col("_id").alias("_old"), F.col("_revision").alias("_rev")), F.col("_id") == F.col("_old")).filter("_revision > _rev").drop("_old", "_rev"), "update", source)
+        changes_ = {k: v for k, v in document.items() if k not in ("_id", "_revision", "_modified", "_source")}
+
+        def write() -> int:
+            touched = self._touched(node)
+            rows = self.raw(touched)
+            hits = rows.filter(W.matching(rows, node, self.context().present))
+            n = hits.count() if touched else 0
+            if not n:
+                return 0
+            if just_once:
+                first = hits.agg(F.min("_id")).first()[0]
+                target: Filter = by_id(first)
+                touched, n = self._touched(target), 1
+                rows = self.raw(touched)
+            else:
+                target = node
+            if not changes_:
+                return n
+            # Values of a new kind widen their columns first.
+            wide = S.merge_rows(rows.schema, T.StructType([T.StructField(k, S.type_of([v])) for k, v in changes_.items() if not isinstance(v, Column)]))
+            rows = S.aligned(rows, wide)
+            before = rows.filter(W.matching(rows, target, self.context().present)).select(F.col("_id").alias("_hit_id"))
+            part, fresh, kept = self._rewrite(touched, W.merged(rows, target, document, present=self.context().present))
+            meta, schema = self._with_part(self.meta, part, fresh.schema, kept)
+            self._check_unique(fresh, self.raw(kept) if kept else None)
+            changed = S.aligned(fresh, schema).join(before, F.col("_id") == F.col("_hit_id"), "left_semi")
+            self._commit(meta, [(changed, "update")], source)
+            return n
+
+        n = self.db.retried(write)
+        if not n and insert_if_absent:
+            return len(self.insert({k: v for k, v in document.items() if k != "_id"}, source))
         return n
 
+    def update_with_ids(self, node: Filter, document: dict[str, Any], just_once: bool = False) -> list[int]:
+        """As `update`; the ids of the documents that it changed, for a bounded number of them."""
+        rows = self.raw()
+        ids = sorted(r[0] for r in rows.filter(W.matching(rows, node, self.context().present)).select("_id").collect())
+        ids = ids[:1] if just_once else ids
+        return ids if self.update(field_("_id").in_array(ids), document) else []
+
     def update_one(self, document: dict[str, Any], insert_if_absent: bool = False) -> int:
         if document.get("_id") is None:
             if insert_if_absent:
@@ -362,16 +519,27 @@ class Collection:
         return self.update_one({**document, "_id": id_}, insert_if_absent)
 
     def remove(self, node: Filter, just_once: bool = False, source: str | None = None) -> int:
-        rows = self.raw()
-        out = W.removed(rows, node, just_once)
-        part = self._write(out)
-        fresh = self._read_part(part)
-        gone = rows.join(fresh.select(F.col("_id").alias("_kept")), F.col("_id") == F.col("_kept"), "left_anti")
-        n = rows.count() - fresh.count()
-        if n:
-            self._replace_with(part, fresh)
-            self._log(gone.withColumn("_revision", F.col("_revision") + 1) if "_revision" in gone.columns else gone, "remove", source)
-        return n
+        if just_once and isinstance(node, All):
+            raise ConstraintError("removing one of all rows is not defined")
+
+        def write() -> int:
+            touched = self._touched(node)
+            rows = self.raw(touched)
+            hit = W.matching(rows, node, self.context().present)
+            if just_once and touched:
+                first = rows.filter(hit).agg(F.min("_id")).first()[0]
+                hit = F.col("_id").eqNullSafe(F.lit(first))
+                touched = self._touched(by_id(first)) if first is not None else []
+                rows = self.raw(touched)
+            gone = rows.filter(hit)
+            n = gone.count() if touched else 0
+            if n:
+                part, fresh, kept = self._rewrite(touched, rows.filter(~hit))
+                meta, _ = self._with_part(self.meta, part, fresh.schema, kept)
+                self._commit(meta, [(gone.withColumn("_revision", F.col("_revision") + 1) if "_revision" in gone.columns else gone, "remove")], source)
+            return n
+
+        return self.db.retried(write)
 
     def remove_one(self, document: dict[str, Any]) -> int:
         if document.get("_id") is None:
@@ -379,19 +547,25 @@ class Collection:
         return self.remove(by_id(document["_id"]))
 
     def clear(self) -> None:
-        meta = self.meta
-        meta.parts = []
-        self.db.commit({self.name: meta})
+        def write() -> None:
+            meta = self.meta
+            meta.parts, meta.narrow = [], {}
+            self.db.commit({self.name: meta})
+
+        self.db.retried(write)
 
     def drop(self) -> None:
-        self.db.destroy(self.name)
+        self.db.retried(lambda: self.db.destroy(self.name))
+
+    dispose = drop
 
     def replace(self, rows: DataFrame) -> None:
         """Other rows in place of all."""
-        part = self._write(rows)
-        self._replace_with(part, self._read_part(part))
+        part, fresh, _ = self._rewrite(self.meta.parts, rows)
+        meta, _ = self._with_part(self.meta, part, fresh.schema, [])
+        self.db.commit({self.name: meta})
 
-    # Indexes are constraints and entries of the catalog; layout serves reads.
+    # A text index is a table beside each part; others are constraints and entries of the catalog, and layout serves reads.
     def indexes(self) -> list[Index]:
         return [Index(**i) for i in self.meta.indexes]
 
@@ -406,9 +580,17 @@ class Collection:
                 return
         if kind == "unique" and not W.violations(self.raw(), fields).isEmpty():
             raise ConstraintError(f"{fields} is not unique")
-        meta = self.meta
-        meta.indexes = [*meta.indexes, asdict(Index(kind, fields, options))]
-        self.db.commit({self.name: meta})
+        index = Index(kind, fields, options)
+        self._event("index_start", None, None)
+
+        def write() -> None:
+            for part in self.meta.parts if kind in INDEXERS else ():
+                self._index(part, index)
+            meta = self.meta
+            meta.indexes = [*meta.indexes, asdict(index)]
+            self.db.commit({self.name: meta})
+
+        self.db.retried(write)
         self._event("index_end", None, None)
 
     def drop_index(self, fields: list[str]) -> None:
@@ -424,10 +606,27 @@ class Collection:
         rows = self.raw()
         if index.kind == "unique" and not W.violations(rows, fields).isEmpty():
             raise ConstraintError(f"{fields} is not unique")
-        plain = [f for f in fields if f in rows.columns]
-        self.replace(rows.repartitionByRange(*[F.col(f) for f in plain]).sortWithinPartitions(*plain) if plain else rows)
+        self._event("index_start", None, None)
+        self.db.retried(lambda: self.replace(self._laid_out(index, self.raw())))
         self._event("index_end", None, None)
 
+    def _laid_out(self, index: Index, rows: DataFrame) -> DataFrame:
+        """Rows in ranges of the index's fields, of places along a Hilbert curve, so that files and row groups hold neighbours."""
+        found = [f for f in (resolve(rows.schema, f, separator=self.db.separator) for f in index.fields) if f.known]
+        keys = [f.column for f in found if not isinstance(f.type, (T.ArrayType, T.MapType, T.VariantType, T.StructType))]
+        place = Stored.of(found[0].column, found[0].type) if index.kind == "spatial" and found else None
+        if place is not None:
+            x, y = (place.min_x + place.max_x) / 2, (place.min_y + place.max_y) / 2
+            box = rows.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+            if None in box:
+                return rows
+            keys = [hilbert_index(x, y, tuple(box))]
+        if not keys:
+            return rows
+        names = [f"_key{i}" for i in range(len(keys))]
+        keyed = rows.withColumns(dict(zip(names, keys, strict=True)))
+        return keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+
     # Events.
     def subscribe(self, listener: Callable[[dict[str, Any]], None]) -> Callable[[dict[str, Any]], None]:
         self.db.listeners.setdefault(self.name, []).append(listener)
@@ -436,55 +635,84 @@ class Collection:
     def unsubscribe(self, listener: Callable[[dict[str, Any]], None]) -> None:
         self.db.listeners.get(self.name, []).remove(listener)
 
-    def _event(self, kind: str, source: str | None, rows: int | None) -> None:
+    def _event(self, kind: str, source: str | None, rows: DataFrame | None) -> None:
+        """Tell listeners; `rows` is the lazy frame of the items."""
         for f in self.db.listeners.get(self.name, []):
             f({"kind": kind, "collection": self.name, "rows": rows, "at_ms": W.now_ms(), "originator": source or self.name})
 
-    def _log(self, rows: DataFrame, kind: str, source: str | None) -> None:
+    def _commit(self, meta: Meta, events: list[tuple[DataFrame, str]], source: str | None) -> None:
+        """Commit an entry of the catalog with its change events, which lie written before."""
         if self.db.pending is not None:
-            self.db.pending.append((self.name, rows, kind, source or self.name))
+            self.db.commit({self.name: meta})
+            self.db.pending += [(self.name, rows, kind, source or self.name) for rows, kind in events]
             return
+        names = [self.write_events(rows, kind, source) for rows, kind in events]
+        self.db.commit({self.name: meta}, names)
+        for rows, kind in events:
+            self._event(kind, source, rows)
+
+    def write_events(self, rows: DataFrame, kind: str, source: str | None) -> str:
+        name = uuid.uuid4().hex
+        shown = [c for c in rows.columns if c != "_fields"]
         log = rows.select(
             F.lit(time.time_ns()).alias("seq"), F.lit(self.name).alias("collection"), F.lit(kind).alias("kind"), "_id",
-            F.to_json(F.struct(*[c for c in rows.columns if c != "_fields"])).alias("document"),
+            F.to_json(F.struct(*[F.col(f"`{c}`") for c in shown])).alias("document"),
             F.lit(W.now_ms()).alias("at_ms"), F.lit(source or self.name).alias("originator"),
         )
-        changes.append(log, f"{self.db.root}/changes")
-        self._event(kind, source, None)
+        changes.append(log, f"{self.db.root}/events/{name}")
+        return name
 
     # Parts.
     def _write(self, rows: DataFrame) -> str:
+        """A new part with its text indexes."""
         part = uuid.uuid4().hex
         rows.write.option("compression", "zstd").parquet(f"{self.db.root}/data/{part}")
+        for index in self.indexes():
+            if index.kind in INDEXERS:
+                self._index(part, index)
         return part
 
+    def _index_path(self, part: str, index: Index) -> str:
+        return f"{self.db.root}/index/{part}/{uuid.uuid5(uuid.NAMESPACE_OID, index.name).hex}"
+
+    def _index(self, part: str, index: Index) -> None:
+        if not self.db.files.names(f"index/{part}/{self._index_path(part, index).rpartition('/')[2]}"):
+            INDEXERS[index.kind].build(self._read_part(part), index.fields[0], "_id", self._index_path(part, index), index.options)
+
     def _read_part(self, part: str) -> DataFrame:
         return self.db.spark.read.parquet(f"{self.db.root}/data/{part}")
 
-    def _replace_with(self, part: str, fresh: DataFrame) -> None:
-        meta = self.meta
-        meta.parts, meta.schema = [part], fresh.schema.json()
-        self.db.commit({self.name: meta})
-
-    def _widened(self, fresh: T.StructType) -> T.StructType:
-        if not self.meta.parts:
-            return fresh
-        old = self.raw().schema
-        merged = self.raw().limit(0).unionByName(self.db.spark.createDataFrame([], fresh), allowMissingColumns=True).schema
-        for f in fresh.fields:
-            if f.name in old.names and old[f.name].dataType != f.dataType:
-                raise ConstraintError(f"{f.name} is {old[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
-        return merged
+    def _with_part(self, meta: Meta, part: str, stored: T.StructType, kept: list[str] | None = None) -> tuple[Meta, T.StructType]:
+        """`meta` with types that hold a new part's; with `kept`, of these parts and the new one."""
+        old = self.schema() if meta.schema and (kept is None or kept) else stored
+        schema = S.merge_rows(old, stored)
+        narrow = dict(meta.narrow)
+        for p in meta.parts if kept is None else kept:
+            if p not in narrow and not S.readable_as(old, schema):
+                narrow[p] = old.json()
+        if not S.readable_as(stored, schema):
+            narrow[part] = stored.json()
+        if kept is not None:
+            meta.parts = [*kept, part]
+            narrow = {p: x for p, x in narrow.items() if p in meta.parts}
+        meta.schema, meta.narrow = schema.json(), narrow
+        return meta, schema
 
     def _check(self, fresh: DataFrame) -> None:
         ids = fresh.groupBy("_id").count().filter("count > 1 OR _id IS NULL")
         if not ids.isEmpty():
             raise ConstraintError("two documents have one id")
-        if self.meta.parts and not fresh.select("_id").join(self.raw().select(F.col("_id").alias("_old")), F.col("_id") == F.col("_old"), "left_semi").isEmpty():
+        if not self.meta.parts:
+            return self._check_unique(fresh)
+        old = self.raw()
+        if not fresh.select("_id").join(old.select(F.col("_id").alias("_old")), F.col("_id") == F.col("_old"), "left_semi").isEmpty():
             raise ConstraintError("a document with this id exists")
-        self._check_unique(fresh, self.raw() if self.meta.parts else None)
+        return self._check_unique(fresh, old)
 
     def _check_unique(self, fresh: DataFrame, old: DataFrame | None = None) -> None:
+        if old is not None:
+            wide = S.merge_rows(old.schema, fresh.schema)
+            fresh, old = S.aligned(fresh, wide), S.aligned(old, wide)
         for i in self.indexes():
             if i.kind != "unique":
                 continue
@@ -495,39 +723,6 @@ class Collection:
                 raise ConstraintError(f"{i.fields} is not unique")
 
 
-def _schema_of(rows: list[dict[str, Any]], known: T.StructType) -> T.StructType:
-    """A schema for new documents: known fields keep their types, others are inferred; integers are 64 bits wide."""
-    out = []
-    for name in dict.fromkeys(k for r in rows for k in r):
-        if name == "_fields":
-            out.append(T.StructField(name, T.ArrayType(T.StringType())))
-        elif name in known.names:
-            out.append(known[name])
-        else:
-            out.append(T.StructField(name, _type_of([r.get(name) for r in rows])))
-    return T.StructType(out)
-
-
-def _type_of(values: list[Any]) -> T.DataType:
-    import datetime as dt
-
-    values = [v for v in values if v is not None]
-    if not values:
-        return T.StringType()
-    v = values[0]
-    if isinstance(v, dict):
-        keys = list(dict.fromkeys(k for x in values for k in x))
-        return T.StructType([T.StructField(k, _type_of([x.get(k) for x in values])) for k in keys])
-    if isinstance(v, (list, tuple)):
-        return T.ArrayType(_type_of([y for x in values for y in x]))
-    for cls, kind in ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()), (str, T.StringType()), ((bytes, bytearray), T.BinaryType()), (dt.datetime, T.TimestampType()), (dt.date, T.DateType())):
-        if isinstance(v, cls):
-            if not all(isinstance(x, cls) and isinstance(x, bool) == isinstance(v, bool) for x in values):
-                raise ConstraintError("one field holds values of several kinds; use a VARIANT column")
-            return kind
-    raise TypeError(f"no column type for {type(v).__name__}")
-
-
 class Transaction:
     """Writes to any collections that become visible together, or not at all."""
 
@@ -540,7 +735,7 @@ class Transaction:
         self.changed: dict[str, Meta | None] = {}
         self.state = "active"
 
-    def _stage(self, changed: dict[str, Meta | None], **_: Any) -> None:
+    def _stage(self, changed: dict[str, Meta | None], events: list[str] | None = None, **_: Any) -> None:
         if self.state != "active":
             raise RuntimeError(f"the transaction is {self.state}")
         collections = dict(self.db.state["collections"])
@@ -562,10 +757,12 @@ class Transaction:
         if self.base.version != self.db.version:
             self.state = "failed"
             raise Conflict("another writer committed first")
-        self.base.commit(self.changed)
+        told = self.db.pending or []
+        events = [self.base.collection(name).write_events(rows, kind, source) for name, rows, kind, source in told]
+        self.base.commit(self.changed, events)
         self.state = "committed"
-        for name, rows, kind, source in self.db.pending or []:
-            self.base.collection(name)._log(rows, kind, source)
+        for name, rows, kind, source in told:
+            self.base.collection(name)._event(kind, source, rows)
 
     def rollback(self) -> None:
         """Staged folders are left to `compact`."""

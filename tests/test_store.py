@@ -9,8 +9,10 @@ from docspire.operators import migrate as M
 from docspire.operators.rag import RagStore
 from docspire.operators.repository import Repository, entity
 from docspire.plans.filters import FilterError, all_, by_id, field_
-from docspire.plans.find import order_by
+from docspire.plans.find import Context, find, order_by
+from docspire.plans.ranked import nearest
 from docspire.sources.store import Conflict, ConstraintError, Database
+from docspire.sources.vectorindex import VectorIndex
 from docspire.streaming import changes
 
 
@@ -109,14 +111,187 @@ def test_transactions(db):
     db.collection("a").insert([{"_id": 4, "v": 4}])
     with pytest.raises(Conflict):
         late.commit()
+    assert late.state == "failed"
     assert db.collection("a").size() == 3
 
 
 def test_two_writers(spark, db):
+    """A write that met another one is done again on the newest version, constraints included."""
     other = Database(spark, db.root)
+    db.collection("a").create_index(["v"], "unique")
     db.collection("a").insert([{"v": 1}])
-    with pytest.raises(Conflict):
-        other.collection("a").insert([{"v": 2}])
+    other.collection("a").insert([{"v": 2}])
+    db.collection("a").update(field_("v").eq(2), {"v": 3})
+    assert other.collection("a").remove(field_("v").eq(1)) == 1
+    with pytest.raises(ConstraintError):
+        Database(spark, db.root).collection("a").insert([{"v": 3}])
+    db.refresh()
+    assert [r["v"] for r in db.collection("a").find().collect()] == [3]
+    assert {r["kind"]: r["count"] for r in db.change_log().groupBy("kind").count().collect()} == {"insert": 2, "update": 1, "remove": 1}
+
+
+def test_compaction_keeps_what_others_wrote(spark, db):
+    """A stale handle compacts: parts of later versions stay, staged ones are protected by their age, old ones go with their manifests."""
+    db.collection("a").insert([{"_id": 1}])
+    stale = Database(spark, db.root)
+    db.collection("a").insert([{"_id": 2}])
+    t = db.transaction()
+    t.collection("a").insert([{"_id": 3}])
+    stale.compact()
+    assert stale.collection("a").size() == 2 and len(stale.collection("a").meta.parts) == 1
+    db.refresh()
+    assert db.collection("a").size() == 2 and len(db.files.names("data")) == 4
+    db.compact(keep=1, grace_s=0)
+    assert len(db.files.names("data")) == 1 and len(db._versions()) == 1 and Database(spark, db.root).collection("a").size() == 2
+
+
+def test_writers_that_are_lost(spark, db):
+    """Before the manifest is in its place nothing happened; after it, whoever opens the database delivers the events."""
+    c = db.collection("a")
+    c.insert([{"_id": 1}])
+    (stream := db.files.fs.create(db.files.path(f"manifest/{db.version + 1:020d}.json.x.tmp"), True)).close()
+    assert Database(spark, db.root).collection("a").size() == 1
+    real, db._deliver = db._deliver, lambda: None
+    c.insert([{"_id": 2}])
+    assert db.change_log().count() == 1
+    again = Database(spark, db.root)
+    assert again.change_log().count() == 2 and Database(spark, db.root).change_log().count() == 2
+    db._deliver = real
+    db.refresh()
+    c.insert([{"_id": 3}])
+    assert db.change_log().count() == 3 and stream is not None
+
+
+def test_inner_documents_grow(db):
+    c = db.collection("a")
+    assert db.change_log().count() == 0
+    c.insert([{"_id": 1, "at": {"city": "x"}, "tags": []}])
+    c.insert([{"_id": 2, "at": {"zip": 5, "geo": {"lat": 1.5}}, "tags": ["t"]}])
+    c.insert([{"_id": 3, "at": {"geo": {"lon": 2.5}}}])
+    rows = {r["_id"]: r.asDict(recursive=True) for r in c.find().collect()}
+    assert rows[1]["at"] == {"city": "x", "zip": None, "geo": None} and rows[2]["at"] == {"city": None, "zip": 5, "geo": {"lat": 1.5, "lon": None}}
+    assert rows[3]["at"]["geo"] == {"lat": None, "lon": 2.5} and (rows[1]["tags"], rows[2]["tags"], rows[3]["tags"]) == ([], ["t"], None)
+    assert [r["_id"] for r in c.find(field_("at.geo.lat").eq(1.5)).collect()] == [2]
+
+
+def test_values_of_several_kinds(db):
+    """One field with integers, floats, texts, booleans, lists, documents and null, as they come and in one batch."""
+    c = db.collection("a")
+    c.insert([{"_id": 1, "v": None, "n": 1}])
+    c.insert([{"_id": 2, "v": 7, "n": 2}])
+    assert c.raw().schema["v"].dataType.simpleString() == "bigint"
+    c.insert([{"_id": 3, "v": 1.5}, {"_id": 4, "v": 7.0}])
+    c.insert([{"_id": 5, "v": "x"}, {"_id": 6, "v": True}, {"_id": 7, "v": [1, 7]}, {"_id": 8, "v": {"in": {"side": 3}}}, {"_id": 9, "v": 5, "n": 3}])
+    ids = lambda node, *sort: [r["_id"] for r in (c.find(node, *sort) if sort else c.find(node, order_by("_id"))).collect()]
+    v = field_("v")
+    assert ids(v.eq(7)) == [2, 7] and ids(v.eq(7.0)) == [4] and ids(v.eq("x")) == [5] and ids(v.eq(None)) == [1] and ids(v.eq(True)) == [6]
+    assert ids(v.gte(7).and_(v.lte(7.0))) == [2, 4] and ids(v.lt(7).and_(v.gt(1))) == [3, 9] and ids(v.gte(7.0).and_(v.lt(100))) == [4]
+    assert ids(v.in_array([7, "x"])) == [2, 5, 7] and 1 in ids(v.not_in_array([7])) and ids(v.text_regex("^x$")) == [5]
+    assert ids(field_("v.in.side").eq(3)) == [8] and ids(field_("n").gte(2)) == [2, 9]
+    assert ids(v.gt(0).and_(v.lt(8)), order_by("v")) == [3, 9, 2, 4]
+    c.create_index(["n", "v"], "non_unique")
+    assert c.update(field_("_id").eq(2), {"n": "two"}) == 1 and ids(field_("n").eq("two")) == [2] and ids(field_("n").eq(1)) == [1]
+    c.create_index(["v"], "unique")
+    for same in (7.0, "x", True):
+        with pytest.raises(ConstraintError):
+            c.insert([{"v": same}])
+    c.insert([{"_id": 10, "v": 7.25}])
+    db.compact()
+    assert ids(v.eq(7.25)) == [10] and c.size() == 10
+
+
+def test_text_index_follows_the_rows(spark, db):
+    """What queries find by the index is what they find in the texts, after inserts, updates, removals and a compaction."""
+    c = db.collection("docs")
+    c.insert([{"_id": i, "body": t} for i, t in enumerate(["The quick fox", "the lazy dog and the Fox", "", None, "quick quick dog"])])
+    c.create_index(["body"], "full_text")
+    c.create_index(["tags"], "fts")
+    c.insert([{"_id": 10, "body": "fox of the dogs", "tags": ["red fox", "dog"]}, {"_id": 11, "body": "nothing", "tags": ["fox red"]}])
+
+    def same():
+        rows = c.frame()
+        for node in (field_("body").text("Fox"), field_("body").text_case_insensitive("fox"), field_("body").text("dog*"), field_("body").text("*ick"), field_("body").text("*o*"), field_("body").text("the")):
+            by_scan = find(rows, node, None, Context()).select("_id").collect()
+            assert sorted(r["_id"] for r in c.find(node).collect()) == sorted(r["_id"] for r in by_scan), node
+        for node in (field_("body").matches("quick dog", 3), field_("body").matches("fox AND NOT the"), field_("body").phrase("the lazy dog"), field_("tags").phrase("red fox"), field_("body").matches("dog OR NOT fox")):
+            want = [(r["_id"], round(r["_score"] or 0, 9)) for r in find(rows, node, None, Context()).collect()]
+            assert [(r["_id"], round(r["_score"] or 0, 9)) for r in c.find(node).collect()] == want, node
+
+    same()
+    c.update(field_("_id").eq(11), {"body": "a quick Fox again"})
+    c.remove(field_("_id").eq(0))
+    same()
+    db.compact()
+    same()
+    assert [r["_id"] for r in c.find(field_("body").text_case_insensitive("fox")).orderBy("_id").collect()] == [1, 10, 11]
+
+
+def test_text_index_options(db):
+    from docspire.sources import textindex
+
+    c = db.collection("d")
+    textindex.TOKENIZERS["commas"] = lambda text: F.split(text, ",")
+    c.insert([{"_id": 1, "a": "der Hund", "b": "new york,the end", "d": "alpha beta"}])
+    c.create_index(["a"], "full_text", language="german")
+    c.create_index(["b"], "full_text", tokenizer="commas")
+    c.create_index(["d"], "full_text", stop_words=["alpha"])
+    n = lambda path, word: c.find(field_(path).text(word)).count()
+    assert (n("a", "der"), n("a", "Hund"), n("b", "york"), n("d", "alpha"), n("d", "beta")) == (0, 1, 0, 0, 1)
+    assert c.index_tables(["b"]).postings().filter("term = 'new york'").count() == 1
+
+
+def test_vector_cells_and_layouts(spark):
+    """A vector index beside each part, rows laid out by place, and a module that registers an indexer."""
+    from docspire.sources import indexers
+
+    db = Database.temporary(spark)
+    c = db.collection("v")
+    vectors = [[float((i * j) % 13 - 6) for j in range(1, 9)] for i in range(1, 121)]
+    c.insert([{"_id": i, "e": v, "at": {"x": float(i % 11), "y": float(i % 7)}} for i, v in enumerate(vectors[:80])])
+    c.create_index(["e"], "vector_cells", metric="euclidean", probes=1000)
+    c.create_index(["at"], "spatial")
+    c.insert([{"_id": 80 + i, "e": v, "at": {"x": -1.0, "y": 2.0}} for i, v in enumerate(vectors[80:])])
+    node = field_("e").nearest(vectors[5], 6, "euclidean")
+    want = [(r["_id"], round(r["_score"], 9)) for r in find(c.frame(), node).collect()]
+    assert [(r["_id"], round(r["_score"], 9)) for r in c.find(node).collect()] == want
+    c.rebuild_index(["at"])
+    assert c.size() == 120 and len(c.meta.parts) == 1 and c.find(field_("at").near(-1.0, 2.0, 0.5)).count() == 40
+    opened = []
+    db.load(lambda d: indexers.register("mine", indexers.Indexer("text", lambda *_: None, lambda *a: opened.append(a))))
+    c.create_index(["note"], "mine")
+    assert c.find().count() == 120 and opened
+    with pytest.raises(ValueError):
+        indexers.register("mine", indexers.INDEXERS["fts"])
+    del indexers.INDEXERS["mine"]
+
+
+def test_documents():
+    from docspire.functions import documents as D
+
+    d = {"_id": 1, "a": {"b": {"c": 1}, "k": [1]}, "x.y": 2}
+    D.put(d, "a.b.d.e", 3)
+    assert (D.get(d, "a.b.d.e"), D.get(d, "x.y"), D.get(d, "a.z.b")) == (3, 2, None)
+    assert sorted(D.fields(d)) == ["a.b.c", "a.b.d.e", "a.k", "x.y"] and D.contains_field(d, "a.k") and not D.contains_field(d, "a.b")
+    D.remove(d, "a.b.d.e")
+    D.remove(d, "a.b.c")
+    assert d["a"] == {"k": [1]} and not D.contains_key(d["a"], "b")
+    D.merge(d, {"a": {"k": [2], "n": {"m": 1}}, "x.y": None})
+    assert d == {"_id": 1, "a": {"k": [2], "n": {"m": 1}}, "x.y": None} and D.pretty({"a": 1}) == '{\n  "a": 1\n}'
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_vector_index(spark, tmp_path, metric):
+    """Recall of the default probes, and the exact result with all of them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    folder = str(tmp_path / "ivf")
+    VectorIndex.build(rows, "embedding", "vec_id", folder, metric)
+    index = VectorIndex(spark, folder, metric)
+    queries = [tuple(r["embedding"]) for r in rows.filter("vec_id % 29 = 3").limit(12).collect()]
+    assert len(index.centres) > 10 and index.recall(rows, "embedding", "vec_id", queries, 10) >= 0.9
+    exact = [(r["vec_id"], round(r["_score"], 9)) for r in nearest(rows, "embedding", queries[0], 10, metric, None, "vec_id").collect()]
+    assert [(r["key"], round(r["_score"], 9)) for r in index.nearest(queries[0], 10, probes=len(index.centres)).collect()] == exact
+    VectorIndex.build(rows.limit(0), "embedding", "vec_id", folder + "0", metric)
+    assert VectorIndex(spark, folder + "0", metric).nearest(queries[0], 3).count() == 0
 
 
 def test_catalog(db):
@@ -141,6 +316,10 @@ def test_migrations(db):
     row = db.collection("renamed").find().first()
     assert (row["new"], row["flag"]) == (5, True) and "junk" not in row.asDict() and db.collection("renamed").has_index(["new"])
     assert db.state["schema_version"] == 4 and not db.has_collection("m")
+    db.collection("taken").insert([{"_id": 5}])
+    with pytest.raises(ConstraintError):
+        db.migrate([M.Migration(4, 5).on("renamed", M.Rename("taken"))], 5)
+    assert db.collection("taken").get_by_id(5) and db.collection("renamed").size() == 1
     with pytest.raises(ValueError):
         M.path([steps], 1, 9)
 
