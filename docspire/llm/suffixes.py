@@ -52,12 +52,12 @@ from .common import buckets_for, cut, input_bytes
 LENGTH = 50
 #: Tokens of 8 bytes by which suffixes are dealt and first sorted.
 TOKENS = 3
-#: Ranges of leading tokens at most, and sampled suffixes for each.
-MOST_RANGES, SAMPLES = 1 << 16, 64
+#: Ranges of leading tokens at most, and sampled suffixes for each: so many, and 16 at least where that makes over `MOST_SAMPLES` in all.
+MOST_RANGES, SAMPLES, MOST_SAMPLES = 1 << 16, 64, 1 << 20
 #: Bytes of text, as its table is stored, for each bucket.
 PER_BUCKET = 4 << 20
-#: Bytes sent of the keys of each round.
-LEADING, STRETCH = (8, 5), (5, 8)
+#: Bytes sent of the keys of each round; in the first, two suffixes taken for equal cost an entry of the second.
+LEADING, STRETCH = (8, 3), (5, 8)
 
 
 def _tokens(data: np.ndarray) -> np.ndarray:
@@ -127,7 +127,8 @@ class Ranges:
 
 def _sample(texts: DataFrame, length: int, buckets: int, size: int) -> list[np.ndarray]:
     """First tokens and names of about `SAMPLES` anchors for each range: of documents chosen by their keys, anchors chosen by their places."""
-    rate = min(1.0, SAMPLES * min(buckets, MOST_RANGES) * 14 / max(1, size))
+    ranges = min(buckets, MOST_RANGES)
+    rate = min(1.0, max(16, min(SAMPLES, MOST_SAMPLES // ranges)) * ranges * 14 / max(1, size))
     of_rows = min(1.0, 16 * rate)
     every = max(1, round(of_rows / rate))
     rows = texts.filter(F.xxhash64("key").cast("double") < -(2.0**63) + 2.0**64 * of_rows)
