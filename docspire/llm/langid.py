@@ -10,8 +10,10 @@ The model is fitted on at most about `sample_rows` labelled rows, chosen by a
 hash of the id, and has `2 * BUCKETS` numbers for each language.
 
 Defined results: a text that is null or has no letters is `und` with score 0, as
-is every text if no row is labelled; repeated rows are judged row by row; an
-empty table gives an empty one; language, source and id never enter a prediction.
+is every text if no row is labelled; repeated rows are judged row by row; a row
+without id is held out of nothing known, so `held_out` is null, it is not learnt
+from, and it is predicted like any other; an empty table gives an empty one;
+language, source and id never enter a prediction.
 """
 
 from __future__ import annotations

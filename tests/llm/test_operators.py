@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docspire.llm import bpe, decontaminate, html, langid, minhash, quality, queries, rollup, secrets, substrings, suffixes
 from docspire.llm import repeats as R
 
+TABLES = "/root/testdata/sf0.01"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -93,6 +94,49 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_language_against_brute_force(spark, documents):
+    """Every word's scores by loops over its letters, narrowed by its script, and the best path by trying all of two states a step."""
+    import numpy as np
+
+    train = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog ran", "en"), ("der hund und die katze lief", "de"), ("кошка и собака бежит", "ru")] * 20)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string, source string"))
+    texts = ["the dog und die katze", "кошка cat и der hund", "x", "Und THE Hund; dog-cat 12 собака", "日本 the"]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, 1.5).collect()}
+    langs = model["langs"]
+    for i, text in enumerate(texts):
+        begin, starts, ends, _, two, three, script = langid._runs([text])
+        at, rows = 0, []
+        for a, b, kind in zip(starts, ends, script, strict=True):
+            row = []
+            for k in range(len(langs)):
+                total = sum(float(model["two"][two[at + j], k]) + float(model["three"][three[at + j], k]) for j in range(b - a))
+                row.append(total if model["written"][kind, k] else total - 1e4)
+            rows.append(row)
+            at += b - a
+        value, paths = np.array(rows[0]), [[k] for k in range(len(langs))]
+        for row in rows[1:]:
+            best = [max(range(len(langs)), key=lambda s, k=k: value[s] - 1.5 * (s != k)) for k in range(len(langs))]  # noqa: B023
+            paths = [paths[s] + [k] for k, s in enumerate(best)]
+            value = np.array([value[s] - 1.5 * (s != k) + row[k] for k, s in enumerate(best)])
+        path = paths[int(value.argmax())]
+        mass = collections.Counter()
+        for k, a, b in zip(path, starts, ends, strict=True):
+            mass[langs[k]] += int(b - a)
+        assert got[i]["lang_pred"] == max(sorted(mass), key=mass.get), text
+        assert abs(got[i]["score"] - max(mass.values()) / sum(mass.values())) < 1e-9
+        spans = [(langs[k], int(a - begin[0]), int(b - begin[0])) for k, a, b in zip(path, starts, ends, strict=True)]
+        runs = [list(g) for _, g in itertools.groupby(spans, key=lambda x: x[0])]
+        merged = [(g[0][0], g[0][1], g[-1][2]) for g in runs]
+        assert [(s["lang"], s["start"], s["end"]) for s in got[i]["spans"]] == merged
+
+
+def test_language_accuracy(spark):
+    """Of rows that were not learnt from."""
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet")
+    held = langid.language_id(rows).filter("held_out").join(rows.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(held) > 150 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+
+
 # 2
 def brute_components(texts, k):
     sets = []
@@ -165,6 +209,26 @@ def test_minhash_of_shared_ids(spark):
         assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None) and len(got) == len(rows)
 
 
+def test_blocks_send_one_link_for_two_roots():
+    """Strays similar to every member of a group, and to each other, cost a link each and not one for each pair."""
+    import pyarrow as pa
+
+    text = lambda i: " ".join([f"w{j}" for j in range(80)] + [f"own{i}"])
+    rows = [(9, 0, i, 500, 0, text(i)) for i in range(60)] + [(9, 1, 100 + i, 600 + i, 1, text(100 + i)) for i in range(5)] + [(9, 1, 200, 700, 1, "nothing alike at all")]
+    names = ["block", "side", "rep", "root", "share", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(6)], names)
+    links = minhash._block_links([batch], 2, 80).to_pylist()
+    assert len(links) == 5 and {x["b"] for x in links} == {100, 101, 102, 103, 104}
+    rows = [(9, 2, i, i % 7, i % 2, text(i)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(6)], names)
+    links = minhash._block_links([batch], 2, 80).to_pylist()
+    parent = {r: r for r in range(7)}
+    for x in links:
+        a, b = parent[x["a"] % 7], parent[x["b"] % 7]
+        parent = {r: a if p == b else p for r, p in parent.items()}
+    assert len(links) == 6 and len(set(parent.values())) == 1
+
+
 def test_minhash_group_and_strays(spark, monkeypatch):
     """A group of near copies and strays of the same buckets: the rows dealt grow with the group, not with its square."""
     monkeypatch.setattr(minhash, "BLOCK", 20)
@@ -336,6 +400,42 @@ def test_splitters(monkeypatch):
     assert suffixes.Ranges([np.zeros(0, np.uint64)] * 2, 20).of(*keys).max() == 0
 
 
+def whole_documents(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+
+
+def test_dedup_of_whole_documents(spark):
+    """Operators 2 to 4 on the 1,000 test documents, by brute force."""
+    rows = whole_documents(spark)
+    df = spark.read.parquet(f"{TABLES}/documents.parquet")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(df, keep_text=False).collect()}
+    assert got == brute_words(rows, 20)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup(df).collect()}
+    assert got == brute_bytes(rows, 50)
+    sets = []
+    for _, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({hash((a, b)) for a, b in itertools.pairwise(w)} if len(w) > 1 else {hash(tuple(w))} if w else set())
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    want = {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, 2).collect()} == want
+
+
 # 5
 def test_decontamination(spark, documents):
     rng = random.Random(5)
