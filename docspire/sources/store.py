@@ -353,16 +353,20 @@ class Collection:
         meta = self.meta
         return T.StructType.fromJson(json.loads(meta.schema)) if meta.schema else T.StructType([T.StructField("_id", T.LongType())])
 
-    def raw(self, parts: list[str] | None = None) -> DataFrame:
-        """The stored rows, of some parts or all."""
+    def raw(self, parts: list[str] | None = None, named: bool = False) -> DataFrame:
+        """The stored rows, of some parts or all; `named`: with the part of each in `_part`."""
         meta, spark, schema = self.meta, self.db.spark, self.schema()
         parts = meta.parts if parts is None else parts
         path = lambda p: f"{self.db.root}/data/{p}"
         plain = [p for p in parts if p not in meta.narrow]
-        frames = [spark.read.schema(schema).parquet(*map(path, plain))] if plain else []
+        frames = []
+        if plain:
+            rows = spark.read.schema(schema).parquet(*map(path, plain))
+            frames.append(rows.withColumn("_part", F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]{32})/", 1)) if named else rows)
         for p in parts:
             if p in meta.narrow:
-                frames.append(S.aligned(spark.read.schema(T.StructType.fromJson(json.loads(meta.narrow[p]))).parquet(path(p)), schema))
+                rows = S.aligned(spark.read.schema(T.StructType.fromJson(json.loads(meta.narrow[p]))).parquet(path(p)), schema)
+                frames.append(rows.withColumn("_part", F.lit(p)) if named else rows)
         return functools.reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
     def frame(self) -> DataFrame:
@@ -455,9 +459,9 @@ class Collection:
         parts = self.meta.parts
         if len(parts) < 2:
             return parts
-        rows = functools.reduce(DataFrame.unionByName, [self.raw([p]).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
-        hit = rows.filter(W.matching(rows, node, self.context().present)).select("_part").distinct().collect()  # a number for each part at most
-        return [parts[i] for i in sorted(r[0] for r in hit)]
+        rows = self.raw(named=True)
+        hit = rows.filter(W.matching(rows, node, self.context().present)).select("_part").distinct().collect()  # a name for each part at most
+        return sorted((r[0] for r in hit), key=parts.index)
 
     def _rewrite(self, touched: list[str], rows: DataFrame) -> tuple[str, DataFrame, list[str]]:
         """Rows written in place of some parts: the new part, its rows, and the parts that stay."""
