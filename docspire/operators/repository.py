@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from typing import Any, Generic, TypeVar, get_type_hints
+from typing import Any, Generic, TypeVar, get_args, get_type_hints
 
 from pyspark.sql import DataFrame
 
@@ -114,6 +114,12 @@ def _build(cls: type, values: dict[str, Any]) -> Any:
     out = {}
     for f in dataclasses.fields(cls):
         v = values.get(f.name)
-        inner = hints[f.name] if isinstance(hints.get(f.name), type) else None
-        out[f.name] = _build(inner, v) if inner and dataclasses.is_dataclass(inner) and isinstance(v, dict) else v
+        # The dataclass itself, or the one in a union or a list.
+        hint = hints[f.name]
+        inner = next((t for t in (hint, *get_args(hint)) if isinstance(t, type) and dataclasses.is_dataclass(t)), None)
+        if inner and isinstance(v, dict):
+            v = _build(inner, v)
+        elif inner and isinstance(v, list):
+            v = [_build(inner, x) if isinstance(x, dict) else x for x in v]
+        out[f.name] = v
     return cls(**out)

@@ -191,3 +191,11 @@ def test_boolean_search_returns_every_match(spark, tmp_path):
     assert engine.queries()["fts_boolean"](spark, str(tmp_path)).count() == 10_200
     assert find(rows, field_("text").matches("tion")).count() == find(rows, field_("text").phrase("tion")).count() == 10_251
     assert find(rows, field_("text").matches("tion", 7)).count() == 7
+
+
+def test_rings_are_closed(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [(1, ring((0, 0), (1, 0), (1, 1), (0, 0)), []), (2, ring((0, 0), (1, 0)), None), (3, ring((0, 0), (1, 0), (0, 0)), [ring((0, 0), (2, 2))]), (4, [], None)]
+    df = spark.createDataFrame(rows, "i int, e array<struct<x:double,y:double>>, h array<array<struct<x:double,y:double>>>")
+    got = {r["i"]: r["ok"] for r in df.select("i", spatial.rings_are_closed(F.col("e"), F.col("h")).alias("ok")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 import pytest
 from pyspark.sql import functions as F
 
+from docspire.operators import cursor
 from docspire.operators import migrate as M
 from docspire.operators.rag import RagStore
 from docspire.operators.repository import Repository, entity
@@ -352,6 +353,50 @@ def test_repository(db):
     assert db.list_keyed_repositories() == {"key": ["Book"]}
 
 
+@entity(id_field="row", generated=True)
+@dataclass
+class Note:
+    row: int | None
+    text: str
+    by: Isbn | None = None
+
+
+def test_generated_ids_and_joined_entities(db):
+    """Ids that the store gives, entities inside entities, and a join of two repositories."""
+    notes, books = Repository(db, Note), Repository(db, Book)
+    first = Note(None, "one", Isbn("a", 1))
+    ids = notes.insert(first, Note(None, "two"))
+    assert first.row == ids[0] and notes.get_by_id(ids[0]) == first and notes.get_by_id(ids[1]).by is None
+    with pytest.raises(ConstraintError):
+        notes.insert(Note(5, "own id"))
+    books.insert(Book(Isbn("a", 1), "p", 1.5), Book(Isbn("a", 2), "q", 2.5))
+    joined = notes.join(notes.find(), books.find(), "by.code", "isbn.code", "books").orderBy("_id").collect()
+    assert [len(r["books"] or []) for r in joined] == [2, 0]
+    pairs = cursor.lookup_rows(notes.find(), books.find(), "by.code", "isbn.code", "book").orderBy("_id", "book.isbn.edition").collect()
+    assert [(r["text"], r["book"] and r["book"]["publisher"]) for r in pairs] == [("one", "p"), ("one", "q"), ("two", None)]
+    assert [i for i, _ in cursor.iter_with_id(notes.find(None, order_by("_id")))] == ids
+    assert [i for i, _ in cursor.iter_with_id(notes.find().select("text"))] == [0, 1]
+
+
+def test_database_handle(db):
+    c = db.collection("a")
+    seen = []
+    c.subscribe(lambda e: seen.append((e["kind"], e["rows"] and e["rows"].count())))
+    assert not db.is_closed() and not db.has_unsaved_changes() and db.config()["separator"] == "."
+    c.insert([{"_id": 1, "v": 1}, {"_id": 2, "v": 2}])
+    c.create_index(["v"], "non_unique")
+    assert c.update_with_ids(field_("v").gte(1), {"w": 1}) == [1, 2] and c.update_with_ids(field_("v").gte(1), {"w": 2}, just_once=True) == [1]
+    with db.transaction() as t:
+        t.collection("a").insert([{"_id": 3}])
+        assert t.db.has_unsaved_changes()
+    assert seen == [("insert", 2), ("index_start", None), ("index_end", None), ("update", 2), ("update", 1), ("insert", 1)]
+    c.dispose()
+    db.close()
+    assert db.is_closed() and not db.has_collection("a")
+    with pytest.raises(RuntimeError):
+        c.insert([{"_id": 4}])
+
+
 def test_rag_store(db):
     s = RagStore(db.collection("rag"), 2)
     assert s.is_empty()
