@@ -5,7 +5,8 @@ of the term among the row's tokens and the number of these. Postings lie in
 `BUCKETS` folders by a hash of the lower-cased term, sorted by it, so a query reads
 the folders of its words, and in these the row groups that hold them. A term that
 every row has spreads over as many shards, by a hash of the key, as the rows need.
-Beside the postings lies one row with the number of rows and tokens.
+Beside the postings lie the dictionary of terms, which searches with wildcards read
+first, and one row with the number of rows and tokens.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BUCKETS = 32
 #: Rows whose postings of one bucket go to one task.
 SHARD_ROWS = 500_000
 SCHEMA = "low string, term string, key bigint, n int, at array<int>, bucket int"
+TERMS = "bucket int, low string, term string"
 STATS = "rows bigint, tokens bigint"
 Tokenizer = Callable[[Column], Column]
 #: Tokenizers by name, from a string column to an array of strings; add others here.
@@ -50,8 +52,10 @@ class TextIndex:
         grouped = dealt.groupBy("bucket", "shard", "low", "term", "key", "n").agg(F.sort_array(F.collect_list("p")).alias("at"))
         ordered = grouped.sortWithinPartitions("bucket", "low", "term", "key").select("low", "term", "key", "n", "at", "bucket")
         ordered.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
+        written = rows.sparkSession.read.schema(SCHEMA).parquet(f"{folder}/postings")
+        written.select("bucket", "low", "term").distinct().write.option("compression", "zstd").parquet(f"{folder}/terms")
         # A row's posting of place 0 stands for the row.
-        firsts = rows.sparkSession.read.schema(SCHEMA).parquet(f"{folder}/postings").filter(F.get("at", F.lit(0)) == 0)
+        firsts = written.filter(F.get("at", F.lit(0)) == 0)
         firsts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).write.parquet(f"{folder}/stats")
 
     def postings(self) -> DataFrame:
@@ -74,11 +78,13 @@ class TextIndex:
         word, start, end = text.term_query(query)
         if word is None or not (start or end) and word in self.stop_words:
             return self.spark.createDataFrame([], "key bigint")
-        hits = self.postings() if start or end else self.of([word.lower()])
-        hits = hits.filter(text.token_test(word, start, end, case_sensitive)(F.col("term")))
+        test = text.token_test(word, start, end, case_sensitive)(F.col("term"))
         if self.stop_words:
-            hits = hits.filter(~F.col("term").isin(sorted(self.stop_words)))
-        return hits.select("key").distinct()
+            test = test & ~F.col("term").isin(sorted(self.stop_words))
+        if not start and not end:
+            return self.of([word.lower()]).filter(test).select("key").distinct()
+        found = self.spark.read.schema(TERMS).parquet(*[f"{p}/terms" for p in self.paths]).filter(test).distinct()
+        return self.postings().join(found, ["bucket", "low", "term"], "left_semi").select("key").distinct()
 
     def matches(self, parsed: textquery.Node, k: int | None = None) -> DataFrame | None:
         """(key, _score) of the rows that match, or the k best, by BM25; None if rows with none of the words may match."""
