@@ -500,21 +500,21 @@ def _nations(spark: SparkSession, sf_dir: str, db: Database, name: str = "nation
     return c
 
 
-@_register("store_insert_find", "SELECT n_nationkey::BIGINT AS _id, n_name AS name, n_regionkey::BIGINT AS region, NULL::VARCHAR AS city, 1 AS _revision FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT 100, 'new', 7, 'x', 1")
+@_register("store_insert_find", "SELECT n_nationkey::BIGINT AS _id, n_name AS name, n_regionkey::BIGINT AS region, '-' AS city, 1 AS _revision FROM nation WHERE n_regionkey >= 2 UNION ALL SELECT 100, 'new', 7, 'x', 1")
 def _insert_find(spark, sf_dir):
     c = _nations(spark, sf_dir, _database(spark))
     c.insert([{"_id": 100, "name": "new", "region": 7, "at": {"city": "x"}}, {"_id": 101, "name": "other", "region": 1}])
-    return c.find(field_("region").gte(2)).select("_id", "name", "region", F.col("at.city").alias("city"), "_revision")
+    return c.find(field_("region").gte(2)).select("_id", "name", "region", F.coalesce("at.city", F.lit("-")).alias("city"), "_revision")
 
 
-@_register("store_nested_merge", "SELECT * FROM (VALUES (1::BIGINT, 'x', NULL::BIGINT, 1), (2, NULL, 5, 1), (3, 'y', 7, 2)) t(_id, city, zip, _revision)")
+@_register("store_nested_merge", "SELECT * FROM (VALUES (1::BIGINT, 'x', -1::BIGINT, 1), (2, '-', 5, 1), (3, 'y', 7, 2)) t(_id, city, zip, _revision)")
 def _nested(spark, sf_dir):
     """New keys of inner documents, by insert and by update."""
     c = _database(spark).collection("c")
     c.insert([{"_id": 1, "at": {"city": "x"}}])
     c.insert([{"_id": 2, "at": {"zip": 5}}, {"_id": 3, "at": {"city": "y"}}])
     c.update(field_("at.city").eq("y"), {"at": {"zip": 7}})
-    return c.find().select("_id", F.col("at.city").alias("city"), F.col("at.zip").alias("zip"), "_revision")
+    return c.find().select("_id", F.coalesce("at.city", F.lit("-")).alias("city"), F.coalesce("at.zip", F.lit(-1)).cast("bigint").alias("zip"), "_revision")
 
 
 @_register("store_update_remove", "SELECT n_nationkey::BIGINT AS _id, CASE WHEN n_regionkey = 1 THEN 'AMERICAS' ELSE n_name END AS name, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END AS _revision FROM nation WHERE n_regionkey <> 3")
