@@ -139,7 +139,7 @@ def _share_of(rep: str, shares: Column) -> Column:
 
 
 def _links(dealt: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of a block of different roots.
+    """Links (a, b) between members of a block of different roots, one at most for each two roots.
 
     `dealt`: (block, side, rep, root, share). Members of side 0 are compared with
     those of side 1, members of side 2 with each other; of two shares, each member
@@ -187,10 +187,12 @@ def _block_links(held: list[pa.RecordBatch], k: int, percent: int) -> pa.RecordB
     first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
     own = first[np.searchsorted(first, np.arange(len(n)), "right") - 1]
     tops = np.where(side == 1, int((side == 0).sum()), np.where(side == 2, own, 0))
+    # One link joins two roots: pairs of roots that links of this block joined already are passed over.
+    joined = np.arange(group.max(initial=-1) + 1)
     found = []
     for x in range(len(n)):
         top = tops[x]
-        near = (100 * np.minimum(n[:top], n[x]) >= percent * np.maximum(n[:top], n[x])) & (group[:top] != group[x])
+        near = (100 * np.minimum(n[:top], n[x]) >= percent * np.maximum(n[:top], n[x])) & (joined[group[:top]] != joined[group[x]])
         if apart:
             near &= share[:top] != share[x]
         if not near.any():
@@ -199,8 +201,10 @@ def _block_links(held: list[pa.RecordBatch], k: int, percent: int) -> pa.RecordB
         place = np.searchsorted(sets[x], value)
         place[place == n[x]] = 0
         shared = np.add.reduceat((sets[x][place] == value).astype(np.int64), starts[:top])
-        good = near & (100 * shared >= percent * (n[:top] + n[x] - shared))
-        found += [(int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))) for y in np.flatnonzero(good)]
+        good = np.flatnonzero(near & (100 * shared >= percent * (n[:top] + n[x] - shared)))
+        for y in good[np.unique(joined[group[good]], return_index=True)[1]]:
+            found.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+            joined[joined == joined[group[y]]] = joined[group[x]]
     return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
