@@ -1,43 +1,19 @@
-"""Shared pieces: the scratch folder, whole-text helpers and size checks."""
+"""Shared pieces: whole-text helpers, keys of rows and size checks; the shared folder is the engine's."""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import cut, scratch
 
 #: Word separators of every contract: space and the controls 09-0D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-#: Used only by a local session that names no shared folder, as in tests.
-DEFAULT_SCRATCH = "/tmp/checkpoints"
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder that the session names; a cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = DEFAULT_SCRATCH
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which ends its lineage.
-
-    The copy is a plain Parquet table, so a lost executor costs a reread and
-    no recomputation. It goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["blocks_of", "buckets_for", "cut", "fit_broadcast", "fresh_name", "ids_repeat", "input_bytes", "keyed", "let", "run_hashes", "running", "scratch", "with_keys", "words"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,11 +44,26 @@ def running(xs: Column, add: Callable[[Column, Column], Column]) -> Column:
     return let(blocks_of(xs), by_block)
 
 
+def with_keys(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` and the name of a key of its rows, an integer: the id if each row has one of its own, else a new column."""
+    return (df, "doc_id") if isinstance(df.schema["doc_id"].dataType, T.IntegralType) and not ids_repeat(df) else keyed(df)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
 
 
+def run_hashes(ws: Column, length: int) -> Column:
+    """The hash of every `length` neighbours of a list of words, in order, from the words' own hashes; none if there are fewer."""
+
+    def made(hs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hs) - length), lambda i: F.xxhash64(*[F.get(hs, i + j) for j in range(length)]))
+
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(ws) < length, none).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), made))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of `df`; reads no data."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -102,7 +93,9 @@ def keyed(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     return cut(df.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def fit_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else as it is."""
+def fit_broadcast(df: DataFrame, max_rows: int, members: Column | None = None, max_members: int = 4_000_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `max_rows` rows, and at most `max_members` members in arrays whose sizes `members` tells; else as it is."""
     small = df.limit(max_rows + 1).count() <= max_rows
+    if small and members is not None:
+        small = (df.agg(F.sum(members)).first()[0] or 0) <= max_members
     return F.broadcast(df) if small else df

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, let, words
+from .common import SPACES, cut, let, run_hashes, words
 
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 WINDOW = 8
@@ -39,8 +39,9 @@ SYMBOLS = "#*$%&|<>"
 def _repeat_words(ws: Column) -> Column:
     """Words in windows that occur twice or more in `ws`, the first one included.
 
-    Windows sort by a 64-bit hash; neighbours of equal hash count as equal only
-    if their words are, so a collision can't make a repeat.
+    Each window has a 64-bit hash of its words' hashes; where all differ, as in
+    most texts, nothing repeats. Else windows sort by hash, and neighbours of equal
+    hash count as equal only if their words are, so a collision can't make a repeat.
     """
 
     def cover(hs: Column) -> Column:
@@ -54,11 +55,11 @@ def _repeat_words(ws: Column) -> Column:
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i + WINDOW - a["end"])).alias("n"), (i + WINDOW).alias("end"))
         return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(at, start, step, lambda a: a["n"]))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(ws) - WINDOW),
-        lambda i: F.struct(F.xxhash64(F.slice(ws, i + 1, WINDOW)).alias("h"), i.alias("i")),
-    )
-    return F.when(F.size(ws) <= WINDOW, F.lit(0)).otherwise(let(F.sort_array(windows), cover))
+    def counted(hs: Column) -> Column:
+        placed = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(let(F.sort_array(placed), cover))
+
+    return F.when(F.size(ws) <= WINDOW, F.lit(0)).otherwise(let(run_hashes(ws, WINDOW), counted))
 
 
 def measures(docs: DataFrame) -> DataFrame:
