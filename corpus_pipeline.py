@@ -1,9 +1,9 @@
 """A training corpus from raw documents: five operators, one after another.
 
 Each stage gets what its predecessor kept, as a Parquet table, and all but the
-last return the columns of documents. Stages judge rows, not ids: each row has a
-key of its own for the stage, so rows that share an id or have none are judged by
-their own texts. Other columns pass through whatever their names.
+last return the columns of documents. Stages judge rows, not ids: where rows share
+an id or have none, each gets a key of its own for the stage and is judged by its
+own text. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspire.llm import bpe, decontaminate, minhash, quality, secrets
-from docspire.llm.common import cut, fit_broadcast, fresh_name, keyed, scratch
+from docspire.llm.common import cut, fit_broadcast, fresh_name, scratch, with_keys
 from docspire.llm.queries import word_tokenizer
 
 #: Dropped keys that may be broadcast, 16 bytes each; beyond, the tables are joined by shuffling.
@@ -25,7 +25,8 @@ def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """`docs` but for the rows of these keys, and without the key."""
     name = fresh_name(docs, "_gone")
     gone = cut(gone.select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col(key) == F.col(name), "left_anti").drop(key)
+    kept = docs.join(fit_broadcast(gone, BROADCAST_IDS), F.col(key) == F.col(name), "left_anti")
+    return kept if key == "doc_id" else kept.drop(key)
 
 
 def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -35,13 +36,13 @@ def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows, key = keyed(docs)
+    rows, key = with_keys(docs)
     return _without(rows, key, quality.quality_rules(_by_key(rows, key, "text", "lang", "source")).filter("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; one without id only if none has one."""
-    rows, key = keyed(docs)
+    rows, key = with_keys(docs)
     found = cut(minhash.near_duplicates(_by_key(rows, key, "text"), k=5, percent=80, unique=True).select("doc_id", "component_id"))
     ids = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
@@ -51,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows, key = keyed(docs)
+    rows, key = with_keys(docs)
     return _without(rows, key, decontaminate.contaminated(_by_key(rows, key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unique=True))
 
 
