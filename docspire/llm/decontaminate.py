@@ -34,24 +34,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fit_broadcast, ids_repeat, keyed, let, words
+from .common import cut, fit_broadcast, ids_repeat, keyed, let, run_hashes, words
 
 SHINGLE, PERCENT, BITS = 5, 80, 64
 RADIUS, BLOCKS = 15, 4
-#: Rows up to which seeds, items and documents with seeds are broadcast; beyond, Spark shuffles.
+#: Rows up to which seeds, items and ids of documents with seeds are broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 100_000
 
 
-def _runs_of(ws: Column, length: int) -> Column:
-    """The hashes of every `length` neighbours of `ws`, in order; none if there are fewer."""
-    n = F.size(ws) - length
-    none = F.array().cast("array<bigint>")
-    return F.when(n < 0, none).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(ws, i + 1, length))))
-
-
 def _hashes(text: Column) -> Column:
     """The shingle hashes of a text, in order."""
-    return let(words(F.lower(text)), lambda ws: _runs_of(ws, SHINGLE))
+    return let(words(F.lower(text)), lambda ws: run_hashes(ws, SHINGLE))
 
 
 def _simhash(window: Column) -> Column:
@@ -114,8 +107,8 @@ def _of_shingles(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hashed.join(fit_broadcast(seeds, BROADCAST_ROWS), "h").groupBy("doc_id", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     # A row for each document that holds a seed; its places are no more than its words for each length.
     places = cut(hits.groupBy("doc_id").agg(F.collect_list(F.struct("m", "ps")).alias("places")))
-    near = cut(docs.join(fit_broadcast(places, BROADCAST_ROWS), "doc_id").select("doc_id", "places", _hashes(F.col("text")).alias("all")))
-    at = near.repartition("doc_id").select("doc_id", "all", F.explode("places").alias("at")).select("doc_id", "all", "at.*")
+    near = cut(docs.join(fit_broadcast(places.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", _hashes(F.col("text")).alias("all")))
+    at = near.join(places.hint("merge"), "doc_id").select("doc_id", "all", F.explode("places").alias("at")).select("doc_id", "all", "at.*")
     least = spare + 1 - F.floor(F.col("m") * (100 - PERCENT) / (100 + PERCENT)).cast("int")
     starts = _starts(F.col("ps"), F.col("m"), F.size("all"), least)
     prints = F.transform(starts, lambda s: F.struct(s.alias("s"), let(F.slice("all", s + 1, F.col("m")), _simhash).alias("print")))
@@ -125,10 +118,11 @@ def _of_shingles(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     indexed = items.select("item_id", "m", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("block")).select("item_id", "m", "item_print", "block.*")
     indexed = indexed.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _nearby())), lambda x: x.cast("bigint").bitwiseXOR(F.col("value")))))
     within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
-    found = cut(asked.join(indexed, ["m", "no", "value"]).filter(within).select("m", "print", "item_id").distinct())
+    # The index has thousands of rows for each item, which Spark doesn't foresee: it is never broadcast.
+    found = cut(asked.join(indexed.hint("merge"), ["m", "no", "value"]).filter(within).select("m", "print", "item_id").distinct())
     pairs = windows.join(fit_broadcast(found, BROADCAST_ROWS), ["m", "print"]).select("doc_id", "m", "s", "item_id")
     held = pairs.join(near.select("doc_id", "all"), "doc_id").withColumn("window", F.slice("all", F.col("s") + 1, F.col("m")))
-    held = held.join(fit_broadcast(items.select("item_id", "own"), BROADCAST_ROWS), "item_id")
+    held = held.join(fit_broadcast(items.select("item_id", "own"), BROADCAST_ROWS, F.size("own")), "item_id")
     scored = held.select("doc_id", "item_id", "s", (F.size("window") + F.size("own")).alias("both"), _shared(F.col("own"), F.col("window")).alias("shared"))
     good = scored.filter(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared")))
     return good.select("doc_id", "item_id", F.col("s").alias("start"), (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
@@ -136,14 +130,15 @@ def _of_shingles(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _of_sequences(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     """The same for items of fewer words; None if there are none."""
-    items = benchmark.select("item_id", words(F.lower("text")).alias("own"))
-    items = cut(items.filter((F.size("own") > 0) & (F.size("own") < SHINGLE)).select("item_id", "own", F.size("own").alias("m"), F.xxhash64("own").alias("h")))
+    items = benchmark.select("item_id", words(F.lower("text")).alias("own")).filter((F.size("own") > 0) & (F.size("own") < SHINGLE))
+    whole = F.coalesce(*[F.when(F.size("own") == m, F.get(run_hashes(F.col("own"), m), F.lit(0))) for m in range(1, SHINGLE)])
+    items = cut(items.select("item_id", "own", F.size("own").alias("m"), whole.alias("h")))
     sizes = sorted(r["m"] for r in items.select("m").distinct().collect())  # fewer than SHINGLE numbers
     if not sizes:
         return None
 
     def grams(ws: Column) -> Column:
-        of = lambda m: F.transform(_runs_of(ws, m), lambda h, i: F.struct(F.lit(m).alias("m"), h.alias("h"), i.alias("start"), F.slice(ws, i + 1, m).alias("gram")))
+        of = lambda m: F.transform(run_hashes(ws, m), lambda h, i: F.struct(F.lit(m).alias("m"), h.alias("h"), i.alias("start"), F.slice(ws, i + 1, m).alias("gram")))
         return F.flatten(F.array(*[of(m) for m in sizes]))
 
     at = docs.select("doc_id", F.explode(let(words(F.lower("text")), grams)).alias("x")).select("doc_id", "x.*")
