@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, cut, fit_broadcast, fresh_name, let, running, scratch
+from .common import blocks_of, cut, fit_broadcast, fresh_name, let, running, scratch, text_batches
 
 _ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
 #: Rule version -> rules of (kind, pattern, literals one of which the lower-cased text must hold, pattern to cut from a match, least length of the rest).
@@ -127,7 +127,8 @@ def commit_batch(rows: DataFrame, ledger: str, batch: str, versions: list[str] |
     known = F.coalesce("seen", F.array().cast("array<string>"))
     made = F.array(*[F.when(~F.array_contains(known, v), F.struct(F.lit(v).alias("version"), scan(F.col("text"), v).alias("spans"))) for v in versions])
     fresh = blobs.select("blob", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("blob", "x.*")
-    fresh.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/{name}")
+    with text_batches(spark):
+        fresh.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/{name}")
     return True
 
 
@@ -147,12 +148,13 @@ def findings(rows: DataFrame, ledger: str, versions: list[str] | None = None, ou
     side = many.select(F.col(heavy).alias("_of"), F.col(held).alias(own))
     of = fresh_name(rows, "_of")
     side = side.withColumnRenamed("_of", of)
-    marked = rows.select(*kept, _blob(F.col("text")).alias(blob)).join(fit_broadcast(side, BROADCAST_ROWS), F.col(blob) == F.col(of), "left")
+    marked = rows.select(*kept, _blob(F.col("text")).alias(blob)).join(fit_broadcast(side, BROADCAST_ROWS, F.size(own)), F.col(blob) == F.col(of), "left")
     # Their keys find nothing in the join that shuffles, and spread by their other columns, the same again if a lost task is repeated.
     hashable = [c for c, kind in rows.dtypes if c in kept and c != "text" and "map<" not in kind and "variant" not in kind]
     spread = F.unhex(F.sha2(F.xxhash64(F.lit(7), *hashable).cast("string"), 256))
     keys = marked.withColumn(blob, F.when(F.col(of).isNull(), F.col(blob)).otherwise(spread))
-    joined = keys.join(found, F.col(blob) == F.col(heavy), "left")
+    # One plan at every size: findings grow with the rows and are never broadcast.
+    joined = keys.join(found.hint("merge"), F.col(blob) == F.col(heavy), "left")
     return joined.select(*kept, F.coalesce(own, held, none).alias(out))
 
 
