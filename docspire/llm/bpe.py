@@ -29,10 +29,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import hashing as H
+from .common import cut
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE = 250_000
-#: Characters of text that share one index.
-GROUP = 6_000_000
+#: Characters of text that share one index, and texts that are taken out of a batch at once.
+GROUP, SLICE = 2_000_000, 500
 #: Texts of other characters than these are split by the library, as regex engines differ there.
 UNUSUAL = "[^\\t\\n\\r -~\\u00a1-\\u024f]"
 
@@ -219,10 +222,14 @@ def _mapped(docs: DataFrame, path: str, row, schema: str, columns: list[pa.DataT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(config.value)
-        for batch in batches:
-            made = [row(*x) for x in bpe.encode(batch.column(1).to_pylist())]
-            cols = [batch.column(0)] + [pa.array([m[k] for m in made], kind) for k, kind in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *[f.split()[0] for f in schema.split(", ")]])
+        H.release()  # what the reading of the file took
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                made = [row(*x) for x in bpe.encode(batch.column(1).to_pylist())]
+                cols = [batch.column(0)] + [pa.array([m[k] for m in made], kind) for k, kind in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *[f.split()[0] for f in schema.split(", ")]])
+        H.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
@@ -257,5 +264,5 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    return _mapped(docs, path, _digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()])
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, written once: they are small, and texts go to Python in small batches."""
+    return cut(_mapped(docs, path, _digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()]))

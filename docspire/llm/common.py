@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import cut, scratch
+from ..sources import shared
+from ..sources.shared import scratch
 
 #: Word separators of every contract: space and the controls 09-0D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-__all__ = ["blocks_of", "buckets_for", "cut", "fit_broadcast", "fresh_name", "ids_repeat", "input_bytes", "keyed", "let", "run_hashes", "running", "scratch", "with_keys", "words"]
+__all__ = ["blocks_of", "buckets_for", "cut", "fit_broadcast", "fresh_name", "ids_repeat", "input_bytes", "keyed", "let", "run_hashes", "running", "scratch", "text_batches", "with_keys", "words"]
+
+
+#: Rows in a batch of the Parquet reader and of Arrow at most: batches are counted in rows, and texts may be long.
+TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, jobs of the session read texts in small batches, so that a few long ones fit an executor's memory."""
+    before = {k: spark.conf.get(k) for k in TEXT_BATCHES}
+    for k, most in TEXT_BATCHES.items():
+        if not 0 < int(before[k]) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder, by small batches, and read it back, which ends its lineage."""
+    with text_batches(df.sparkSession):
+        return shared.cut(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

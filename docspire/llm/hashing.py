@@ -7,6 +7,8 @@ pass costs a few array operations whatever the slices are.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,16 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def release() -> None:
+    """Give memory that this worker holds unused back to the system: it may wait long for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def chunks(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `size` bytes; null texts are empty."""
     text = batch.column(column)

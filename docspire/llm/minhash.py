@@ -98,6 +98,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype("i4")
                 cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size.astype("i8")), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(cols, ["node", "doc_id", "n_shingles", "k1", "k2", "bands"])
+        H.release()
 
     return docs.select("node", "doc_id", "text").mapInArrow(run, "node bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
@@ -162,6 +163,8 @@ def _links(dealt: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield _block_links(held, k, percent)
+        del held
+        H.release()
 
     full = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "side", "rep", "root", "share", "text")
     return full.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint").distinct()

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docspire.llm import bpe, decontaminate, html, langid, minhash, quality, queries, rollup, secrets, substrings, suffixes
+from docspire.llm import bpe, common, decontaminate, html, langid, minhash, quality, queries, rollup, secrets, substrings, suffixes
 from docspire.llm import repeats as R
 
 TABLES = "/root/testdata/sf0.01"
@@ -729,6 +729,19 @@ def test_bpe(spark, documents):
     assert bpe.digests(documents.limit(0), path).count() == 0
 
 
+def test_batches_of_texts_are_small_for_a_while(spark):
+    names = list(common.TEXT_BATCHES)
+    before = [spark.conf.get(n) for n in names]
+    with common.text_batches(spark):
+        assert [spark.conf.get(n) for n in names] == [str(x) for x in common.TEXT_BATCHES.values()]
+    spark.conf.set(names[1], "7")
+    with pytest.raises(ZeroDivisionError), common.text_batches(spark):
+        assert spark.conf.get(names[1]) == "7"
+        raise ZeroDivisionError
+    assert [spark.conf.get(n) for n in names] == [before[0], "7"]
+    spark.conf.set(names[1], before[1])
+
+
 # 10
 SECRET = 'x password: "hunter22" token=abc secret:token :abcdefg AKIA' + "Z" * 16 + " AKIASHORT 0123456789abcdef0123456789 API_KEY = k/+=.- ghp_" + "a" * 36
 
