@@ -321,8 +321,19 @@ def _documents_index(spark: SparkSession, sf_dir: str, stop_words: frozenset[str
     return TextIndex(spark, [folder], stop_words)
 
 
+class _WhenAsked:
+    """An index that is built when a search first asks it; a filter that reads texts builds none."""
+
+    def __init__(self, build: Callable[[], TextIndex]):
+        self._build = build
+
+    def __getattr__(self, name: str):
+        return getattr(self._build(), name)
+
+
 def _in_documents(spark: SparkSession, sf_dir: str, node) -> DataFrame:
-    return find(_t(spark, sf_dir, "documents"), node, None, Context("doc_id", text_tables={"text": _documents_index(spark, sf_dir, ENGLISH)}))
+    index = _WhenAsked(lambda: _documents_index(spark, sf_dir, ENGLISH))
+    return find(_t(spark, sf_dir, "documents"), node, None, Context("doc_id", text_tables={"text": index}))
 
 
 def _text(name: str, node, where_sql: str) -> None:

@@ -193,6 +193,15 @@ def test_boolean_search_returns_every_match(spark, tmp_path):
     assert find(rows, field_("text").matches("tion", 7)).count() == 7
 
 
+def test_substring_filter_builds_no_index(spark, tmp_path, monkeypatch):
+    """A text filter below `not_` reads the texts, so it builds no index."""
+    spark.createDataFrame([(1, "nation and"), (2, "nation"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    built = []
+    monkeypatch.setattr(engine.TextIndex, "build", lambda *a, **k: built.append(a))
+    assert [r["doc_id"] for r in engine.queries()["text_not_is_substring"](spark, str(tmp_path)).collect() if r["doc_id"] < 3] == [2]
+    assert built == []
+
+
 def test_rings_are_closed(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(1, ring((0, 0), (1, 0), (1, 1), (0, 0)), []), (2, ring((0, 0), (1, 0)), None), (3, ring((0, 0), (1, 0), (0, 0)), [ring((0, 0), (2, 2))]), (4, [], None)]
