@@ -1,19 +1,23 @@
 """Inverted text indexes: tables of postings that text queries read in place of the texts.
 
 A posting is a term in its own case, its lower case, the key of a row, the places
-of the term among the row's tokens and the number of these. Postings lie in
-`BUCKETS` folders by a hash of the lower-cased term, sorted by it, so a query reads
-the folders of its words, and in these the row groups that hold them. A term that
-every row has spreads over as many shards, by a hash of the key, as the rows need.
-Beside the postings lie the dictionary of terms, which searches with wildcards read
-first, and one row with the number of rows and tokens.
+of the term among the row's tokens and the number of these. Each task writes the
+postings of its own rows, as runs sorted by term of `RUN_TOKENS` tokens at most, so
+nothing is shuffled or spilled, no word is too frequent for a task, and a query
+reads the pages that may hold its words, which Parquet's statistics tell. A posting
+without a term stands for each row with a token. Beside the postings lie the
+dictionary of terms, which searches with wildcards read first, and one row with the
+number of rows and tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +25,76 @@ from ..functions import text
 from ..functions.paths import resolve
 from ..plans import ranked, textquery
 
-BUCKETS = 32
-#: Rows whose postings of one bucket go to one task.
-SHARD_ROWS = 500_000
-SCHEMA = "low string, term string, key bigint, n int, at array<int>, bucket int"
-TERMS = "bucket int, low string, term string"
+#: Tokens that a task sorts at a time, about 60 bytes each; a longer row is a run of its own.
+RUN_TOKENS = 2_000_000
+#: Postings in a batch that a task hands on.
+RUN_ROWS = 20_000
+POSTING = "term string, key bigint, n int, at array<int>"
+SCHEMA = f"low string, {POSTING}"
+TERMS = "low string, term string"
 STATS = "rows bigint, tokens bigint"
+_ARROW = pa.schema([("term", pa.string()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32()))])
 Tokenizer = Callable[[Column], Column]
 #: Tokenizers by name, from a string column to an array of strings; add others here.
 TOKENIZERS: dict[str, Tokenizer] = {"words": text.tokens}
 
 
-def _bucket(low: Column) -> Column:
-    return F.pmod(F.xxhash64(low), F.lit(BUCKETS)).cast("int")
+def _runs(run_tokens: int, run_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (key, ts) to their postings, sorted by term within each run; self-contained, so executors need no package."""
+
+    def postings(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.concat_arrays([b.column("ts") for b in batches])
+        keys = pa.concat_arrays([b.column("key") for b in batches])
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int32)
+        flat = lists.flatten().dictionary_encode()
+        if not len(flat):
+            return
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        told = pa.table({"low": pc.utf8_lower(flat.dictionary), "term": flat.dictionary})
+        order = pc.sort_indices(told, sort_keys=[("low", "ascending"), ("term", "ascending")])
+        terms = flat.dictionary.take(order)
+        rank = np.empty(len(terms) + 1, np.int64)
+        rank[order.to_numpy()] = np.arange(len(terms))
+        rank[-1] = -1  # of tokens that are null, which no query finds
+        of = rank[pc.fill_null(flat.indices, len(terms)).to_numpy()]
+        # Tokens come row by row and place by place, so their number settles what is of one term.
+        at = np.sort(of << 32 | np.arange(len(of)))
+        at = at[np.searchsorted(at, 0) :]
+        of, at = (at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32)
+        row, place = row[at], place[at]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])]) if len(of) else np.empty(0, np.int64)
+        filled = np.flatnonzero(lengths)
+        yield pa.record_batch([pa.nulls(len(filled), pa.string()), keys.take(pa.array(filled)), pa.array(lengths[filled]), pa.nulls(len(filled), pa.list_(pa.int32()))], schema=_ARROW)
+        bounds = np.append(first, len(of)).astype(np.int32)
+        for i in range(0, len(first), run_rows):
+            some = first[i : i + run_rows]
+            ends = bounds[i : i + len(some) + 1]
+            places = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(place[ends[0] : ends[-1]]))
+            yield pa.record_batch([terms.take(pa.array(of[some])), keys.take(pa.array(row[some])), pa.array(lengths[row[some]]), places], schema=_ARROW)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        tokens = 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ts")), 0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                end = int(np.searchsorted(ends, before + run_tokens - tokens, "right"))
+                if end <= start and not held:
+                    end = start + 1
+                if end > start:
+                    held.append(batch.slice(start, end - start))
+                    tokens += int(ends[end - 1]) - before
+                    start = end
+                if start < batch.num_rows or tokens >= run_tokens:
+                    yield from postings(held)
+                    held, tokens = [], 0
+        if held:
+            yield from postings(held)
+
+    return runs
 
 
 class TextIndex:
@@ -46,22 +107,18 @@ class TextIndex:
         f = resolve(rows.schema, path)
         value = ranked.flat_text(f.column, f.type) if f.known else F.lit(None).cast("string")
         told = rows.select(F.col(key).cast("bigint").alias("key"), TOKENIZERS[tokenizer or "words"](value).alias("ts"))
-        shards = 1 + rows.count() // SHARD_ROWS
-        at = told.select("key", F.size("ts").alias("n"), F.posexplode("ts").alias("p", "term")).withColumn("low", F.lower("term"))
-        dealt = at.withColumns({"bucket": _bucket(F.col("low")), "shard": F.pmod(F.xxhash64("key"), F.lit(shards))}).repartition("bucket", "shard")
-        grouped = dealt.groupBy("bucket", "shard", "low", "term", "key", "n").agg(F.sort_array(F.collect_list("p")).alias("at"))
-        ordered = grouped.sortWithinPartitions("bucket", "low", "term", "key").select("low", "term", "key", "n", "at", "bucket")
-        ordered.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
+        made = told.mapInArrow(_runs(RUN_TOKENS, RUN_ROWS), POSTING).select(F.lower("term").alias("low"), "term", "key", "n", "at")
+        # Small row groups: each task holds one in memory.
+        made.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(f"{folder}/postings")
         written = rows.sparkSession.read.schema(SCHEMA).parquet(f"{folder}/postings")
-        written.select("bucket", "low", "term").distinct().write.option("compression", "zstd").parquet(f"{folder}/terms")
-        # A row's posting of place 0 stands for the row.
-        firsts = written.filter(F.get("at", F.lit(0)) == 0)
-        firsts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).write.parquet(f"{folder}/stats")
+        written.filter(F.col("term").isNotNull()).select("low", "term").distinct().write.option("compression", "zstd").parquet(f"{folder}/terms")
+        held = written.filter(F.col("term").isNull())
+        held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).write.parquet(f"{folder}/stats")
 
     def postings(self) -> DataFrame:
-        # Each folder by itself, so that its buckets are found below it.
-        parts = [self.spark.read.schema(SCHEMA).option("basePath", f"{p}/postings").parquet(f"{p}/postings") for p in self.paths]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        # Each folder by itself: older ones are parted by a column of their own, found below them.
+        parts = [self.spark.read.schema(SCHEMA).option("basePath", f"{p}/postings").parquet(f"{p}/postings").select("low", "term", "key", "n", "at") for p in self.paths]
+        return (reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMA)).filter(F.col("term").isNotNull())
 
     def stats(self) -> DataFrame:
         """One row: `rows` with a token, and their `mean` number of tokens."""
@@ -70,8 +127,7 @@ class TextIndex:
 
     def of(self, words: list[str]) -> DataFrame:
         """The postings of lower-cased words."""
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[_bucket(F.lit(w)) for w in words]))).collect()]
-        return self.postings().filter(F.col("bucket").isin(sorted(set(buckets))) & F.col("low").isin(words))
+        return self.postings().filter(F.col("low").isin(words))
 
     def term(self, query: str, case_sensitive: bool = True) -> DataFrame:
         """(key) of the rows with a token that the query finds, once each."""
@@ -84,7 +140,7 @@ class TextIndex:
         if not start and not end:
             return self.of([word.lower()]).filter(test).select("key").distinct()
         found = self.spark.read.schema(TERMS).parquet(*[f"{p}/terms" for p in self.paths]).filter(test).distinct()
-        return self.postings().join(found, ["bucket", "low", "term"], "left_semi").select("key").distinct()
+        return self.postings().join(found, ["low", "term"], "left_semi").select("key").distinct()
 
     def matches(self, parsed: textquery.Node, k: int | None = None) -> DataFrame | None:
         """(key, _score) of the rows that match, or the k best, by BM25; None if rows with none of the words may match."""

@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,35 @@ def test_text_index_options(db):
     assert c.index_tables(["b"]).postings().filter("term = 'new york'").count() == 1
 
 
+def test_text_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Each task sorts its own rows by runs: the places of every token, long rows and null tokens and keys included."""
+    from docspire.sources import textindex
+
+    texts = ["Fox the fox THE the", "", None, "of the " * 40, " ".join(f"w{i % 7} Ünï" for i in range(30)), "fox"]
+    monkeypatch.setattr(textindex, "RUN_TOKENS", 8)
+    monkeypatch.setattr(textindex, "RUN_ROWS", 3)
+    monkeypatch.setitem(textindex.TOKENIZERS, "with_nulls", lambda c: F.transform(F.split(c, " "), lambda t: F.when(t != "the", t)))
+    rows = spark.createDataFrame([(i if i < 5 else None, t) for i, t in enumerate(texts)], "_id bigint, body string").repartition(2)
+    for tokenizer, split in (("words", lambda t: t.split()), ("with_nulls", lambda t: [None if w == "the" else w for w in t.split(" ")])):
+        folder = str(tmp_path / tokenizer)
+        textindex.TextIndex.build(rows, "body", "_id", folder, tokenizer)
+        index = textindex.TextIndex(spark, [folder], tokenizer=tokenizer)
+        want = set()
+        for i, words in enumerate(split(t) for t in texts if t is not None):
+            key = [0, 1, 3, 4, None][i]
+            want |= {(w.lower(), w, key, len(words), tuple(p for p, x in enumerate(words) if x == w)) for w in words if w is not None}
+        got = [(r["low"], r["term"], r["key"], r["n"], tuple(r["at"])) for r in index.postings().collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        stats = index.stats().first()
+        sizes = [len(split(t)) for t in texts if t is not None and split(t)]
+        assert stats["rows"] == len(sizes) and abs(stats["mean"] - sum(sizes) / len(sizes)) < 1e-9
+        assert [f.name for f in (tmp_path / tokenizer / "postings").iterdir() if f.is_dir()] == []
+
+    batches = [pa.record_batch([pa.array(range(4)), pa.array([["b", "a"] * 3, ["c"] * 20, None, ["a"]])], names=["key", "ts"])]
+    runs = list(textindex._runs(8, 3)(iter(batches)))
+    assert sum(b.num_rows for b in runs) == 3 + 4 and sum(len(x) for b in runs for x in b.column("at").to_pylist() if x) == 27
+
+
 def test_vector_cells_and_layouts(spark):
     """A vector index beside each part, rows laid out by place, and a module that registers an indexer."""
     from docspire.sources import indexers
