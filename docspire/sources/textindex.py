@@ -27,6 +27,8 @@ from ..plans import ranked, textquery
 
 #: Tokens that a task sorts at a time, about 60 bytes each; a longer row is a run of its own.
 RUN_TOKENS = 2_000_000
+#: Terms that a search with wildcards looks up; with more it reads the terms of all postings.
+LISTED_TERMS = 1_000
 #: Postings in a batch that a task hands on.
 RUN_ROWS = 20_000
 POSTING = "term string, key bigint, n int, at array<int>"
@@ -139,8 +141,11 @@ class TextIndex:
             test = test & ~F.col("term").isin(sorted(self.stop_words))
         if not start and not end:
             return self.of([word.lower()]).filter(test).select("key").distinct()
-        found = self.spark.read.schema(TERMS).parquet(*[f"{p}/terms" for p in self.paths]).filter(test).distinct()
-        return self.postings().join(found, ["low", "term"], "left_semi").select("key").distinct()
+        # The postings pass the same test, so nothing is joined; the dictionary only tells which to read.
+        terms = self.spark.read.schema(TERMS).parquet(*[f"{p}/terms" for p in self.paths]) if self.paths else self.spark.createDataFrame([], TERMS)
+        found = [r["low"] for r in terms.filter(test).select("low").distinct().limit(LISTED_TERMS + 1).collect()]
+        rows = self.postings() if len(found) > LISTED_TERMS else self.of(found)
+        return rows.filter(test).select("key").distinct()
 
     def matches(self, parsed: textquery.Node, k: int | None = None) -> DataFrame | None:
         """(key, _score) of the rows that match, or the k best, by BM25; None if rows with none of the words may match."""

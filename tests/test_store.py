@@ -271,6 +271,28 @@ def test_text_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert sum(b.num_rows for b in runs) == 3 + 4 and sum(len(x) for b in runs for x in b.column("at").to_pylist() if x) == 27
 
 
+def test_wildcards_join_no_postings(spark, tmp_path, monkeypatch):
+    """A search with wildcards tests the postings themselves, however many terms it finds."""
+    from docspire.sources import textindex
+
+    rows = spark.createDataFrame([(i, f"w{i} Wx{i % 3} the other") for i in range(40)] + [(40, None), (41, "none")], "_id bigint, body string")
+    textindex.TextIndex.build(rows, "body", "_id", str(tmp_path / "index"))
+    index = textindex.TextIndex(spark, [str(tmp_path / "index")], frozenset(["the"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for listed in (0, 5, 1000):
+            monkeypatch.setattr(textindex, "LISTED_TERMS", listed)
+            for query, want in (("w*", set(range(40))), ("*x2", set(range(2, 40, 3))), ("*3*", {3, 13, 23, *range(30, 40)}), ("*the", set()), ("*he*", set(range(40))), ("*q*", set())):
+                found = index.term(query)
+                keys = [r["key"] for r in found.collect()]
+                assert len(keys) == len(set(keys)) and set(keys) == want, (listed, query)
+                assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert textindex.TextIndex(spark, []).term("*a").count() == 0
+
+
 def test_vector_cells_and_layouts(spark):
     """A vector index beside each part, rows laid out by place, and a module that registers an indexer."""
     from docspire.sources import indexers
