@@ -159,7 +159,9 @@ class TextIndex:
         held = self.of(words).groupBy("key").agg(F.first("n").alias("n"), *places)
         at = {w: F.col(f"p{i}") for i, w in enumerate(words)}
         tf = [F.size(at[w]).cast("double") for w in scored]
-        stats = self.stats().crossJoin(held.agg(F.array(*[F.sum((t > 0).cast("long")) for t in tf]).alias("df")))
+        # Rows that hold a word are told by keys alone, without the places.
+        told = self.of(scored).select("low", "key").distinct()
+        stats = self.stats().crossJoin(told.agg(F.array(*[F.count(F.when(F.col("low") == w, 1)) for w in scored]).alias("df")))
         joined = held.filter(parsed.by_places(at)).crossJoin(F.broadcast(stats))  # one row of statistics
         score = ranked.bm25(tf, [F.get("df", F.lit(i)) for i in range(len(tf))], F.col("rows"), F.col("n"), F.col("mean"))
         out = joined.select("key", score.alias("_score"))

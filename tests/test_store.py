@@ -293,6 +293,18 @@ def test_wildcards_join_no_postings(spark, tmp_path, monkeypatch):
     assert textindex.TextIndex(spark, []).term("*a").count() == 0
 
 
+def test_places_are_read_once(spark, tmp_path):
+    """Boolean searches and phrases read and shuffle the places of words once; their statistics need none."""
+    from docspire.plans import textquery
+    from docspire.sources.textindex import TextIndex
+
+    texts = ["tion Tion thing", "tion", "TION other", "thing tion", None]
+    TextIndex.build(spark.createDataFrame(list(enumerate(texts)), "_id bigint, body string"), "body", "_id", str(tmp_path / "index"))
+    found = TextIndex(spark, [str(tmp_path / "index")]).matches(textquery.parse("tion AND NOT thing"))
+    assert {r["key"] for r in found.collect()} == {1, 2}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 2  # two words
+
+
 def test_vector_cells_and_layouts(spark):
     """A vector index beside each part, rows laid out by place, and a module that registers an indexer."""
     from docspire.sources import indexers
