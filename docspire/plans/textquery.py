@@ -7,6 +7,7 @@ tested but not scored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,8 +45,9 @@ class Node:
         if self.kind == "term":
             return F.size(at[self.words[0]]) > 0
         if self.kind == "phrase":
-            follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[w], p + i) for i, w in enumerate(self.words) if i])
-            return F.exists(at[self.words[0]], follows)
+            # Where each word would have the phrase begin: sets, so a row with many places costs no more than these.
+            begins = [F.transform(at[w], _less(i)) if i else at[w] for i, w in enumerate(self.words)]
+            return F.size(reduce(F.array_intersect, begins)) > 0
         parts = [p.by_places(at) for p in self.parts]
         return ~parts[0] if self.kind == "not" else reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), parts)
 
@@ -65,6 +67,10 @@ class Node:
         return set(self.words).union(*[p.scored() for p in self.parts])
 
 
+def _less(i: int) -> Callable[[Column], Column]:
+    return lambda p: p - i
+
+
 def _words(text: str) -> Node | None:
     words = [w.lower() for w in split_query(text)]
     if not words:

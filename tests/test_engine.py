@@ -1,6 +1,7 @@
 """Find, cursors, places, text, vectors and retrieval."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from docspire.operators import cursor
 from docspire.operators.rag import Search
 from docspire.plans.filters import FilterError, and_, field_, or_
 from docspire.plans.find import Context, FindOptions, find, order_by
-from docspire.plans.textquery import parse
+from docspire.plans.textquery import parse, phrase
 
 
 def test_sort_nulls_ties_and_pages(spark):
@@ -202,6 +203,18 @@ def test_substring_filter_builds_no_index(spark, tmp_path, monkeypatch):
     assert built == []
 
 
+def test_phrases_of_frequent_words(spark):
+    """Places are met as sets: a row with many of both words costs no product of their numbers."""
+    n = 150_000
+    of, the = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i * 3), F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i * 3 + 2)
+    rows = spark.range(3).select("id", of.alias("a"), F.when(F.col("id") == 1, F.concat(the, F.array(F.lit(3 * n + 1)))).when(F.col("id") == 0, the).otherwise(F.array().cast("array<int>")).alias("b"))
+    start = time.perf_counter()
+    assert [r["id"] for r in rows.filter(phrase("of the").by_places({"of": F.col("a"), "the": F.col("b")})).collect()] == [1]
+    assert time.perf_counter() - start < 15
+    three = spark.createDataFrame([(1, [0, 2], [1, 3]), (2, [0, 3], [1, 5])], "id int, a array<int>, b array<int>")
+    assert [r["id"] for r in three.filter(phrase("x y x").by_places({"x": F.col("a"), "y": F.col("b")})).collect()] == [1]
+
+
 def test_rings_are_closed(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(1, ring((0, 0), (1, 0), (1, 1), (0, 0)), []), (2, ring((0, 0), (1, 0)), None), (3, ring((0, 0), (1, 0), (0, 0)), [ring((0, 0), (2, 2))]), (4, [], None)]
