@@ -19,6 +19,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, DELIMITERS), lambda t: t != "")
 
 
+def run_pattern(words: list[str] | tuple[str, ...]) -> str:
+    """A regular expression of tokens that follow one another, which finds them in a text that is not parted; no word holds a delimiter."""
+    other = "[^" + DELIMITERS[1:-2] + "]"
+    # A literal comes first, which a matcher looks for fastest; then, that no token began before it.
+    first, *rest = [f"\\Q{w}\\E" for w in words]
+    return f"{first}(?<!{other}{first})" + "".join(DELIMITERS + w for w in rest) + f"(?!{other})"
+
+
 def indexed_tokens(value: Column, is_array: bool, stop_words: frozenset[str] = ENGLISH) -> Column:
     """Tokens but for stop words, which are dropped in exactly their case."""
     found = F.flatten(F.transform(value, lambda s: F.coalesce(tokens(s), F.array().cast("array<string>")))) if is_array else tokens(value)

@@ -142,6 +142,9 @@ def find(df: DataFrame, filter_: Filter | None = None, options: FindOptions | No
             out = ranked.nearest(out, node.path, node.query, o["k"], o["metric"], o["min_score"], key)
         elif node.kind == "knearest":
             out = ranked.knearest(out, node.path, node.query, o["k"], o["max"], key)
+        elif n < len(tops) - 1 and o["k"] is None:
+            # The last ranked node scores; those before it only choose rows.
+            out = ranked.holding(out, node.path, node.query, node.kind == "phrase")
         else:
             out = ranked.matches(out, node.path, node.query, o["k"], key, node.kind == "phrase")
         if n < len(tops) - 1:

@@ -67,30 +67,39 @@ def matches(df: DataFrame, path: str, query: str, k: int | None = None, key: str
     """The rows that match, or the k best of them, by BM25, with `_score`.
 
     Statistics are of all rows with a text: their number, mean length, and the
-    rows that hold each query term, in one aggregate over token counts. Term
-    counts come from each row's own tokens; tokens are never exploded.
+    rows that hold each query term, in one aggregate. Words are looked for in the
+    texts as they are, which are parted only for their lengths: those of all rows
+    once, and again those of the rows that match.
     """
     f = resolve(df.schema, path)
     parsed = textquery.phrase(query) if phrase else textquery.parse(query)
     terms = sorted(parsed.scored())
     if not f.known or not terms:
         return df.withColumn("_score", F.lit(None).cast("double")).limit(0)
-    low = text_functions.tokens(F.lower(flat_text(f.column, f.type)))
-    # A row keeps the counts of the query's terms and its length, so tokens are made once.
-    counts = F.transform(
-        F.array(low), lambda ts: F.struct(F.size(ts).alias("n"), F.array(*[F.size(F.filter(ts, _is(term))) for term in terms]).alias("tf"), parsed.column(ts).alias("hit"))
+    low = F.lower(flat_text(f.column, f.type))
+    patterns = [F.lit(text_functions.run_pattern((term,))) for term in terms]
+    # A row keeps what is said of its text, so that is made once.
+    told = lambda of: F.get(F.transform(F.array(low), lambda s: F.struct(F.size(text_functions.tokens(s)).alias("n"), F.array(*[of(s, p) for p in patterns]).alias("of"))), F.lit(0))
+    # No filter on what is told, which would be pushed below and made twice.
+    n = F.when(F.col("_c.n") > 0, F.col("_c.n"))
+    stats = df.select(told(F.rlike).alias("_c")).agg(
+        F.count(n).alias("rows"), F.avg(n).alias("mean"),
+        F.array(*[F.count(F.when(F.get(F.col("_c.of"), F.lit(i)), 1)) for i in range(len(terms))]).alias("df"),
     )
-    counted = df.withColumn("_c", F.get(counts, F.lit(0))).filter(F.col("_c.n") > 0)
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("_c.n").alias("mean"),
-        F.array(*[F.sum((F.get(F.col("_c.tf"), F.lit(i)) > 0).cast("long")) for i in range(len(terms))]).alias("df"),
-    )
-    joined = counted.filter(F.col("_c.hit")).crossJoin(F.broadcast(stats))  # one row of statistics
-    tf = [F.get(F.col("_c.tf"), F.lit(i)).cast("double") for i in range(len(terms))]
+    found = holding(df, path, query, phrase).withColumn("_c", told(F.regexp_count))
+    joined = found.crossJoin(F.broadcast(stats))  # one row of statistics
+    tf = [F.get(F.col("_c.of"), F.lit(i)).cast("double") for i in range(len(terms))]
     total = bm25(tf, [F.get(F.col("df"), F.lit(i)) for i in range(len(terms))], F.col("rows"), F.col("_c.n"), F.col("mean"))
     ranked = joined.withColumn("_score", total).orderBy(F.col("_score").desc(), *_key(df, key))
     return (ranked if k is None else ranked.limit(k)).drop("_c", "rows", "mean", "df")
 
 
-def _is(term: str):
-    return lambda t: t == term
+def holding(df: DataFrame, path: str, query: str, phrase: bool = False) -> DataFrame:
+    """All rows that `matches` finds, without their scores."""
+    f = resolve(df.schema, path)
+    parsed = textquery.phrase(query) if phrase else textquery.parse(query)
+    if not f.known or not parsed.scored():
+        return df.limit(0)
+    low = F.lower(flat_text(f.column, f.type))
+    found = df.filter(parsed.in_text(low))
+    return found.filter(F.size(text_functions.tokens(low)) > 0) if parsed.without_words() else found

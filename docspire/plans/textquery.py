@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import split_query
+from ..functions.text import run_pattern, split_query
 
 _LEX = re.compile(r'\s*(?:"([^"]*)"|([()])|([+-])|([^\s()"]+))')
 
@@ -25,20 +25,12 @@ class Node:
     words: tuple[str, ...] = ()
     parts: tuple[Node, ...] = ()
 
-    def column(self, tokens: Column) -> Column:
-        if self.kind == "term":
-            return F.array_contains(tokens, self.words[0])
-        if self.kind == "phrase":
-            n = len(self.words)
-            wanted = F.array(*[F.lit(w) for w in self.words])
-            return F.when(F.size(tokens) < n, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n) == wanted))
-        parts = [p.column(tokens) for p in self.parts]
-        if self.kind == "not":
-            return ~parts[0]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if self.kind == "and" else out | p
-        return out
+    def in_text(self, low: Column) -> Column:
+        """Whether a lower-cased text matches."""
+        if self.kind in ("term", "phrase"):
+            return low.rlike(run_pattern(self.words))
+        parts = [p.in_text(low) for p in self.parts]
+        return ~parts[0] if self.kind == "not" else reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), parts)
 
     def by_places(self, at: dict[str, Column]) -> Column:
         """The same of a row's sorted places of each word."""

@@ -215,6 +215,21 @@ def test_phrases_of_frequent_words(spark):
     assert [r["id"] for r in three.filter(phrase("x y x").by_places({"x": F.col("a"), "y": F.col("b")})).collect()] == [1]
 
 
+def test_words_in_texts(spark):
+    """Words are found in whole texts as among their tokens; a filter that doesn't score makes no statistics."""
+    texts = ["tion", "Tion-TION tion", "nation", "tions tion's", "$tion", "a tion", "of\n\tthe", "oft of, THE", "of x the", "“tion”", "\U0001f600tion tion\U0001f600", " .", "", None, "of theo the", "of of the", "é tioné", "tion\x85tion"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id int, t string")
+    low = F.lower("t")
+    for words in (("tion",), ("of", "the"), ("a", "tion"), ("tion", "tion", "tion")):
+        p, ts = F.lit(text.run_pattern(words)), text.tokens(low)
+        for r in rows.filter("t IS NOT NULL").select("t", F.rlike(low, p).alias("has"), F.regexp_count(low, p).alias("n"), ts.alias("ts")).collect():
+            at = [i for i in range(len(r["ts"])) if tuple(r["ts"][i : i + len(words)]) == words]
+            assert r["has"] == bool(at) and (len(words) > 1 or r["n"] == len(at)), (words, r)
+    found = find(rows, and_(field_("t").matches("tion OR NOT of"), field_("t").matches("the OR tion")))
+    assert sorted(r["_id"] for r in found.collect()) == [0, 1, 3, 5, 9]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_rings_are_closed(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(1, ring((0, 0), (1, 0), (1, 1), (0, 0)), []), (2, ring((0, 0), (1, 0)), None), (3, ring((0, 0), (1, 0), (0, 0)), [ring((0, 0), (2, 2))]), (4, [], None)]
